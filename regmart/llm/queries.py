@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regmart.llm import bpe, mixing, quality, secrets
+from regmart.llm import bpe, lm, mixing, quality, secrets, topk
+from pyspark.sql import functions as F
+
 from regmart.llm.common import table
 
 
@@ -22,9 +24,17 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op10_mixing": op10_mixing}
+QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op7_topk": op7_topk, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
