@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regmart.llm import bpe, html, lm, mixing, quality, secrets, spotsigs, topk
+from regmart.llm import bpe, html, jaccard, lm, mixing, quality, secrets, spotsigs, topk
 from pyspark.sql import functions as F
 
 from regmart.llm.common import table
@@ -28,6 +28,10 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -44,5 +48,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_spotsigs": op5_spotsigs, "op7_topk": op7_topk, "op8_html": op8_html, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
+QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_spotsigs": op5_spotsigs, "op6_jaccard": op6_jaccard, "op7_topk": op7_topk, "op8_html": op8_html, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
