@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regmart.llm import bpe, html, jaccard, lm, mixing, quality, secrets, spotsigs, topk
+from regmart.llm import bpe, html, jaccard, lm, mixing, quality, secrets, spotsigs, suffix, topk
 from pyspark.sql import functions as F
 
 from regmart.llm.common import table
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +52,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_spotsigs": op5_spotsigs, "op6_jaccard": op6_jaccard, "op7_topk": op7_topk, "op8_html": op8_html, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
+QUERIES = {"op1_suffix": op1_suffix, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_secrets": op4_secrets, "op5_spotsigs": op5_spotsigs, "op6_jaccard": op6_jaccard, "op7_topk": op7_topk, "op8_html": op8_html, "op9_lm": op9_lm, "op10_mixing": op10_mixing}
 ORACLE_SQL: dict[str, str] = {}
