@@ -15,10 +15,12 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -145,17 +147,17 @@ class Encoder(dict):
 
 
 class Printed(dict):
-    """Maps a word to its ids as text and to the bytes they decode to: a text's digest then needs one look-up a word."""
+    """Maps a word to its ids as text, the bytes they decode to, and its ids packed: a text then needs one look-up a word."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
 
-    def __missing__(self, word: str) -> tuple[str, bytes]:
+    def __missing__(self, word: str) -> tuple[str, bytes, bytes]:
         if len(self) >= CACHED_WORDS:
             self.clear()
         ids = self.encoder.__missing__(word)
         self.encoder.clear()
-        out = ",".join(map(str, ids)), b"".join(map(self.encoder.v.token_bytes.__getitem__, ids))
+        out = ",".join(map(str, ids)), b"".join(map(self.encoder.v.token_bytes.__getitem__, ids)), array("i", ids).tobytes()
         if len(word) <= SCAN_BYTES:
             self[word] = out
         return out
@@ -166,6 +168,11 @@ class Printed(dict):
         ids, raw = ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
         return ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest()
 
+    def packed(self, text: str) -> tuple[np.ndarray, str]:
+        """The ids of a text, and the text they decode to."""
+        found = list(map(self.__getitem__, self.encoder.pieces(text)))
+        return np.frombuffer(b"".join([x[2] for x in found]), np.int32), b"".join([x[1] for x in found]).decode("utf-8", "replace")
+
 
 ENCODED = "doc_id long, token_ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -178,16 +185,16 @@ def _run(docs: DataFrame, path: str, schema: str, digest: bool) -> DataFrame:
         encoder = Encoder(shared.value)
         printed = Printed(encoder)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if digest:
-                    rows.append((doc_id, *printed.digest(text)))
-                else:
-                    ids = encoder.encode(text)
-                    rows.append((doc_id, ids, encoder.decode(ids)))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string()) if digest else (pa.int64(), pa.list_(pa.int32()), pa.string())
-            names = [c.split(" ")[0] for c in schema.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+            texts = batch.column(1).to_pylist()
+            if digest:
+                columns = zip(*map(printed.digest, texts)) if texts else [[]] * 3
+                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()))]
+            else:
+                found = [printed.packed(t) for t in texts]
+                offsets = np.cumsum([0, *(len(ids) for ids, _ in found)]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in found)])
+                arrays = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([t for _, t in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [c.split(" ")[0] for c in schema.split(", ")])
 
     return documents(docs).mapInArrow(encode, schema)
 

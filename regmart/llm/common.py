@@ -18,14 +18,20 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage through the shared folder that the session names in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) a temporary folder is set.
-    """
-    context = session(df).sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a temporary one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage through the shared folder."""
+    shared_folder(session(df))
     return df.checkpoint()
 
 

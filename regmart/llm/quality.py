@@ -194,6 +194,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return documents(docs).mapInArrow(run, SCORES)
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model accepts, all columns as they are; the texts are scored where they lie."""
+    shared = session(docs).sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(indicators(t or "")) for t in column.to_pylist()], pa.float64())
+
+    return docs.filter(scored(F.col(text_col).cast("string")) >= threshold)
+
+
 def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from labels whose CRC-32 of doc_id is not a multiple of 5 and scores all: doc_id, held_out, score, predicted."""
     model = train(docs, labels.filter(crc_of_id() % 5 != 0))

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from regmart.llm.common import documents
 
@@ -145,3 +146,17 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             )
 
     return documents(docs).mapInArrow(scan, SPANS)
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The same rows and columns, each secret in the text replaced by a mask; null texts stay null."""
+
+    @F.arrow_udf("string")
+    def masked(column: pa.Array) -> pa.Array:
+        out = []
+        for text in column.to_pylist():
+            spans = all_spans(text)[1] if text else []
+            out.append(redact(text, spans) if spans else text)
+        return pa.array(out, pa.string())
+
+    return docs.withColumn(text_col, masked(F.col(text_col).cast("string")))
