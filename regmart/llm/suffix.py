@@ -28,11 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regmart.llm.common import Rolling, documents, mix, partitions, slices
+from regmart.llm.common import SLICE_BYTES, Rolling, documents, mix, partitions, slices
 
 LENGTH, K = 50, 16
 #: Windows of a batch of the index.
-BATCH_WINDOWS = 1 << 16
+BATCH_WINDOWS = 1 << 18
 #: Anchors or windows a task holds before it hands them on.
 FLUSH = 1 << 20
 NO_ID = (1 << 63) - 1
@@ -141,76 +141,57 @@ class Family:
 
 def window_words(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Windows at ``at`` as rows of 8-byte big-endian words, the last one overlapping."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(len(data) + 1, np.uint64)
-    for j in range(8):
-        word = (word << np.uint64(8)) | padded[j : j + len(word)]
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
     steps = [*range(0, length - 8, 8), length - 8]
-    return np.stack([word[at + s] for s in steps], axis=1)
+    return np.stack([words[at + s].copy().view(">u8").ravel().astype(np.uint64) for s in steps], axis=1)
 
 
 def later_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     """(document, version, first window, number of windows) of the windows that an earlier document has, of all runs of a bucket."""
-    family, out, pending = Family(), [], []
-    owners: list[tuple[np.ndarray, ...]] = []
+    out: list[tuple[int, int, int, int]] = []
     known: dict[bytes, tuple[int, int, int, int]] = {}
-    base = 0
-
-    def build() -> None:
-        nonlocal base
-        if not known:
-            return
-        data = np.frombuffer(b"".join(known), np.uint8)
-        sizes = np.array([len(t) for t in known])
-        doc, version, start, count = (np.array(x, np.int64) for x in zip(*known.values()))
-        which = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        at = (np.cumsum(sizes) - sizes)[which] + step
-        owners.append((doc[which], version[which], start[which] + step))
-        family.add(Level(window_words(data, at, length), doc[which], base + np.arange(len(which))))
-        base += len(which)
-        known.clear()
-
-    held = 0
+    again: list[tuple[bytes, tuple[int, int, int, int]]] = []
     for row in zip(*(table.column(c).to_pylist() for c in ("doc", "version", "start", "count", "text"))):
         doc, version, start, count = (unpack(x, k) for x, k in zip(row[:4], ("<i8", "<u2", "<i8", "<i4")))
         text, p = unpack(row[4]), 0
-        for d, v, s, c in zip(doc.tolist(), version.tolist(), start.tolist(), count.tolist()):
-            run = text[p : p + c + length - 1]
-            p += c + length - 1
-            old = known.get(run)
-            if old is None:
-                known[run] = (d, v, s, c)
-                held += c
-            elif d > old[0]:
-                out.append((d, v, s, c))
+        for entry in zip(doc.tolist(), version.tolist(), start.tolist(), count.tolist()):
+            run = text[p : p + entry[3] + length - 1]
+            p += len(run)
+            old = known.setdefault(run, entry)
+            if old is entry:
+                continue
+            if entry[0] > old[0]:
+                out.append(entry)
+            elif entry[0] < old[0]:
+                out.append(old)
+                known[run] = entry
             else:
-                if d < old[0]:
-                    out.append(old)
-                    known[run] = (d, v, s, c)
-                # The same document again: its windows fare as the first ones do.
-                else:
-                    pending.append((run, (d, v, s, c)))
-        if held >= BATCH_WINDOWS:
-            build()
-            held = 0
-    build()
-    if pending:  # once more against the index, as entries of their own
-        for run, entry in pending:
-            known.setdefault(run + b"%d" % len(known), entry)
-        entries = list(known.items())
-        known.clear()
-        data = np.frombuffer(b"".join(k[: e[3] + length - 1] for k, e in entries), np.uint8)
-        doc, version, start, count = (np.array(x, np.int64) for x in zip(*(e for _, e in entries)))
-        which = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        sizes = count + length - 1
-        owners.append((doc[which], version[which], start[which] + step))
-        family.add(Level(window_words(data, (np.cumsum(sizes) - sizes)[which] + step, length), doc[which], base + np.arange(len(which))))
-    gone = np.unique(np.concatenate(family.reported)) if family.reported else np.zeros(0, np.int64)
-    d, v, s = (np.concatenate(x)[gone] for x in zip(*owners)) if owners else (np.zeros(0, np.int64),) * 3
+                again.append((run, entry))  # the same document once more: its windows fare as the first ones do
+    runs = [*known.items(), *again]
     whole = [np.array(x, np.int64) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-    return np.concatenate([d, whole[0]]), np.concatenate([v, whole[1]]), np.concatenate([s, whole[2]]), np.concatenate([np.ones(len(d), np.int64), whole[3]])
+    if not runs:
+        return tuple(whole)
+    data = np.frombuffer(b"".join([r for r, _ in runs]), np.uint8)
+    doc, version, start, count = (np.array(x, np.int64) for x in zip(*(e for _, e in runs)))
+    which = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    sizes = count + length - 1
+    at = (np.cumsum(sizes) - sizes)[which] + step
+    # Only windows whose hash occurs more than once can have an equal: the others need no suffix array.
+    hashes = np.concatenate([Rolling(data[lo : hi + length - 1]).windows(length) for lo, hi in ((i, min(i + SLICE_BYTES, len(data) - length + 1)) for i in range(0, len(data) - length + 1, SLICE_BYTES))])[at]
+    ordered = np.sort(hashes)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        keep = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes)
+        which, step, at = which[keep], step[keep], at[keep]
+        family = Family()
+        for i in range(0, len(at), BATCH_WINDOWS):
+            part = slice(i, i + BATCH_WINDOWS)
+            family.add(Level(window_words(data, at[part], length), doc[which[part]], np.arange(len(at))[part]))
+        gone = np.unique(np.concatenate(family.reported))
+        which, step = which[gone], step[gone]
+        whole = [np.concatenate([x, y]) for x, y in zip(whole, (doc[which], version[which], start[which] + step, np.ones(len(which), np.int64)))]
+    return tuple(whole)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
