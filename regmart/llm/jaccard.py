@@ -31,7 +31,7 @@ from regmart.llm.graph import components, forest
 #: Sets compared in one task on either side.
 BLOCK = 1024
 #: Meetings of at most so many sets are compared in full at once.
-FEW = 4
+FEW = 8
 FLUSH = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)

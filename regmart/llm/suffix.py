@@ -197,7 +197,7 @@ def later_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left) and spans (start:end of what went)."""
     rows = documents(docs, id_col=id_col, text_col=text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("version"), F.col("text").cast("binary").alias("text"))
-    buckets = partitions(docs, 4)
+    buckets = partitions(docs, 2)
     homes = buckets | 1
     home = F.pmod(F.col("doc"), F.lit(homes)).cast("int")
 
