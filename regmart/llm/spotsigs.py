@@ -62,14 +62,14 @@ def successors(keys: DataFrame, key: str) -> DataFrame:
     low, high = keys.agg(F.min(key), F.max(key)).first()
     if low is None:
         return keys.select(key, F.col(key).alias("following"))
-    groups = keys.select(F.col(key).alias("g"), F.col(key).alias("least"), F.col(key).alias("most"))
+    groups = keys.select((F.col(key) - low).alias("g"), F.col(key).alias("least"), F.col(key).alias("most"))
     found, base = [], low
-    first, last = low, high
-    while first != last:
+    span = high - low
+    while span:
         w = Window.partitionBy(F.shiftright("g", BUCKET_BITS)).orderBy("g")
         found.append(groups.withColumn("following", F.lead("least").over(w)).filter("following is not null").select(F.col("most").alias(key), "following"))
         groups = groups.groupBy(F.shiftright("g", BUCKET_BITS).alias("g")).agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        first, last = first >> BUCKET_BITS, last >> BUCKET_BITS
+        span >>= BUCKET_BITS
     out = groups.select(F.col("most").alias(key), F.lit(base).cast("long").alias("following"))
     for part in found:
         out = out.unionByName(part)
@@ -84,13 +84,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text (its second half replaced by the start of the next document), with their likeness."""
-    ordered = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.shiftright(ordered, BUCKET_BITS).alias("bucket")).repartition("bucket")
+    bucket_of = F.shiftright(F.col(id_col).cast("long"), BUCKET_BITS)
+    least = docs.agg(F.min(bucket_of)).first()[0]
+    bucket = F.coalesce(bucket_of, F.lit((least or 0) - 1)).alias("bucket")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), bucket).repartition("bucket")
     in_order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
     signed = with_signatures(rows, "text", "signatures")
     lined = signed.withColumn("next_text", F.lead("text").over(in_order)).withColumn("next_signatures", F.lead("signatures").over(in_order))
 
-    buckets = checkpointed(docs.select(F.shiftright(ordered, BUCKET_BITS).alias("bucket")).distinct())
+    buckets = checkpointed(docs.select(bucket).distinct())
     firsts = rows.withColumn("n", F.row_number().over(in_order)).filter("n = 1").select(F.col("bucket").alias("following"), F.col("text").alias("first_text"))
     firsts = with_signatures(firsts.join(successors(buckets, "bucket"), "following").drop("following"), "first_text", "first_signatures")
     both = lined.join(firsts.hint("merge"), "bucket", "left")
