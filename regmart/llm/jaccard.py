@@ -6,8 +6,8 @@
    16 bytes a part, packed by task.
 3. Sets that meet are compared in a prefix tree: sets in one global order of n-grams, common prefixes shared, all queries descending together with their
    overlaps so far, a subtree left as soon as the remaining lengths cannot reach the threshold.
-   Small meetings are compared in full. In a large one, members are first compared with its least member and their neighbours; only meetings whose
-   members still fall into several components are joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
+   Small meetings are compared in full. In a large one, members are first compared with its least member and their neighbours; meetings whose
+   members still fall into several components are put together where they share members and joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
 4. Links, as spanning forests, become components by star contraction.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than n make one shingle; rows that repeat an id are one document; rows without an id
@@ -290,9 +290,12 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
 
     # Large meetings whose members are still apart: all against all, in blocks.
     placed = members.join(sets.select("set_id", "class_id"), "set_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    apart = placed.groupBy("meeting").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("meeting", "blocks")
-    mine = placed.join(apart, "meeting").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    tasks = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("meeting", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
+    apart = placed.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class_id").alias("b")).filter("low < high").select("meeting", "b")
+    # Meetings that share members are one gathering, so that a set travels once for each block of it and not for each meeting.
+    gathered = components(placed.join(apart, "meeting").select(F.col("class_id").alias("a"), "b")).toDF("class_id", "gathering")
+    blocks = gathered.groupBy("gathering").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = gathered.join(blocks, "gathering").join(placed.select("class_id", "component").distinct(), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    tasks = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gathering", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
     tasks = tasks.join(sets.select("class_id", "grams").dropDuplicates(["class_id"]), "class_id")
 
     def join_block(table: pa.Table) -> pa.Table:
@@ -307,7 +310,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
         cross = component[q] != component[s]
         return _links(ids[q][cross], ids[s][cross])
 
-    more = tasks.groupBy("meeting", "i", "j").applyInArrow(join_block, "a long, b long")
+    more = tasks.groupBy("gathering", "i", "j").applyInArrow(join_block, "a long, b long")
     # Stars of the first round stand for its links.
     final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id"))
