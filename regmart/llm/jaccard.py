@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from regmart.llm.common import Rolling, as_bytes, checkpointed, documents, mix, partitions, session, slices
 from regmart.llm.graph import components, forest
 
-#: Sets compared in one task on either side.
+#: Sets, and n-grams of them, compared in one task on either side.
 BLOCK = 1024
+MASS = 1 << 20
 #: Meetings of at most so many sets are compared in full at once.
 FEW = 8
 FLUSH = 1 << 20
@@ -122,13 +123,16 @@ def tree_join(queries: list[np.ndarray], sets: list[np.ndarray], num: int, den:
         m = min(length[i - 1], length[i])
         unequal = np.flatnonzero(rows[i - 1][:m] != rows[i][:m])
         shared[i] = unequal[0] if len(unequal) else m
-    has = np.zeros((len(queries), len(grams) + 1), np.int32)
-    for k, q in enumerate(queries):
-        at = np.searchsorted(grams, q)
-        at[at == len(grams)] = 0
-        has[k, rank[at[grams[at] == q]]] = 1
-    left = np.cumsum(has[:, ::-1], axis=1)[:, ::-1]  # n-grams of a query from a number on
+    # Queries as postings: by n-gram number for the overlaps, by query for the n-grams that are left.
     size = np.array([len(q) for q in queries])
+    flat, owner = np.concatenate(queries), np.repeat(np.arange(len(queries)), size)
+    at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+    known = grams[at] == flat
+    number, owner, width = rank[at[known]], owner[known], len(grams) + 1
+    by_number = np.argsort(number, kind="stable")
+    posting, first = owner[by_number], np.searchsorted(number[by_number], np.arange(width))
+    place = np.sort(owner * width + number)
+    last = np.cumsum(np.bincount(owner, minlength=len(queries)))
     found_q, found_s = [], []
     stack = [(0, len(rows), 0, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
     while stack:
@@ -136,9 +140,11 @@ def tree_join(queries: list[np.ndarray], sets: list[np.ndarray], num: int, den:
         end = int(length[low]) if high - low == 1 else int(min(shared[low + 1 : high].min(), length[low]))
         segment = rows[low][depth:end]
         if len(segment):
-            overlap = overlap + has[np.ix_(active, segment)].sum(axis=1)
+            counts = first[segment + 1] - first[segment]
+            hits = posting[np.repeat(first[segment] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+            overlap = overlap + np.bincount(hits, minlength=len(queries))[active]
         least, most = int(length[low:high].min()), int(length[low:high].max())
-        after = left[active, rows[low][end - 1] + 1] if end else size[active]
+        after = last[active] - np.searchsorted(place, active * width + rows[low][end - 1] + 1) if end else size[active]
         ok = overlap + np.minimum(after, most - end) >= needed(size[active], least, num, den)
         active, overlap = active[ok], overlap[ok]
         if not len(active):
@@ -293,7 +299,8 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     apart = placed.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class_id").alias("b")).filter("low < high").select("meeting", "b")
     # Meetings that share members are one gathering, so that a set travels once for each block of it and not for each meeting.
     gathered = components(placed.join(apart, "meeting").select(F.col("class_id").alias("a"), "b")).toDF("class_id", "gathering")
-    blocks = gathered.groupBy("gathering").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    weighed = gathered.join(sets.select("class_id", (F.length("grams") / 8).alias("size")).dropDuplicates(["class_id"]), "class_id")
+    blocks = weighed.groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / MASS)).cast("int").alias("blocks"))
     mine = gathered.join(blocks, "gathering").join(placed.select("class_id", "component").distinct(), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     tasks = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gathering", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
     tasks = tasks.join(sets.select("class_id", "grams").dropDuplicates(["class_id"]), "class_id")
