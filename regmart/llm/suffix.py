@@ -7,7 +7,7 @@ are dealt by content and indexed by a logarithmic family of suffix arrays:
    string occurs in one document only rule out all their windows, so only hashes are shuffled for them (once, packed by task).
 2. The runs of the other anchors travel as text to the bucket of their anchor. There, batch by batch, runs that are the same text are merged, the windows of the rest get a
    suffix array (sorted by their bytes as big-endian words), which is merge-scanned against the arrays of all levels: of equal windows the least document
-   keeps its own, all others are reported. What is left becomes level 0; levels of equal size merge, so an index of n batches has log n levels.
+   keeps its own (at all its positions), all others are reported. What is left becomes level 0; levels of equal size merge, so an index of n batches has log n levels.
 3. Reported windows return to their document, whose bytes under them go.
 
 Neither a document, a copied text nor a frequent line is ever gathered in one task: buckets are by content of ``K`` bytes, identical runs are one entry of their batch, and
@@ -104,14 +104,15 @@ class Level:
 
     @staticmethod
     def merged(parts: list["Level"]) -> tuple["Level", np.ndarray]:
-        """One array of the least document's entry of every window, and the numbers of the entries that an earlier document has as well."""
+        """One array of all entries of every window's least document, and the numbers of the entries that an earlier document has as well."""
         words, doc, ref = (np.concatenate([getattr(p, f) for p in parts]) for f in ("words", "doc", "ref"))
         order = np.lexsort((doc, *words.T[::-1]))
         words, doc, ref = words[order], doc[order], ref[order]
         first = np.ones(len(doc), bool)
         first[1:] = (words[1:] != words[:-1]).any(axis=1)
         least = doc[first][np.cumsum(first) - 1] if len(doc) else doc
-        return Level(words[first], doc[first], ref[first]), ref[doc > least]
+        keep = doc == least  # every position: a later batch may bring a smaller document, which takes them all
+        return Level(words[keep], doc[keep], ref[keep]), ref[~keep]
 
 
 class Family:
