@@ -13,6 +13,9 @@ are dealt by content and indexed by a logarithmic family of suffix arrays:
 Neither a document, a copied text nor a frequent line is ever gathered in one task: buckets are by content of ``K`` bytes, identical runs are one entry of their batch, and
 the number of buckets follows the shuffle partitions.
 
+A row is named by its id and the 64-bit hash of its text. Its home is dealt by both, so rows of one id (or of none) are spread over all homes; candidates carry 16 bits of the
+hash only, which marks some runs in vain where an id has many texts, and runs and reports carry all of it.
+
 Defined cases: a null or empty text has no bytes; a text shorter than ``length`` keeps all; documents of one id do not count as earlier than each other; null ids come last
 and count as one id; repeated rows give a row each; other columns are ignored.
 """
@@ -36,6 +39,8 @@ BATCH_WINDOWS = 1 << 18
 #: Anchors or windows a task holds before it hands them on.
 FLUSH = 1 << 20
 NO_ID = (1 << 63) - 1
+#: Candidates name a text by its hash modulo this.
+SHORT = 1 << 16
 
 
 class Runs:
@@ -153,7 +158,7 @@ def later_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     known: dict[bytes, tuple[int, int, int, int]] = {}
     again: list[tuple[bytes, tuple[int, int, int, int]]] = []
     for row in zip(*(table.column(c).to_pylist() for c in ("doc", "version", "start", "count", "text"))):
-        doc, version, start, count = (unpack(x, k) for x, k in zip(row[:4], ("<i8", "<u2", "<i8", "<i4")))
+        doc, version, start, count = (unpack(x, k) for x, k in zip(row[:4], ("<i8", "<i8", "<i8", "<i4")))
         text, p = unpack(row[4]), 0
         for entry in zip(doc.tolist(), version.tolist(), start.tolist(), count.tolist()):
             run = text[p : p + entry[3] + length - 1]
@@ -197,14 +202,17 @@ def later_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left) and spans (start:end of what went)."""
-    rows = documents(docs, id_col=id_col, text_col=text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("version"), F.col("text").cast("binary").alias("text"))
+    rows = documents(docs, id_col=id_col, text_col=text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
     buckets = partitions(docs, 2)
     homes = buckets | 1
-    home = F.pmod(F.col("doc"), F.lit(homes)).cast("int")
+    home = F.pmod(F.pmod(F.col("doc"), F.lit(homes)) + F.pmod(F.col("version"), F.lit(SHORT)), F.lit(homes)).cast("int")
+
+    def home_of(doc: np.ndarray, version: np.ndarray) -> np.ndarray:
+        return np.mod(np.mod(doc, homes) + np.mod(version.astype(np.int64), SHORT), homes)
 
     def each(doc: list[int], version: list[int], text: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, Runs]]:
         for part in slices(text):
-            yield np.array([doc[i] for i in part], np.int64), np.array([version[i] for i in part], np.uint16), Runs([text[i] for i in part], length, k)
+            yield np.array([doc[i] for i in part], np.int64), np.array([version[i] for i in part], np.int64), Runs([text[i] for i in part], length, k)
 
     def dealt(kinds: list[list[np.ndarray]], key: np.ndarray, second: np.ndarray, names: list[str], name: str) -> pa.RecordBatch:
         arrays = [np.concatenate(x) for x in kinds]
@@ -223,7 +231,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
 
         for batch in batches:
             for doc, version, runs in each(*(batch.column(i).to_pylist() for i in range(3))):
-                for into, x in zip(kinds, (runs.anchor, doc[runs.text], version[runs.text], runs.start)):
+                for into, x in zip(kinds, (runs.anchor, doc[runs.text], np.mod(version, SHORT).astype(np.uint16)[runs.text], runs.start)):
                     into.append(x)
                 held += len(runs.at)
                 if held >= FLUSH:
@@ -240,7 +248,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         sizes = np.diff(np.append(cuts, len(h)))
         many = np.repeat(np.minimum.reduceat(doc, cuts) < np.maximum.reduceat(doc, cuts), sizes) if len(h) else np.zeros(0, bool)
         doc, version, start = doc[many], version[many], start[many]
-        out = dealt([[doc], [version], [start]], np.mod(doc, homes), doc, ["doc", "version", "start"], "home")
+        out = dealt([[doc], [version], [start]], home_of(doc, version), doc, ["doc", "version", "start"], "home")
         return pa.Table.from_batches([out])
 
     def texts_of(table: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
@@ -262,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
             for docs_, versions, runs in each(*([x[i] for i in fresh] for x in (doc, version, text))):
                 if not len(runs.at):
                     continue
-                own = mix(docs_[runs.text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(versions[runs.text].astype(np.uint64) << np.uint64(44) | runs.start.astype(np.uint64)))
+                own = mix(docs_[runs.text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.mod(versions, SHORT)[runs.text].astype(np.uint64) << np.uint64(44) | runs.start.astype(np.uint64)))
                 spot = np.minimum(np.searchsorted(mark, own), len(mark) - 1)
                 hit = np.flatnonzero(mark[spot] == own)
                 bucket = ((runs.anchor[hit] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
@@ -280,12 +288,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
 
     def scan_bucket(table: pa.Table) -> pa.Table:
         d, v, s, c = later_windows(table, length)
-        return pa.Table.from_batches([dealt([[d], [v.astype(np.uint16)], [s], [c]], np.mod(d, homes), d, ["doc", "version", "start", "count"], "home")])
+        return pa.Table.from_batches([dealt([[d], [v], [s], [c]], home_of(d, v), d, ["doc", "version", "start", "count"], "home")])
 
     def cut(texts: pa.Table, found: pa.Table) -> pa.Table:
         rows_ = []
         if texts.num_rows:
-            d, v, s, c = (np.concatenate([unpack(x, kind) for x in found.column(n).to_pylist()] or [np.zeros(0, kind)]) for n, kind in (("doc", "<i8"), ("version", "<u2"), ("start", "<i8"), ("count", "<i8")))
+            d, v, s, c = (np.concatenate([unpack(x, kind) for x in found.column(n).to_pylist()] or [np.zeros(0, kind)]) for n, kind in (("doc", "<i8"), ("version", "<i8"), ("start", "<i8"), ("count", "<i8")))
             order = np.lexsort((v, d))
             d, v, s, c = d[order], v[order], s[order], c[order]
             for doc, version, text in zip(*texts_of(texts)):

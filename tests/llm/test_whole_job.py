@@ -1,5 +1,6 @@
 """Operators against brute force where a bound inside them once changed the result."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -21,9 +22,31 @@ def test_suffix_index_reports_every_position_across_batches(monkeypatch):
         for p in range(len(run) - length + 1):
             least[run[p : p + length]] = min(doc, least.get(run[p : p + length], doc))
     want = {(doc, start + p) for doc, start, run in runs for p in range(len(run) - length + 1) if least[run[p : p + length]] < doc}
-    columns = [np.array(x, kind) for x, kind in zip(zip(*((d, 0, s, len(r) - length + 1) for d, s, r in runs)), ("<i8", "<u2", "<i8", "<i4"))]
+    columns = [np.array(x, kind) for x, kind in zip(zip(*((d, 0, s, len(r) - length + 1) for d, s, r in runs)), ("<i8", "<i8", "<i8", "<i4"))]
     packed = suffix.pack(*columns, b"".join(r for *_, r in runs))
     table = pa.table([pa.array([x], pa.binary()) for x in packed], names=["doc", "version", "start", "count", "text"])
     doc, _, start, count = suffix.later_windows(table, length)
     got = {(int(d), int(s) + i) for d, s, c in zip(doc, start, count) for i in range(int(c))}
     assert got == want
+
+
+def test_suffix_texts_of_one_id(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passages = [word(90) for _ in range(8)]
+    # Thousands of texts under null ids and under one id, of all lengths: 16 bits cannot tell them apart.
+    rows = [(i, p) for i, p in enumerate(passages)]
+    rows += [(None if k % 2 else 99, f"{k} " + word(rnd.randrange(60)) + rnd.choice(passages) + word(rnd.randrange(9))) for k in range(3000)]
+    want, least, last = [], {}, lambda i: 1 << 63 if i is None else i
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            least[t[p : p + 50]] = min(last(i), least.get(t[p : p + 50], 1 << 63))
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if least[t[p : p + 50]] < last(i):
+                gone[p : p + 50] = b"\1" * 50
+        want.append((i, len(t), sum(gone), hashlib.sha256(bytes(b for b, x in zip(t.encode(), gone) if not x)).hexdigest()))
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_text=False).collect()
+    order = lambda r: (r[0] is None, *map(str, r))
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=order) == sorted(want, key=order)
