@@ -1,12 +1,17 @@
 """LM scoring: class-based n-grams after Brown, with classes from exchange clustering.
 
-Word counts come from every training text. The ``TOP_WORDS`` most frequent words are put into ``CLASSES`` classes by exchange clustering: a word moves to
-the class that raises the likelihood of the class bigrams most, until none moves. All other words, known or not, belong to classes by their form (digits, end
-mark, length). Class transitions are counted over every training text and smoothed with class frequencies; a word's emission is its share of its class, and in form
-classes an absolute discount makes room for unknown words.
+Word counts come from every training text. Classes are learned for every word that occurs twice or more, and there are more of them as the vocabulary grows:
 
-A batch of about ``BATCH_ROWS`` documents asks for the counts of its distinct words by a shuffle join, so no vocabulary is ever held whole; what is
-broadcast or collected is bounded by TOP_WORDS (their bigrams).
+1. The ``TOP_WORDS`` most frequent words are the seed: exchange clustering in the driver moves a word to the class that raises the likelihood of the class bigrams most,
+   until none moves or after ``PASSES`` passes. All other words are in classes by their form (digits, end mark, length) as yet.
+2. One round in Spark counts (word, class before) and (word, class after) over every training text, dealt by word, and moves every word of two or more occurrences, seeds
+   as well, to the class under which its neighbours are likeliest, against the broadcast table of seed classes. Only words that occur once or never stay in forms.
+
+Class transitions are then counted anew over every training text and smoothed with class frequencies; a word's emission is its share of its class, and in form classes an
+absolute discount makes room for unknown words.
+
+A batch of about ``BATCH_ROWS`` documents asks for the counts and classes of its distinct words by a shuffle join, so no vocabulary is ever held whole; what is
+broadcast or collected is bounded by the seed's bigrams and by the squared number of classes.
 
 Defined cases: a null or empty text is the end token alone; repeated rows and null ids are scored row by row; a null id trains (its remainder is unknown, not
 held out); without training texts every count is 0; other columns are ignored.
@@ -16,19 +21,25 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regmart.llm.common import as_bytes, checkpointed, crc_of_id, documents, session
+from regmart.llm.common import as_bytes, checkpointed, crc_of_id, documents, partitions, session
 
 TOP_WORDS, CLASSES, BATCH_ROWS = 1000, 32, 1024
 DISCOUNT, PRIOR, PASSES = 0.6, 50.0, 6
+#: Classes are the vocabulary to this power, CLASSES at least.
+GROWTH = 0.3
+#: Tokens a task holds before it hands on what it counted.
+FLUSH = 1 << 21
 FORMS = 12
 _DIGIT = re.compile(rb"[0-9]").search
 
@@ -105,20 +116,6 @@ def exchange(bigrams: np.ndarray, n_top: int, classes: int = CLASSES, passes: in
     return of
 
 
-@dataclass(frozen=True)
-class ClassModel:
-    """``of``: symbol -> class; ``transition``: log10 P(class | class before); ``emit``: per class (log10 N, discount, log10 P(unknown))."""
-
-    top: list[bytes]
-    of: np.ndarray
-    transition: np.ndarray
-    log_size: np.ndarray
-    discount: np.ndarray
-    log_unknown: np.ndarray
-    n: int
-    v: int
-
-
 def is_training() -> F.Column:
     return F.coalesce(crc_of_id() % 7 != 2, F.lit(True))
 
@@ -144,8 +141,37 @@ def batch_words(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([batch] * n, pa.int32()), pa.array(words, pa.binary()), pa.array([trained.get(w, 0) for w in words], pa.int64()), pa.array([form(w) for w in words], pa.int32())], names=["batch", "word", "n", "form"])
 
 
-def train(docs: DataFrame, counts: DataFrame, top_words: int = TOP_WORDS, classes: int = CLASSES) -> ClassModel:
-    """``counts``: word, n and form over the training texts among ``docs`` (doc_id, text, train)."""
+def class_count(words: int) -> int:
+    """Learned classes for a vocabulary of so many words that occur twice or more."""
+    return max(CLASSES, round(words**GROWTH))
+
+
+@dataclass(frozen=True)
+class Seed:
+    """``of``: class of every symbol of the seed; ``classes`` of them are learned, then come the forms and the end; ``table``: class bigrams."""
+
+    top: list[bytes]
+    of: np.ndarray
+    classes: int
+    table: np.ndarray
+
+    @property
+    def first_form(self) -> int:
+        return self.classes
+
+    @property
+    def end(self) -> int:
+        return self.classes + FORMS
+
+
+def smoothed(table: np.ndarray) -> np.ndarray:
+    size = table.sum(axis=0)
+    share = (size + 1) / (size.sum() + len(table))
+    return (table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR)
+
+
+def seed(docs: DataFrame, counts: DataFrame, top_words: int, classes: int) -> Seed:
+    """Classes of the most frequent words; ``counts``: word and n over the training texts among ``docs`` (doc_id, text, train)."""
     spark = session(docs)
     top = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(top_words).select("word").collect()]
     end = len(top) + FORMS
@@ -174,73 +200,180 @@ def train(docs: DataFrame, counts: DataFrame, top_words: int = TOP_WORDS, classe
     g = int(of.max()) + 1
     table = np.zeros((g, g))
     np.add.at(table, (of[:, None], of[None, :]), bigrams)
-    size = table.sum(axis=0)
-    forms = counts.groupBy("form").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()
-    v, n = sum(r.v for r in forms), sum(r.n for r in forms)
-    distinct = np.zeros(FORMS)
-    for r in forms:
-        distinct[r.form] = r.v
-    for w in top:
-        distinct[form(w)] -= 1
-    first_form = int(of[len(top)])
-    discount, unknown = np.zeros(g), np.full(g, 1e-12)
-    form_size = size[first_form : first_form + FORMS]
-    discount[first_form : first_form + FORMS] = DISCOUNT
-    unknown[first_form : first_form + FORMS] = np.where(distinct > 0, DISCOUNT * distinct / np.maximum(form_size, 1), 1.0)
-    ends = int(table[int(of[end])].sum()) if n or table.any() else 0
-    share = (size + 1) / (size.sum() + g)
-    transition = (table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR)
-    return ClassModel(top, of, np.log10(transition), np.log10(np.maximum(size, 1)), discount, np.log10(unknown), int(n + ends), int(v + (ends > 0)))
+    return Seed(top, of, g - FORMS - 1, table)
+
+
+def best_classes(counted: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The class of every word that makes its neighbours likeliest; ``counted``: a row a word, how often each class comes before it and (second half) after it."""
+    g = len(table)
+    log = np.log(smoothed(table))
+    before, after = counted[:, :g], counted[:, g:]
+    score = before @ log[:, :classes] + after @ log[:classes].T - before.sum(axis=1, keepdims=True) * np.log(np.maximum(table.sum(axis=0)[:classes], 1.0))
+    return score.argmax(axis=1)
+
+
+def clustered(docs: DataFrame, start: Seed) -> DataFrame:
+    """word, n, form and class (null: the form's) of every word of the training texts."""
+    shared, buckets, g = session(docs).sparkContext.broadcast(start), partitions(docs), len(start.table)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s: Seed = shared.value
+        symbols, z = Symbols(s.top), zstandard.ZstdCompressor(level=1)
+
+        def flush() -> pa.RecordBatch:
+            words = list(index)
+            at, of = np.array(line, np.int32), np.array(classes, np.int64)
+            middle = np.flatnonzero(at > 0)
+            codes, n = np.unique(np.concatenate([at[middle] * np.int64(2 * g) + of[at[middle - 1]], at[middle] * np.int64(2 * g) + g + of[at[middle + 1]]]), return_counts=True)
+            word = codes // (2 * g)
+            bucket = np.array([0, *(zlib.crc32(w) % buckets for w in words)])
+            order = np.argsort(bucket[word], kind="stable")
+            codes, n, word = codes[order], n[order], word[order]
+            cuts = np.searchsorted(bucket[word], np.arange(buckets + 1))
+            out = []
+            for b in range(buckets):
+                part = slice(cuts[b], cuts[b + 1])
+                own, size = np.unique(word[part], return_counts=True)
+                if len(own):
+                    arrays = (size.astype("<u4"), (codes[part] % (2 * g)).astype("<u4"), n[part].astype("<u4"))
+                    out.append((b, z.compress(b" ".join(words[i - 1] for i in own.tolist())), *(z.compress(x.tobytes()) for x in arrays)))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*out) if out else [[]] * 5)], ["bucket", "words", "size", "code", "n"])
+
+        index: dict[bytes, int] = {}
+        classes, line = [s.end], [0]
+        for batch in batches:
+            for text in as_bytes(batch.column(0)):
+                for w in tokens(text):
+                    i = index.get(w)
+                    if i is None:
+                        i = index[w] = len(classes)
+                        classes.append(int(s.of[symbols[w]]))
+                    line.append(i)
+                line.append(0)
+                if len(line) > FLUSH:
+                    yield flush()
+                    index, classes, line = {}, [s.end], [0]
+        if index:
+            yield flush()
+
+    def moved(table: pa.Table) -> pa.Table:
+        s: Seed = shared.value
+        index: dict[bytes, int] = {}
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        d = zstandard.ZstdDecompressor()
+        read = lambda blob: np.frombuffer(d.decompress(blob, max_output_size=1 << 31), "<u4")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            k, n = (np.concatenate(x) for x in zip((keys, sums), *held))
+            k, at = np.unique(k, return_inverse=True)
+            return k, np.bincount(at, n, len(k)).astype(np.int64)
+
+        for words, size, code, n in zip(*(table.column(c).to_pylist() for c in ("words", "size", "code", "n"))):
+            ids = [index.setdefault(w, len(index)) for w in d.decompress(words, max_output_size=1 << 31).split(b" ")]
+            held.append((np.repeat(np.array(ids, np.int64), read(size)) * (2 * g) + read(code), read(n).astype(np.int64)))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                keys, sums = added()
+                held = []
+        keys, sums = added()
+        total, of = np.zeros(len(index), np.int64), np.full(len(index), -1, np.int64)
+        step = 4096
+        for low in range(0, len(index), step):
+            a, b = np.searchsorted(keys, [low * 2 * g, min(low + step, len(index)) * 2 * g])
+            counted = np.zeros((min(step, len(index) - low), 2 * g))
+            counted.ravel()[keys[a:b] - low * 2 * g] = sums[a:b]
+            total[low : low + step] = counted[:, :g].sum(axis=1)
+            if s.classes:
+                of[low : low + step] = best_classes(counted, s.table, s.classes)
+        of[total < 2] = -1
+        words = list(index)
+        return pa.table([pa.array(words, pa.binary()), pa.array(total), pa.array([form(w) for w in words], pa.int32()), pa.array(of.astype(np.int32), mask=of < 0)], names=["word", "n", "form", "class"])
+
+    packed = docs.filter("train").select("text").mapInArrow(neighbours, "bucket int, words binary, size binary, code binary, n binary")
+    return packed.groupBy("bucket").applyInArrow(moved, "word binary, n long, form int, class int")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, top_words: int = TOP_WORDS, classes: int = CLASSES, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def score(docs: DataFrame, top_words: int = TOP_WORDS, classes: int | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Scores of every document under the base unigram model and the class model."""
+    context = session(docs).sparkContext
+    rows = documents(docs).withColumn("train", is_training())
     in_batches = batched(docs, batch_rows)
     words = in_batches.groupBy("batch").applyInArrow(batch_words, "batch int, word binary, n long, form int")
-    counts = checkpointed(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"), F.first("form").alias("form")))
-    model = train(documents(docs).withColumn("train", is_training()), counts, top_words, classes)
-    shared = session(docs).sparkContext.broadcast(model)
-    known = words.select("batch", "word").join(counts.select("word", "n"), "word")
-
-    def run(keys: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        m: ClassModel = shared.value
-        count = dict(zip((x.as_py() for x in found.column("word")), found.column("n").to_pylist()))
-        symbols = Symbols(m.top)
-        log_total = math.log10(m.n + m.v + 1)
-        end_symbol = len(m.top) + FORMS
-        end_class = int(m.of[end_symbol])
+    counts = checkpointed(words.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")))
+    start = seed(rows, counts, top_words, classes or class_count(counts.filter("n > 1").count()))
+    vocabulary = checkpointed(clustered(rows, start))
+    known = words.select("batch", "word").join(vocabulary.select("word", "n", "class"), "word")
+    first_form, end, g = start.first_form, start.end, len(start.table)
+    ends = int(start.table[end].sum())
+    forms = vocabulary.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("class").isNull()).alias("once")).collect()
+    n_all, v_all = sum(r.n for r in forms) + ends, sum(r.v for r in forms) + (ends > 0)
+
+    def labelled(keys: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
+        count = dict(zip((x.as_py() for x in found.column("word")), zip(found.column("n").to_pylist(), found.column("class").to_pylist())))
+        log_total, z = math.log10(n_all + v_all + 1), zstandard.ZstdCompressor(level=1)
         index: dict[bytes, int] = {}
-        base, emit, cls, seen = [], [], [], []
+        base, emit, code = [], [], []
 
-        def add(n: int, symbol: int) -> int:
-            c = int(m.of[symbol])
+        def add(n: int, c: int, discount: float) -> int:
             base.append(math.log10(n + 1) - log_total)
-            cls.append(c)
-            seen.append(n > 0)
-            emit.append(math.log10(n - m.discount[c]) - m.log_size[c] if n > 0 else m.log_unknown[c])
+            emit.append(math.log10(n - discount) if n > 0 else 0.0)
+            code.append(2 * c + (n > 0))
             return len(base) - 1
 
-        ends = int(round(10 ** m.log_size[end_class])) if m.n else 0
-        add(ends, end_symbol)
-        rows: list[tuple] = []
+        add(ends, end, 0.0)
+        lines: list[tuple] = []
         for doc_id, train, text in zip(texts.column("doc_id").to_pylist(), texts.column("train").to_pylist(), (x for c in texts.column("text").chunks for x in as_bytes(c))):
             line = []
             for w in tokens(text):
                 i = index.get(w)
                 if i is None:
-                    i = index[w] = add(count.get(w, 0), symbols[w])
+                    n, c = count.get(w, (0, None))
+                    i = index[w] = add(n, first_form + form(w), DISCOUNT) if c is None else add(n, c, 0.0)
                 line.append(i)
-            rows.append((doc_id, not train, np.array([*line, 0], np.int32)))
-        base_a, emit_a, cls_a, seen_a = np.array(base), np.array(emit), np.array(cls), np.array(seen)
-        out = []
-        for doc_id, held_out, line in rows:
-            c = cls_a[line]
-            before = np.concatenate([[end_class], c[:-1]])
-            out.append((doc_id, held_out, len(line), int(seen_a[line].sum()), m.n, float(base_a[line].sum()), float(emit_a[line].sum() + m.transition[before, c].sum())))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], names=[x.split(" ")[0] for x in SCORES.split(", ")])
+            lines.append((doc_id, train, np.array([*line, 0], np.int32)))
+        base_a, emit_a, code_a = np.array(base), np.array(emit), np.array(code, "<u2")
+        out = [(doc_id, train, z.compress(code_a[line].tobytes()), float(base_a[line].sum()), float(emit_a[line].sum())) for doc_id, train, line in lines]
+        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.float64(), pa.float64())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], names=["doc_id", "train", "line", "base", "emit"])
+
+    lines = checkpointed(in_batches.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(labelled, "doc_id long, train boolean, line binary, base double, emit double"))
+
+    def codes_of(line: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(line, max_output_size=1 << 31), "<u2").astype(np.int64)
 
-    return in_batches.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(run, SCORES)
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(g * g, np.int64)
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                c = codes_of(line) >> 1
+                np.add.at(total, np.concatenate([[end], c[:-1]]) * g + c, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
+
+    pairs = lines.filter("train").select("line").mapInArrow(transitions, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most the squared number of classes
+    table = np.zeros((g, g))
+    table.ravel()[pairs.code.to_numpy(dtype=np.int64)] = pairs.n
+    size = table.sum(axis=0)
+    log_unknown = np.full(g, -12.0)
+    distinct = np.zeros(FORMS)
+    for r in forms:
+        distinct[r.form] = r.once
+    form_size = size[first_form : first_form + FORMS]
+    log_unknown[first_form : first_form + FORMS] = np.log10(np.where(distinct > 0, DISCOUNT * distinct / np.maximum(form_size, 1), 1.0))
+    shared = context.broadcast((np.log10(smoothed(table)), np.stack([log_unknown, -np.log10(np.maximum(size, 1))], axis=1).ravel()))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, by_code = shared.value
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        for batch in batches:
+            out = []
+            for doc_id, train, line, base, emit in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                code = codes_of(line)
+                c = code >> 1
+                out.append((doc_id, not train, len(c), int((code & 1).sum()), n_all, base, emit + float(by_code[code].sum() + transition[np.concatenate([[end], c[:-1]]), c].sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 7, kinds)], [x.split(" ")[0] for x in SCORES.split(", ")])
+
+    return lines.mapInArrow(scored, SCORES)

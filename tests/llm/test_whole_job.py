@@ -1,12 +1,14 @@
 """Operators against brute force where a bound inside them once changed the result."""
 
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from regmart.llm import suffix
+from regmart.llm import lm, suffix
 
 
 def test_suffix_index_reports_every_position_across_batches(monkeypatch):
@@ -50,3 +52,27 @@ def test_suffix_texts_of_one_id(spark):
     got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_text=False).collect()
     order = lambda r: (r[0] is None, *map(str, r))
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got), key=order) == sorted(want, key=order)
+
+
+def test_lm_learns_classes_beyond_the_seed(spark):
+    rnd = random.Random(7)
+    # Two kinds of words that look alike and alternate; there are many more of them than words of the seed.
+    kinds = [[f"w{k}{i:04d}x" for i in range(150)] for k in "ab"]
+    texts = [" ".join(rnd.choice(kinds[j % 2]) for j in range(60)) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = rows.withColumn("train", lm.is_training())
+    seen = {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for w in t.split():
+                seen[w] = seen.get(w, 0) + 1
+    counts = spark.createDataFrame([(w.encode(), n) for w, n in seen.items()], "word binary, n long")
+    found = lm.clustered(train, lm.seed(train, counts, 20, 2)).collect()
+    assert {bytes(r.word).decode(): r.n for r in found} == seen
+    assert all((r["class"] is None) == (r.n < 2) for r in found)
+    sides = [{r["class"] for r in found if bytes(r.word).decode() in kind and r["class"] is not None} for kind in kinds]
+    assert len(sides[0]) == len(sides[1]) == 1 and sides[0] != sides[1]
+    assert lm.class_count(10**7) > lm.class_count(10**6) > lm.class_count(1000)
+    got = lm.score(rows, top_words=20, classes=2).collect()
+    per_token = sum(r.score for r in got) / sum(r.n_tokens for r in got)
+    assert per_token > -math.log10(150) - 0.1  # as sure as the kinds allow; by forms alone it is log10(300)
