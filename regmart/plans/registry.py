@@ -392,9 +392,8 @@ def _(spark, d):
 
 @query("scl_01_repair_mojibake")
 def _(spark, d):
-    docs = b.read(spark, d, "documents").filter(~F.col("text").rlike("[ÂÃÐÑ]") & F.col("text").rlike("^[\\u0000-\\u00ff]*$"))
-    damaged = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return docs.select("doc_id", (text.repair_mojibake(damaged) == F.col("text")).alias("same"))
+    repaired = text.repair_mojibake(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+    return b.read(spark, d, "documents").select("doc_id", repaired.alias("repaired"), (repaired == F.col("text")).alias("same"))
 
 
 @query("scl_08_slug", "SELECT n_nationkey, regexp_replace(trim(regexp_replace(lower(n_name), '[^a-z0-9\\s-]', '', 'g')), '[\\s-]+', '-', 'g') AS slug FROM nation")
