@@ -1,14 +1,14 @@
 """Quality classifier: naive Bayes support vectors.
 
-Indicators of word n-grams and of the n-grams of word shapes are hashed to ``BUCKETS`` columns. Class counts of every
-labelled training row give log-count ratios r = log((p / |p|) / (q / |q|)); the indicators scaled by r feed a linear hinge-loss
-model fitted by dual coordinate descent. Counts are aggregated by Spark; the descent runs on at most ``SAMPLE_ROWS``
-labelled rows, chosen by hash, so what the driver holds has a fixed bound, as has the broadcast model. Scoring is one
-scan without a shuffle.
-
-Defined cases: an empty or null text has one indicator of its own; null labels and labels that meet no document teach nothing;
-a document labelled twice counts twice; without labels of both classes every score is the share of label 1 (0.5 if none);
-repeated rows and null ids are scored row by row; other columns are ignored.
+Indicators of words, word pairs, word shapes and shape pairs are hashed to ``BUCKETS`` columns. Class counts give log-count ratios
+r = log((p / |p|) / (q / |q|)); the indicators scaled by r feed a linear hinge-loss model fitted by dual coordinate descent.
+Both are learned from a sample of the labelled rows: ids chosen by hash, about ``SAMPLE_ROWS`` of them and at most ``SAMPLE_COLUMNS`` indicators, so what
+is broadcast (ids, model) and what the driver holds have a fixed bound at every size. A text never travels: the ids of the sample go to the
+scan of the documents. Scoring is one scan without a shuffle.
+
+Defined cases: an empty or null text has one indicator of its own; null labels, labels without an id and labels that meet no document teach nothing; an id that is labelled
+twice has the label given more often (1 where both are as frequent); equal rows of one id teach once; without labels of both classes every score is the share of
+label 1 (0.5 if none); repeated rows and null ids are scored row by row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regmart.llm.common import crc_of_id, documents, session
+from regmart.llm.common import checkpointed, crc_of_id, documents, mix, session
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 SMOOTHING = 1.0
-#: Rows that the descent sees at most; all labelled rows count for the ratios.
-SAMPLE_ROWS = 6000
+#: Labelled rows, and their indicators, that the model learns from at most.
+SAMPLE_ROWS, SAMPLE_COLUMNS = 6000, 1 << 24
 COST, PASSES = 1.0, 12
 THRESHOLD = 0.3
 
@@ -44,37 +44,47 @@ class _Shapes(dict):
 
 _TABLE = _Shapes(_SHAPE)
 _RUN = re.compile(r"(.)\1+")
-_shape_of: dict[str, str] = {}
 
 
 def shape(word: str) -> str:
     """Classes of the word's characters, runs as one."""
-    if word not in _shape_of:
-        if len(_shape_of) > 200_000:
-            _shape_of.clear()
-        _shape_of[word] = _RUN.sub(r"\1", word[:64].translate(_TABLE))
-    return _shape_of[word]
+    return _RUN.sub(r"\1", word.translate(_TABLE))
+
+
+def _crc(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "replace"))
+
+
+class _Words(dict):
+    """Word -> hashes of its lower-cased form and of its shape (doubled, plus one for a plain word), in one number."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        s = shape(word)
+        out = _crc("w" + word.lower()) << 32 | (_crc("s" + s) >> 1) << 1 | (s in ("a", "Aa", "A"))
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
+_WORDS = _Words()
 
 
 def indicators(text: str) -> np.ndarray:
     """Sorted distinct columns of a text's n-gram indicators."""
     words = text.split()
     if not words:
-        return np.array([zlib.crc32(b"empty") % BUCKETS], np.int32)
-    shapes = [shape(w) for w in words]
-    low = text.lower().split()
-    grams = {f"w{w}" for w in low}
-    grams |= {f"s{s}" for s in shapes}
-    grams |= {f"t{a} {b}" for a, b in set(zip(shapes, shapes[1:]))}
-    pairs = set(zip(low, low[1:]))
-    if len(words) > 8:
-        lines = [x for x in text.split("\n") if x]
-        grams.add(f"d{int(8 * len(pairs) / (len(words) - 1))}")
-        grams.add(f"l{int(4 * len(set(lines)) / len(lines))}")
-        plain = sum(s in ("a", "Aa", "A") for s in shapes)
-        grams.add(f"p{int(8 * plain / len(words))}")
-    crc = zlib.crc32
-    return np.unique(np.fromiter((crc(g.encode("utf-8", "replace")) % BUCKETS for g in grams), np.int32, len(grams)))
+        return np.array([_crc("empty") % BUCKETS], np.int32)
+    both = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    word, form = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+    plain = int((form & np.uint64(1)).sum())
+    pairs = mix(word[:-1] << np.uint64(32) | word[1:])
+    forms = mix(form[:-1] << np.uint64(32) | form[1:])
+    lines = [x for x in text.split("\n") if x]
+    ratios = (f"d{8 * len(np.unique(pairs)) // max(1, len(pairs))}", f"l{4 * len(set(lines)) // len(lines)}", f"p{8 * plain // len(words)}")
+    found = np.concatenate([mix(word), mix(form + np.uint64(1 << 40)), pairs, forms, np.array([_crc(x) for x in ratios], np.uint64)])
+    return np.unique((found % np.uint64(BUCKETS)).astype(np.int32))
 
 
 @dataclass(frozen=True)
@@ -91,7 +101,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -40, 40))))
 
 
-def ratios(rows: list[np.ndarray], n_pos: float, n_neg: float, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+def ratios(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """Log-count ratio of every column."""
     p, q = pos + SMOOTHING, neg + SMOOTHING
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
@@ -133,44 +144,40 @@ def calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on ``docs`` joined to ``labels`` by doc_id; give it training rows only."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label_col) == 1).alias("good"))
-    joined = documents(docs).join(known, "doc_id")
+def sampled(docs: DataFrame, labels: DataFrame, label_col: str, sample_rows: int, sample_columns: int) -> list[tuple[np.ndarray, bool]]:
+    """Indicators and labels of the sample, in a fixed order."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.sum(2 * F.col(label_col) - 1) >= 0).alias("good"))
+    share = lambda n, most: int((1 << 20) * min(1.0, most / max(1, n)))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    few = checkpointed(known.filter(chance < share(known.count(), sample_rows)))
+    ids = F.broadcast(few)  # about SAMPLE_ROWS rows of 9 bytes
+    # An id may have many texts: a scan of ids alone tells how many rows the sample would have.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(ids, "doc_id").count()
+    by_text = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 20))
+    found = documents(docs).join(ids, "doc_id").filter(by_text < share(rows, 2 * sample_rows)).select("doc_id", "text", "good")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [indicators(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tolist() for x in found], pa.list_(pa.int32()))], ["doc_id", "good", "columns"])
+            for doc_id, text, good in zip(*(c.to_pylist() for c in batch.columns)):
+                columns = indicators(text)
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([good]), pa.array([len(columns)], pa.int64()), pa.array([columns.astype("<i4").tobytes()], pa.binary())], ["doc_id", "good", "n", "columns"])
 
-    rows = joined.select("doc_id", "text", "good").mapInArrow(extract, "doc_id long, good boolean, columns array<int>")
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            for good, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                totals[int(good), t] += 1
-                n[int(good)] += 1
-        at = np.flatnonzero(totals.any(axis=0))
-        for low in range(0, len(at), 1 << 15):
-            part = at[low : low + (1 << 15)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(totals[1, part]), pa.array(totals[0, part])], ["bucket", "pos", "neg"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array(n[1:]), pa.array(n[:1])], ["bucket", "pos", "neg"])
-
-    counts = rows.mapInArrow(count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()  # at most BUCKETS + 1 rows
-    n = counts[counts.bucket < 0]
-    n_pos, n_neg = (float(n[k].sum()) for k in ("pos", "neg"))
+    taught = checkpointed(found.mapInArrow(extract, "doc_id long, good boolean, n long, columns binary").distinct())
+    total = taught.agg(F.sum("n")).first()[0] or 0
+    kept = taught.filter(F.pmod(F.xxhash64("columns"), F.lit(1 << 20)) < share(total, sample_columns)).collect()
+    return [(np.frombuffer(r.columns, "<i4").astype(np.int64), r.good) for r in sorted(kept, key=lambda r: (r.doc_id, r.columns))]
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_columns: int = SAMPLE_COLUMNS) -> Model:
+    """Fits on a sample of ``docs`` joined to ``labels`` by doc_id; give it training labels only."""
+    sample = sampled(docs, labels, label_col, sample_rows, sample_columns)
+    found, y = [c for c, _ in sample], np.array([1.0 if good else -1.0 for _, good in sample])
+    n_pos, n_neg = int((y > 0).sum()), int((y < 0).sum())
     if not (n_pos and n_neg):
         share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.5
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    counts = counts[counts.bucket >= 0]
-    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    pos[counts.bucket], neg[counts.bucket] = counts.pos, counts.neg
-    total = n_pos + n_neg
-    few = joined if total <= sample_rows else joined.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / total))
-    sample = few.select("doc_id", "text", "good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows).mapInArrow(extract, "doc_id long, good boolean, columns array<int>").limit(2 * sample_rows).collect()
-    sample.sort(key=lambda x: (x[0], x[1], x[2]))
-    found, y = [np.array(x[2], np.int64) for x in sample], np.array([1.0 if x[1] else -1.0 for x in sample])
-    r = ratios(found, n_pos, n_neg, pos, neg)
+    pos, neg = (np.bincount(np.concatenate([c for c, k in zip(found, y) if k == sign]), minlength=BUCKETS) for sign in (1, -1))
+    r = ratios(pos, neg)
     w, bias = descend(found, y, r)
     plain = Model(w.astype(np.float32), bias, 1.0, 0.0)
     margins = np.array([float(plain.weights[c].sum()) / max(1.0, np.sqrt(len(c))) + bias for c in found])
