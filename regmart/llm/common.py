@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,18 @@ def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[range]:
         yield range(start, len(texts))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut, without copies, into slices of about ``most`` bytes in column ``text``, so that what Python holds does not follow the batch."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        total = np.cumsum(sizes, dtype=np.int64)
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + most, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -10,8 +10,9 @@
    members still fall into several components are put together where they share members and joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
 4. Links, as spanning forests, become components by star contraction.
 
-Defined cases: a null or empty text has no shingles and links with nothing; fewer words than n make one shingle; rows that repeat an id are one document; rows without an id
-have no component; other columns are ignored.
+Defined cases: a null or empty text has no shingles and links with nothing; fewer words than n make one shingle; in ``similar`` rows that repeat an id are one document, linked
+wherever one of its texts is (a row of it without words keeps the id as its component), and rows without an id have no component; in ``one_of_each`` every row is a document;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regmart.llm.common import Rolling, as_bytes, checkpointed, documents, mix, partitions, session, slices
+from regmart.llm.common import Rolling, as_bytes, checkpointed, documents, mix, partitions, pieces, slices
 from regmart.llm.graph import components, forest
 
 #: Sets, and n-grams of them, compared in one task on either side.
@@ -172,19 +173,22 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def shingle_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set) and set_id (its first eight bytes) of every document."""
+ROWS = "doc_id long, text_hash long, n_shingles long, set_key binary, set_id long"
+
+
+def shingle_rows(rows: DataFrame, n: int) -> DataFrame:
+    """n_shingles, set_key (null for an empty set) and set_id (its first eight bytes) of every row of doc_id, text_hash and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             sizes, keys = [], []
-            for s in shingle_sets(as_bytes(batch.column(1)), n):
+            for s in shingle_sets(as_bytes(batch.column(2)), n):
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
             ids = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "set_key", "set_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["doc_id", "text_hash", "n_shingles", "set_key", "set_id"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, set_id long")
+    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, ROWS)
 
 
 def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -208,7 +212,7 @@ def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                 [pa.array(bucket[cuts].astype(np.int32)), pa.array([sig[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([own[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "sigs", "owners"]
             )
 
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for s in shingle_sets(as_bytes(batch.column(0)), n):
                 if not len(s):
                     continue
@@ -259,24 +263,26 @@ def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, "a long, b long, meeting long")
 
 
-def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id reached by links of Jaccard similarity num / den or more) of every document."""
-    rows = documents(docs, id_col=id_col, text_col=text_col)
-    known = checkpointed(shingle_rows(rows, n))
-    classes = known.filter("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("set_id").alias("set_id"))
-    met = checkpointed(meetings(rows.filter("doc_id is not null"), n, num, den).distinct())
+def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id: bool) -> tuple[DataFrame, DataFrame]:
+    """Every row (row, doc_id, text_hash, n_shingles, set_key) and, for every set_key, its component (a long; sets with the same one are linked).
+
+    Sets are nodes, named by the least number of their rows, and stand for all rows that have them. With ``one_document_per_id``, sets that share an id are linked.
+    """
+    known = checkpointed(shingle_rows(rows, n).withColumn("row", F.monotonically_increasing_id()))  # numbers hold once they are in the shared folder
+    classes = checkpointed(known.filter("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("set_id").alias("set_id")))
+    met = checkpointed(meetings(rows, n, num, den).distinct())
     pairs, members = met.filter("meeting is null").select("a", "b"), met.filter("meeting is not null").select(F.col("a").alias("set_id"), "meeting")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             found = list(shingle_sets(as_bytes(batch.column(2)), n))
-            ids = [int.from_bytes(set_key(s)[:8], "little", signed=True) if len(s) else None for s in found]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], ["class_id", "set_id", "grams"])
-            yield out.filter(pa.array([i == j for i, j in zip(ids, batch.column(1).to_pylist())], pa.bool_()))  # a repeated id may have other texts
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], ["class_id", "set_id", "grams"])
 
+    # A set is made anew from the text of one of its rows; rows that repeat an id and a text give it more than once.
     wanted = classes.join(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "set_id", "left_semi")
-    sets = wanted.join(rows, F.col("class_id") == F.col("doc_id")).select("class_id", "set_id", "text").mapInArrow(to_sets, "class_id long, set_id long, grams binary").dropDuplicates(["class_id", "set_id"])
-    sets = checkpointed(sets)
+    wanted = wanted.select("class_id", "set_id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash"))
+    texts = rows.join(wanted, (rows["text_hash"] == wanted["of_hash"]) & rows["doc_id"].eqNullSafe(wanted["of_id"])).select("class_id", "set_id", "text")
+    sets = checkpointed(texts.mapInArrow(to_sets, "class_id long, set_id long, grams binary").dropDuplicates(["class_id"]))
 
     # Pairs: partners come to their lesser member, hot ones in several portions.
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("portions"))
@@ -295,15 +301,15 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     labels = checkpointed(components(links))
 
     # Large meetings whose members are still apart: all against all, in blocks.
-    placed = members.join(sets.select("set_id", "class_id"), "set_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    placed = checkpointed(members.join(sets.select("set_id", "class_id"), "set_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("meeting", "class_id", "component"))
     apart = placed.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class_id").alias("b")).filter("low < high").select("meeting", "b")
     # Meetings that share members are one gathering, so that a set travels once for each block of it and not for each meeting.
-    gathered = components(placed.join(apart, "meeting").select(F.col("class_id").alias("a"), "b")).toDF("class_id", "gathering")
-    weighed = gathered.join(sets.select("class_id", (F.length("grams") / 8).alias("size")).dropDuplicates(["class_id"]), "class_id")
-    blocks = weighed.groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / MASS)).cast("int").alias("blocks"))
+    gathered = checkpointed(components(placed.join(apart, "meeting").select(F.col("class_id").alias("a"), "b")).toDF("class_id", "gathering"))
+    sizes = sets.select("class_id", (F.length("grams") / 8).alias("size"))
+    blocks = gathered.join(sizes, "class_id").groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / MASS)).cast("int").alias("blocks"))
     mine = gathered.join(blocks, "gathering").join(placed.select("class_id", "component").distinct(), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     tasks = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gathering", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
-    tasks = tasks.join(sets.select("class_id", "grams").dropDuplicates(["class_id"]), "class_id")
+    tasks = tasks.join(sets.select("class_id", "grams"), "class_id")
 
     def join_block(table: pa.Table) -> pa.Table:
         ids, component, block = (table.column(c).to_numpy() for c in ("class_id", "component", "block"))
@@ -317,8 +323,48 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
         cross = component[q] != component[s]
         return _links(ids[q][cross], ids[s][cross])
 
-    more = tasks.groupBy("gathering", "i", "j").applyInArrow(join_block, "a long, b long")
     # Stars of the first round stand for its links.
-    final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    of_class = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component_id"))
-    return known.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id"))
+    more = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tasks.groupBy("gathering", "i", "j").applyInArrow(join_block, "a long, b long"))
+    if one_document_per_id:
+        repeated = known.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x < y").select("doc_id")
+        many = known.join(repeated, "doc_id").filter("set_key is not null").select("doc_id", "set_key").distinct().join(classes.select("set_key", "class_id"), "set_key")
+        more = more.unionByName(many.join(many.groupBy("doc_id").agg(F.min("class_id").alias("b")), "doc_id").select(F.col("class_id").alias("a"), "b"))
+    final = components(more)
+    return known, classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_key", F.coalesce("component", "class_id").alias("component"))
+
+
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return documents(docs, id_col=id_col, text_col=text_col).withColumn("text_hash", F.xxhash64("text"))
+
+
+def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id reached by links of Jaccard similarity num / den or more) of every document."""
+    rows = hashed(docs, id_col, text_col)
+    known, linked = linked_sets(rows.filter("doc_id is not null"), n, num, den, True)
+    placed = known.join(linked, "set_key", "left").select("doc_id", "n_shingles", "set_key", "component")
+    least = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = linked.join(least, "component").select("set_key", "component_id")
+    of_id = known.join(of_set, "set_key", "left")
+    with_id = of_id.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    bare = shingle_rows(rows.filter("doc_id is null"), n).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return with_id.unionByName(bare)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that are linked to another that stays: of each group of linked rows the one with the least
+    doc_id (null last), then the least text hash. Rows of one id with texts of their own are rows of their own; of rows alike in id and text one stays; rows without words all stay."""
+    known, linked = linked_sets(hashed(docs), n, num, den, False)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    placed = known.join(linked, "set_key")
+    least = placed.groupBy("component").agg(F.min(place).alias("least"))
+    kept = least.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+    twice = known.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    wordless = known.filter("set_key is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    marks = kept.withColumn("_words", F.lit(True)).unionByName(wordless.withColumn("_words", F.lit(False)))
+    marks = marks.join(twice.withColumn("_twice", F.lit(True)), on=[marks["_id"].eqNullSafe(twice["_id"]), marks["_hash"] == twice["_hash"]], how="left").select(marks["_id"], marks["_hash"], "_words", F.coalesce("_twice", F.lit(False)).alias("_twice"))
+    names = docs.columns
+    own = docs.withColumn("_own_id", F.col("doc_id").cast("long")).withColumn("_own_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    stay = checkpointed(marks)
+    met = lambda some: own.join(some, (F.col("_own_hash") == F.col("_hash")) & F.col("_own_id").eqNullSafe(F.col("_id")))
+    once = met(stay.filter("not (_twice and _words)")).select(*names)
+    return once.unionByName(met(stay.filter("_twice and _words")).dropDuplicates(["_own_id", "_own_hash"]).select(*names))

@@ -5,11 +5,12 @@ beyond ``most_repeats`` times its size, the excess shared anew among the others.
 demand one after the other, pass after pass, until its target is met; a document's position is where the source's integrated
 schedule reaches the demand before it, and the mix is range-sorted by position.
 
-Running sums never gather a source in one task: rows are dealt to ``BUCKETS`` hash ranges of each source, sums of the
-ranges are added up in a small table (sources times BUCKETS rows), and only a range is ever ordered by one task.
+Running sums never gather a source in one task: rows alike are counted first, the others are dealt to ``BUCKETS`` hash ranges of each source, sums of the
+ranges are added up in a small table (sources times BUCKETS rows), and only a range is ever ordered by one task. Running sums over the sources themselves go by
+ranges as well, so that a table may have a source for every row.
 
-Defined cases: a null or empty text has size 0 and is never taken; a null source is a source, the last; equal ids and repeated rows
-are documents of their own, told apart by text and then taken alike in a fixed order; a source of size 0 has target 0; an
+Defined cases: a null or empty text has size 0 and is never taken; a null source is a source, the last; equal ids with texts of their own are documents of their own; rows alike in id, source
+and text are copies that follow each other, and any of them stands for the others; a source of size 0 has target 0; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def order_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.length(text))
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
 
 
 def sized(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -40,49 +41,59 @@ def sized(docs: DataFrame, text_col: str = "text", source_col: str = "source") -
     return rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), order_key(F.col("text")).alias("order_key"))
 
 
+def ahead(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` with running sums of what stands before each in ``order``, which tells all rows apart. Rows are range-partitioned; a task orders its range, and what
+    stands before the ranges comes from a table of one row a partition."""
+    dealt = checkpointed(rows.select("*", *(x.alias(f"_{name}") for name, x in sums.items())).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*(F.sum(f"_{name}").alias(f"_{name}") for name in sums))
+    offsets = ranges.select("_range", *(F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in sums))
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = dealt.join(F.broadcast(offsets), "_range").select("*", *((F.coalesce(F.sum(f"_{name}").over(own), F.lit(0)) + F.col(f"_before_{name}")).alias(name) for name in sums))
+    return found.select(*rows.columns, *sums)
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_repeats: float = MOST_REPEATS, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
     """A row for each source: source, source_size, weight, slope and target.
 
     Shares that stop at a limit: with sources in ascending order of limit / weight, a source is held at its limit if giving every source from it
     on the same multiple of its weight would pass the limit. One ordered pass over the sources finds the common multiple.
     """
-    all_rows = Window.orderBy(F.col("source").asc_nulls_last())
+    one = ahead(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()], i=F.lit(1))
     one = (
-        sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-        .withColumn("i", F.row_number().over(all_rows) - 1)
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int")))
+        one.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int")))
         .withColumn("slope", F.element_at(F.array(*map(F.lit, slopes)), (F.col("i") % len(slopes) + 1).cast("int")))
         .withColumn("limit", F.col("source_size") * most_repeats)
     )
-    by_level = Window.orderBy(F.col("limit") / F.col("weight"), "i")
-    before, total = by_level.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size, weight = one.agg(F.sum("source_size"), F.sum("weight")).first()
     level = (
-        one.withColumn("budget", F.sum("source_size").over(total) * share)
-        .withColumn("used", F.coalesce(F.sum("limit").over(before), F.lit(0)))
-        .withColumn("weight_left", F.sum("weight").over(total) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("multiple", F.greatest(F.lit(0.0), (F.col("budget") - F.col("used")) / F.col("weight_left")))
+        ahead(one, [F.col("limit") / F.col("weight"), F.col("i")], used=F.col("limit"), weight_used=F.col("weight"))
+        .withColumn("multiple", F.greatest(F.lit(0.0), (F.lit(float(size or 0) * share) - F.col("used")) / (F.lit(weight or 0.0) - F.col("weight_used"))))
         .withColumn("free", F.col("multiple") * F.col("weight") < F.col("limit"))
-        .withColumn("common", F.min_by("multiple", F.struct((~F.col("free")).cast("int"), F.col("limit") / F.col("weight"), F.col("i"))).over(total))
-        .withColumn("any_free", F.max(F.col("free").cast("int")).over(total))
     )
-    target = F.when(F.col("any_free") == 0, F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), F.col("common") * F.col("weight")))
-    return level.select("source", "source_size", "weight", "slope", target.alias("target"))
+    level = checkpointed(level)
+    common, free = level.agg(F.min_by("multiple", F.struct((~F.col("free")).cast("int"), F.col("limit") / F.col("weight"), F.col("i"))), F.max("free")).first()
+    limit = F.col("limit").cast("double")
+    return level.select("source", "source_size", "weight", "slope", (F.least(limit, F.lit(common) * F.col("weight")) if free else limit).alias("target"))
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_repeats: int = MOST_REPEATS, slopes: tuple[float, ...] = SLOPES, buckets: int = BUCKETS) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, passes (times the mix takes it) and positions (one for each time, in [0, 1])."""
-    sizes = checkpointed(sized(docs).withColumn("bucket", F.pmod(F.shiftright("order_key", 20), F.lit(buckets)).cast("int")))
-    per = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.withColumn("offset", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words").withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    goals = targets(sizes, weights, share, most_repeats, slopes).withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    source_key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    alike = sized(docs).groupBy("doc_id", "source", "size", "order_key").agg(F.count("*").alias("copies"))
+    sizes = checkpointed(alike.withColumn("bucket", F.pmod(F.shiftright("order_key", 20), F.lit(buckets)).cast("int")).withColumn("words", F.col("size") * F.col("copies")))
+    per = sizes.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").withColumn("source_key", source_key)
+    goals = targets(sizes.select("source", F.col("words").alias("size")), weights, share, most_repeats, slopes).withColumn("source_key", source_key).drop("source")
     offsets = offsets.drop("source").join(goals, "source_key")
     own = Window.partitionBy("source_key", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = (
-        sizes.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-        .withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
+        sizes.withColumn("source_key", source_key)
+        .withColumn("inside", F.coalesce(F.sum("words").over(own), F.lit(0)))
         .join(offsets, ["source_key", "bucket"])
-        .withColumn("start", F.col("offset") + F.col("inside"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("start", F.col("offset") + F.col("inside") + F.col("copy") * F.col("size"))
     )
     # A document is taken in a pass if its middle lies within what the target leaves for that pass.
     middle = F.col("start") + F.col("size") / 2
@@ -108,12 +119,14 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns, range-sorted by position."""
     names = docs.columns
-    keyed = docs.select(F.struct(*names).alias("row"), F.struct(F.col("doc_id").cast("long"), F.col("source").cast("string"), order_key(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("key"))
-    taken = plan(docs, **options).groupBy(F.struct("doc_id", "source", "order_key").alias("key")).agg(F.max_by("positions", "passes").alias("positions"))
-    return keyed.join(taken, "key").select("row.*", F.explode("positions").alias("_position")).orderBy("_position", "doc_id").select(*names)
+    id_key, source_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    rows = docs.select(*names, id_key.alias("_id"), source_key.alias("_source"), order_key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_order")).dropDuplicates(["_id", "_source", "_order"])
+    taken = plan(docs, **options).select(id_key.alias("_id"), source_key.alias("_source"), F.col("order_key").alias("_order"), F.explode("positions").alias("_position"))
+    return rows.join(taken, ["_id", "_source", "_order"]).orderBy("_position", "doc_id").select(*names)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """A row for each document, in the order of its first position: doc_id, size, source_size, target, taken, first_position."""
+    """A row for each document, range-sorted by its first position (those never taken last): doc_id, size, source_size, target, taken, first_position."""
     rows = plan(docs, **options)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    found = rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    return found.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from regmart.llm import lm, suffix
+from regmart.llm import jaccard, lm, mixing, suffix
 
 
 def test_suffix_index_reports_every_position_across_batches(monkeypatch):
@@ -112,3 +112,77 @@ def test_lm_learns_classes_beyond_the_seed(spark):
 
 def test_lm_classes_grow_with_the_input():
     assert lm.class_count(10**10) > lm.class_count(10**9) > lm.class_count(10**7) > 0
+
+
+def test_jaccard_rows_that_repeat_an_id(spark):
+    a, b, c = ("the river rose and people moved uphill before noon " + w for w in ("alpha", "completely different words stand here in this one", "x y z"))
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, None), (9, c), (9, None), (None, a), (None, ""), (None, "")], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_shingles > 0, r.component_id) for r in jaccard.similar(rows).collect()), key=str)
+    assert got == sorted([(3, True, 3), (5, True, 3), (5, True, 3), (7, True, 3), (9, True, 9), (9, False, 9), (9, False, 9), (0, True, None), (0, False, None), (0, False, None)], key=str)
+    kept = jaccard.one_of_each(rows.unionByName(rows)).collect()
+    want = [(3, a), (5, b), (9, c), *[(9, None)] * 4, *[(None, "")] * 4]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+
+
+def test_components_of_hubs_and_chains(spark):
+    from regmart.llm.graph import components
+
+    rnd = random.Random(11)
+    hub = [(1_000_000 + i, 7) for i in range(4000)] + [(2_000_000 + i, 999_999) for i in range(3000)] + [(999_999, 7)]
+    chain = [(i, i + 1) for i in range(5000, 5600)]
+    loose = [(rnd.randrange(20_000, 21_000), rnd.randrange(20_000, 21_000)) for _ in range(600)]
+    links = hub + chain + loose
+    root = {}
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for x, y in links:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    rnd.shuffle(links)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
+    assert got == {x: find(x) for pair in links for x in pair if pair[0] != pair[1] or x in got}
+
+
+def plain_targets(sizes, weights=(3, 1, 2)):
+    """Targets by giving out the rest again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {s: 0.0 for s in names}, set(names), 1.5 * sum(sizes.values())
+    while open_ and left > 1e-9:
+        total = sum(weight[s] for s in open_)
+        full = {s for s in open_ if target[s] + left * weight[s] / total >= 2 * sizes[s]}
+        if not full:
+            for s in open_:
+                target[s] += left * weight[s] / total
+            break
+        for s in full:
+            left -= 2 * sizes[s] - target[s]
+            target[s] = 2.0 * sizes[s]
+        open_ -= full
+    return target
+
+
+def test_mixing_against_plain_targets(spark):
+    rnd = random.Random(2)
+    for n_sources in (1, 5, 40):
+        rows = [(i if i % 9 else None, " w" * rnd.choice((0, 1, 3, 10, 60)), None if i % n_sources == 4 else f"s{i % n_sources:02d}") for i in range(900)]
+        rows += [(5000, " hot" * 7, "s00")] * 450 + [(5000, "other", "s00"), (5001, None, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        sizes = {}
+        for _, t, s in rows:
+            sizes[s] = sizes.get(s, 0) + len((t or "").split())
+        want = plain_targets(sizes)
+        got = mixing.plan(docs).collect()
+        assert len(got) == len(rows)
+        for s in sizes:
+            mine = [r for r in got if r.source == s]
+            assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == sizes[s] and r.passes <= 2 for r in mine)
+            assert abs(sum(r["size"] * r.passes for r in mine) - want[s]) <= 60
+        out = mixing.mixed_documents(docs).collect()
+        count = lambda xs: sorted(f"{x}" for x in xs)
+        assert count((r.doc_id, r.source, len((r.text or "").split())) for r in out) == count((r.doc_id, r.source, r["size"]) for r in got for _ in range(r.passes))
+        firsts = [r.first_position for r in mixing.mixed(docs).collect()]
+        taken = [x for x in firsts if x is not None]
+        assert firsts[: len(taken)] == sorted(taken) and len(firsts) == len(rows)
