@@ -23,9 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join over five-word shingles at 0.8: of each group the least doc_id stays; rows without an id stay."""
-    lesser = jaccard.similar(docs, n=5, num=80, den=100).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lesser, "doc_id", "left_anti").select(*docs.columns)
+    """N-gram Jaccard join over five-word shingles at 0.8: of each group the row with the least doc_id stays; texts without words all stay."""
+    return jaccard.one_of_each(docs, n=5, num=80, den=100)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
