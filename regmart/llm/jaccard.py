@@ -6,8 +6,8 @@
    16 bytes a part, packed by task.
 3. Sets that meet are compared in a prefix tree: sets in one global order of n-grams, common prefixes shared, all queries descending together with their
    overlaps so far, a subtree left as soon as the remaining lengths cannot reach the threshold.
-   Small meetings are compared in full. In a large one, members are first compared with its least member and their neighbours; meetings whose
-   members still fall into several components are put together where they share members and joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
+   First every set is compared with the least one of each of its meetings. Where members of a meeting are not in one component after that, its members are gathered, with those
+   of meetings that share some of them, and joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
 4. Links, as spanning forests, become components by star contraction.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than n make one shingle; in ``similar`` rows that repeat an id are one document, linked
@@ -32,8 +32,6 @@ from regmart.llm.graph import components, forest
 #: Sets, and n-grams of them, compared in one task on either side.
 BLOCK = 1024
 MASS = 1 << 20
-#: Meetings of at most so many sets are compared in full at once.
-FEW = 8
 FLUSH = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -192,7 +190,7 @@ def shingle_rows(rows: DataFrame, n: int) -> DataFrame:
 
 
 def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Set ids that meet in a part: pairs (a, b), and members (a, meeting) of meetings of more than FEW sets."""
+    """Stars of the meetings: (a, b) for every set id b that meets a in a part, a being the least one there."""
     buckets = partitions(docs, 4)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,38 +227,15 @@ def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         own = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()])
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-        sig, own = sig[fresh], own[fresh]
-        cuts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        sizes = np.diff(np.append(cuts, len(sig)))
-        a, b, member, meeting, seen = [], [], [], [], set()
-        two = cuts[sizes == 2]
-        a.append(own[two])
-        b.append(own[two + 1])
-        for c, size in zip(cuts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            own_here = own[c : c + size]
-            if size <= FEW:
-                x, y = np.triu_indices(size, 1)
-                a.append(own_here[x])
-                b.append(own_here[y])
-                continue
-            name = int.from_bytes(hashlib.blake2b(own_here.tobytes(), digest_size=8).digest(), "little", signed=True)
-            if name in seen:
-                continue
-            seen.add(name)
-            a += [np.full(size - 1, own_here[0]), own_here[1:-1]]
-            b += [own_here[1:], own_here[2:]]
-            member.append(own_here)
-            meeting.append(np.full(size, name))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-        m = np.concatenate(member) if member else np.zeros(0, np.int64)
-        names = np.concatenate(meeting) if meeting else np.zeros(0, np.int64)
-        null = lambda k: pa.nulls(k, pa.int64())
-        return pa.table([pa.concat_arrays([pa.array(pairs[0]), pa.array(m)]), pa.concat_arrays([pa.array(pairs[1]), null(len(m))]), pa.concat_arrays([null(pairs.shape[1]), pa.array(names)])], names=["a", "b", "meeting"])
+        first = np.ones(len(sig), bool)
+        first[1:] = sig[1:] != sig[:-1]
+        least = own[first][np.cumsum(first) - 1] if len(own) else own
+        star = least != own
+        pairs = np.unique(np.stack([least[star], own[star]]), axis=1)
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     packed = docs.select("text").mapInArrow(parts, "bucket int, sigs binary, owners binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long, meeting long")
+    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -270,8 +245,7 @@ def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id
     """
     known = checkpointed(shingle_rows(rows, n).withColumn("row", F.monotonically_increasing_id()))  # numbers hold once they are in the shared folder
     classes = checkpointed(known.filter("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("set_id").alias("set_id")))
-    met = checkpointed(meetings(rows, n, num, den).distinct())
-    pairs, members = met.filter("meeting is null").select("a", "b"), met.filter("meeting is not null").select(F.col("a").alias("set_id"), "meeting")
+    pairs = checkpointed(meetings(rows, n, num, den))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 2):
@@ -300,14 +274,17 @@ def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id
     links = checkpointed(own.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(compare, "a long, b long"))
     labels = checkpointed(components(links))
 
-    # Large meetings whose members are still apart: all against all, in blocks.
-    placed = checkpointed(members.join(sets.select("set_id", "class_id"), "set_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).select("meeting", "class_id", "component"))
-    apart = placed.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class_id").alias("b")).filter("low < high").select("meeting", "b")
-    # Meetings that share members are one gathering, so that a set travels once for each block of it and not for each meeting.
-    gathered = checkpointed(components(placed.join(apart, "meeting").select(F.col("class_id").alias("a"), "b")).toDF("class_id", "gathering"))
+    # All sets that met in some part are partners of one set. Where partners of a set are not in one component with it, they may still be similar to each other: they are
+    # gathered and joined in full, in blocks. Gatherings that share members are one, so that a set travels once for each block of it.
+    place = sets.select("set_id", "class_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_id", "class_id", F.coalesce("component", "class_id").alias("component"))
+    place = checkpointed(place)
+    ends = pairs.join(place.toDF("a", "class_a", "component_a"), "a").join(place.toDF("b", "class_b", "component_b"), "b")
+    ends = checkpointed(ends.select("class_a", "class_b", (F.col("component_a") != F.col("component_b")).alias("apart")))
+    centers = ends.filter("apart").groupBy("class_a").agg(F.count("*").alias("n")).select("class_a")
+    gathered = checkpointed(components(ends.join(centers, "class_a", "left_semi").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).toDF("class_id", "gathering"))
     sizes = sets.select("class_id", (F.length("grams") / 8).alias("size"))
     blocks = gathered.join(sizes, "class_id").groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / MASS)).cast("int").alias("blocks"))
-    mine = gathered.join(blocks, "gathering").join(placed.select("class_id", "component").distinct(), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    mine = gathered.join(blocks, "gathering").join(place.select("class_id", "component"), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     tasks = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gathering", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
     tasks = tasks.join(sets.select("class_id", "grams"), "class_id")
 
@@ -324,7 +301,7 @@ def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id
         return _links(ids[q][cross], ids[s][cross])
 
     # Stars of the first round stand for its links.
-    more = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tasks.groupBy("gathering", "i", "j").applyInArrow(join_block, "a long, b long"))
+    more = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(checkpointed(tasks.groupBy("gathering", "i", "j").applyInArrow(join_block, "a long, b long")))
     if one_document_per_id:
         repeated = known.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x < y").select("doc_id")
         many = known.join(repeated, "doc_id").filter("set_key is not null").select("doc_id", "set_key").distinct().join(classes.select("set_key", "class_id"), "set_key")
