@@ -6,7 +6,7 @@ beyond ``SCAN_BYTES`` use a heap over the same ranks, for a scan would be quadra
 size and is broadcast; texts never leave their partition, so there is no shuffle.
 
 Defined cases: a null or empty text has no tokens; a special token's string in a text is that token, as the
-tokenizers library has it; repeated rows and null ids are encoded row by row; other columns are ignored.
+tokenizers library has it; repeated rows and null ids are encoded row by row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from regmart.llm.common import documents, session
+from regmart.llm.common import documents, pieces, session
 
 SCAN_BYTES = 256
 #: Words whose ids a task keeps at hand; beyond it the table starts afresh.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 #: Fixed value: the word pattern of this family of byte-level vocabularies.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -184,7 +184,7 @@ def _run(docs: DataFrame, path: str, schema: str, digest: bool) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         printed = Printed(encoder)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = batch.column(1).to_pylist()
             if digest:
                 columns = zip(*map(printed.digest, texts)) if texts else [[]] * 3

@@ -6,7 +6,7 @@ the root, which gives each element's exact content marginal in time linear in th
 templates of ``html_pages`` and, if a table of labelled pages is given, a bounded sample of it. A page is a unit of work inside the scan: no
 shuffle, memory of one page, and the model is small and broadcast.
 
-Defined cases: a null or empty page has empty text; text outside any element is a paragraph; broken markup is closed as browsers close it; repeated rows and null ids keep their place; other columns are ignored.
+Defined cases: a null or empty page has empty text; text outside any element is a paragraph; broken markup is closed as browsers close it; repeated rows and null ids keep their place; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("script style title head template noscript iframe svg select textarea button object".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
+P_LIMITS = ("button", "td", "th", "caption", "table", "object", "body")
 LIMITS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "body": ("html",)}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -58,22 +59,48 @@ class Dom:
     parts: list[tuple[int, str | None]] = field(default_factory=list)
 
 
-def parse(page: str) -> Dom:
-    dom, stack, at, n = Dom(), [0], 0, len(page)
-    nodes, parts = dom.nodes, dom.parts
+class Open:
+    """The open elements, and for every tag the places in the stack where it is open."""
 
-    def close_to(depth: int) -> None:
-        while len(stack) > depth:
-            i = stack.pop()
-            if nodes[i].tag not in INLINE:
-                parts.append((stack[-1], None))
+    def __init__(self, dom: Dom):
+        self.nodes, self.parts = dom.nodes, dom.parts
+        self.stack: list[int] = [0]
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags; 0 if none is open."""
+        return max((places[-1] for tag in tags if (places := self.at.get(tag))), default=0)
+
+    def push(self, i: int) -> None:
+        self.at[self.nodes[i].tag].append(len(self.stack))
+        self.stack.append(i)
+
+    def close_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.nodes[self.stack.pop()].tag
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.parts.append((self.stack[-1], None))
+
+    def close_within(self, tags: Iterable[str], limits: Iterable[str]) -> None:
+        """Closes the innermost element of ``tags`` unless one of ``limits`` is open inside it."""
+        place = self.innermost(tags)
+        if place and place > self.innermost(limits):
+            self.close_to(place)
+
+
+def parse(page: str) -> Dom:
+    """One pass; every step looks only at the innermost open element of some tags, so deep pages take linear time."""
+    dom, at, n = Dom(), 0, len(page)
+    opened = Open(dom)
+    nodes, parts, stack = dom.nodes, dom.parts, opened.stack
 
     def add_text(raw: str) -> None:
         text, node = entities.unescape(raw) if "&" in raw else raw, nodes[stack[-1]]
         parts.append((stack[-1], text))
         if own := len(text.strip()):
             node.text += own
-            if node.tag == "a" or any(nodes[i].tag == "a" for i in stack):
+            if opened.at["a"]:
                 node.linked += own
 
     while at < n:
@@ -86,31 +113,16 @@ def parse(page: str) -> Dom:
         at = m.end()
         if m[1]:
             name = m[1].lower()
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == name:
-                    close_to(depth)
-                    break
-            else:
-                if name in ("br", "p"):
-                    parts.append((stack[-1], " " if name == "br" else None))
+            if place := opened.innermost((name,)):
+                opened.close_to(place)
+            elif name in ("br", "p"):
+                parts.append((stack[-1], " " if name == "br" else None))
         elif m[2]:
             name = m[2].lower()
             if name in CLOSES_P:
-                for depth in range(len(stack) - 1, 0, -1):
-                    tag = nodes[stack[depth]].tag
-                    if tag == "p":
-                        close_to(depth)
-                        break
-                    if tag in ("button", "td", "th", "caption", "table", "object", "body"):
-                        break
+                opened.close_within(("p",), P_LIMITS)
             if name in SELF_CLOSING:
-                for depth in range(len(stack) - 1, 0, -1):
-                    tag = nodes[stack[depth]].tag
-                    if tag in LIMITS[name]:
-                        break
-                    if tag in SELF_CLOSING[name]:
-                        close_to(depth)
-                        break
+                opened.close_within(SELF_CLOSING[name], LIMITS[name])
             if name in VOID:
                 if name in ("br", "hr"):
                     parts.append((stack[-1], " " if name == "br" else None))
@@ -127,8 +139,8 @@ def parse(page: str) -> Dom:
                 if name not in HIDDEN:
                     parts.append((len(nodes) - 1, entities.unescape(page[at:stop])))
             else:
-                stack.append(len(nodes) - 1)
-    close_to(1)
+                opened.push(len(nodes) - 1)
+    opened.close_to(1)
     return dom
 
 
@@ -222,9 +234,7 @@ def fit(pages: Iterable[str], smoothing: float = 0.1) -> Model:
                 unary[f][y[i]] += 1
             if x.parent >= 0:
                 edge[y[x.parent], y[i]] += 1
-    # Class words outweigh what an element's place suggests; length and links are hints only.
-    strength = {"tag": 1.0, "word": 1.5, "links": 0.5, "long": 0.25}
-    logs = {f: tuple((strength[f.split(" ")[0]] * np.log((np.array(c) + smoothing) / (total + 3 * smoothing))).tolist()) for f, c in unary.items()}
+    logs = {f: tuple(np.log((np.array(c) + smoothing) / (total + 3 * smoothing)).tolist()) for f, c in unary.items()}
     return Model(logs, (edge / edge.sum(axis=1, keepdims=True)).tolist())
 
 
@@ -252,9 +262,10 @@ def extract(page: str, model: Model, threshold: float = 0.5) -> str:
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
-def labelled_sample(pages: DataFrame, most: int, html_col: str = "html") -> list[str]:
-    """At most ``most`` pages that carry y marks, by hash order."""
-    return [r[0] for r in pages.filter(F.col(html_col).contains(' y="')).select(html_col).orderBy(F.xxhash64(html_col)).limit(most).collect()]
+def labelled_sample(pages: DataFrame, most: int, most_chars: int = 1 << 18, html_col: str = "html") -> list[str]:
+    """At most ``most`` pages that carry y marks, none longer than ``most_chars``, by hash order."""
+    fine = F.col(html_col).contains(' y="') & (F.length(html_col) <= most_chars)
+    return [r[0] for r in pages.filter(fine).select(html_col).orderBy(F.xxhash64(html_col)).limit(most).collect()]
 
 
 def extract_pages(pages: DataFrame, labelled: DataFrame | None = None, most_labelled: int = 500, threshold: float = 0.5) -> DataFrame:

@@ -2,13 +2,13 @@
 
 Base kinds are matched alone. Weak candidates - bare high-entropy values, account identifiers and endpoints - are
 common in clean text, so each counts only when complementary parts stand near it: the parts of a document are intervals
-of code points, joined by a sorted sweep with the interval of ``reach`` code points around them, within a scope
+of code points, joined where they overlap the interval of ``reach`` code points around each other, within a scope
 (a block between blank lines). A weak secret needs an identifier or an endpoint in reach; an identifier or an endpoint needs a
 secret. A document's parts never meet another document's, so the join runs inside the scan: no shuffle, no skew, memory
 of one document.
 
 Defined cases: a null or empty text has no spans; offsets are code points, ends exclusive; rows are handled one by one, so
-repeated rows and null ids keep their place; other columns are ignored.
+repeated rows and null ids keep their place; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,41 +62,42 @@ def scopes(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer(r"\n[ \t\r]*\n", text))]
 
 
-def near(spans: list[Span], parts: list[Span], starts: list[int], reach: int) -> list[bool]:
-    """For each span, whether one of ``parts`` (ordered by start) begins in its scope within ``reach`` code points of it.
+class Overlaps:
+    """Which of some spans overlap an interval: spans by start, with the greatest end so far, so that one binary search tells."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts = [s[0] for s in spans]
+        self.ends = list(accumulate((s[1] for s in spans), max))
+
+    def any(self, low: int, high: int) -> bool:
+        """Whether a span begins before ``high`` and ends after ``low``."""
+        i = bisect.bisect_left(self.starts, high)
+        return i > 0 and self.ends[i - 1] > low
 
-    An interval join by position: one binary search for each span finds the first part in its interval.
-    """
-    at = [p[0] for p in parts]
-    out = []
+
+def near(spans: list[Span], parts: list[Span], starts: list[int], reach: int) -> list[bool]:
+    """For each span, whether one of ``parts`` (ordered by start) overlaps the interval of ``reach`` code points around it, cut to its scope."""
+    joined, out = Overlaps(parts), []
     for a, b, _ in spans:
         k = bisect.bisect_right(starts, a) - 1
-        low = max(starts[k], a - reach)
-        high = min(starts[k + 1] if k + 1 < len(starts) else 1 << 62, b + reach)
-        i = bisect.bisect_left(at, low)
-        out.append(i < len(at) and at[i] < high)
+        out.append(joined.any(max(starts[k], a - reach), min(starts[k + 1] if k + 1 < len(starts) else 1 << 62, b + reach)))
     return out
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak parts that stand in one scope with their complements."""
-    taken = [s[0] for s in base]
-
-    def free(a: int, b: int) -> bool:
-        i = bisect.bisect_left(taken, b) - 1
-        return not any(s[1] > a for s in base[max(0, i - 3) : i + 1])
-
-    values = [(m.start(), m.end(), "value") for m in VALUE.finditer(text) if random_looking(m[0]) and free(m.start(), m.end())]
-    secrets = sorted([s for s in base if s[2] != "access"] + values)
-    has_access = any(s[2] == "access" for s in base)
-    if not secrets:
+    """Weak parts that stand in one scope with their complements; a value within an identifier or an endpoint is part of it and no complement to it."""
+    taken = Overlaps(base)
+    found = lambda pattern, kind, test=None: [(m.start(), m.end(), kind) for m in pattern.finditer(text) if (test is None or test(m[0])) and not taken.any(m.start(), m.end())]
+    values = found(VALUE, "value", random_looking)
+    if not values and all(s[2] == "access" for s in base):
         return []
-    identifiers = [(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text) if free(m.start(), m.end())]
-    endpoints = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text) if free(m.start(), m.end())]
-    if not (identifiers or endpoints or has_access):
+    identifiers, endpoints = found(IDENTIFIER, "identifier"), found(ENDPOINT, "endpoint")
+    supports = sorted([s for s in base if s[2] == "access"] + identifiers + endpoints)
+    if not supports:
         return []
+    around = Overlaps(sorted(identifiers + endpoints))
+    values = [v for v in values if not around.any(v[0], v[1])]
     starts = scopes(text)
-    supports = sorted([s for s in base if s[2] == "access"] + identifiers + endpoints)
     strong = [v for v, ok in zip(values, near(values, supports, starts, reach)) if ok]
     parts = sorted([s for s in base if s[2] != "access"] + strong)
     weak = identifiers + endpoints

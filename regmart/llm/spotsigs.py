@@ -1,14 +1,14 @@
 """Document fingerprints: spot signatures, in DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased. A common word is an anchor (a fixed list in four languages, and any word of one or two characters); its
-signature is the anchor with the next ``CHAIN`` content words, anchors between them skipped. The start of the text is an anchor as well, so every
+signature is the anchor with the next ``CHAIN`` content words, however many anchors stand between. The start of the text is an anchor as well, so every
 text has a signature. A fingerprint is the sorted set of the signatures' 64-bit hashes; likeness is the Jaccard similarity of two sets.
 
 Neighbours in the order of ids are found without a global sort: ``BUCKET`` ids make a bucket, a window gives each row its follower in the bucket, and
 only the last row of a bucket looks up the first of the next bucket, over a tree of buckets of buckets.
 
 Defined cases: a null text is empty; a text without words has the one signature of an empty chain, so two of them are alike; null ids come first in
-the order; rows of one id are ordered by text; after the last row comes the first, which may be the row itself; other columns are ignored.
+the order; rows of one id are ordered by text; after the last row comes the first, which may be the row itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from regmart.llm.common import checkpointed
 
-CHAIN, REACH, BUCKET_BITS = 2, 4, 6
+CHAIN, BUCKET_BITS = 2, 6
+#: Texts whose signature sets differ so much in length that their likeness is under this have likeness 0.
+LEAST = 0.02
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
     "a about after all also an and any are as at be been but by can could did do for from had has have he her his how i if in into is it its may more most no not of on one only or other our out she so some such than that the their them then there these they this to up was we were what when which who will with would you your "
@@ -32,22 +34,25 @@ ANCHORS = (
 
 def with_signatures(rows: DataFrame, text_col: str, name: str) -> DataFrame:
     """Adds the sorted signature set of a text. Each step is a column of its own, so that no array is computed anew for each of its elements."""
-    words = F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+")
-    marked = F.transform(words, lambda w: F.when(w.isin(sorted(set(ANCHORS))) | (F.length(w) <= 2) & (w != ""), F.concat(F.lit("\x01"), w)).otherwise(w))
-    segments = F.split(F.concat(F.lit("^ "), F.array_join(marked, " "), F.lit(" ")), "\x01")  # an anchor and the content words after it
-    content = F.transform("_segments", lambda s: F.substring_index(F.ltrim(s.substr(F.instr(s, " ") + 1, F.lit(1 << 30))), " ", CHAIN + 1))
+    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    marked = F.transform(words, lambda w: F.when(w.isin(sorted(set(ANCHORS))) | (F.length(w) <= 2), F.concat(F.lit("\x01"), w)).otherwise(w))
+    is_anchor = lambda w: F.startswith(w, F.lit("\x01"))
+    anchors = F.filter(F.transform("_words", lambda w, i: F.when(is_anchor(w), F.struct(w.alias("w"), i.alias("i")))), lambda a: a.isNotNull())
 
-    def signature(s: Column, i: Column) -> Column:
-        following = [F.coalesce(F.get("_content", i + k), F.lit("")) for k in range(REACH)]
-        return F.xxhash64(F.substring_index(s, " ", 1), F.substring_index(F.concat(*following), " ", CHAIN))
+    def signature(anchor: Column, content_before: Column) -> Column:
+        return F.xxhash64(anchor, *(F.coalesce(F.get("_content", content_before + k), F.lit("")) for k in range(CHAIN)))
 
-    steps = rows.withColumn("_segments", segments).withColumn("_content", content)
-    return steps.withColumn(name, F.array_sort(F.array_distinct(F.transform("_segments", signature)))).drop("_segments", "_content")
+    # Of the words before the j-th anchor all but j are content words.
+    found = F.transform("_anchors", lambda a, j: signature(a["w"], a["i"] - j))
+    steps = rows.withColumn("_words", marked).withColumn("_content", F.filter("_words", lambda w: ~is_anchor(w))).withColumn("_anchors", anchors)
+    return steps.withColumn(name, F.array_sort(F.array_distinct(F.array_append(found, signature(F.lit("^"), F.lit(0)))))).drop("_words", "_content", "_anchors")
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Jaccard similarity; sets whose lengths alone keep it under ``least`` are not compared and have 0."""
     shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+    whole = shared / (F.size(a) + F.size(b) - shared)
+    return F.when(F.least(F.size(a), F.size(b)) < least * F.greatest(F.size(a), F.size(b)), 0.0).otherwise(whole) if least else whole
 
 
 def printed(signatures: Column) -> Column:
@@ -107,24 +112,29 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sha2("edited", 256).alias("edited_sha256"),
         printed(F.col("signatures")).alias("fingerprint"),
         printed(F.col("edited_signatures")).alias("edited_fingerprint"),
-        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
-        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+        likeness(F.col("signatures"), F.col("edited_signatures"), LEAST).alias("near_edited"),
+        likeness(F.col("signatures"), F.col("next_signatures"), LEAST).alias("near_next"),
     )
 
 
 def similar(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of different fingerprints with likeness of ``threshold`` or more: left_id < right_id (least ids of their fingerprints), likeness.
 
-    Sets are partitioned by length so that partners lie in one partition or the next; a set of n signatures is found by its n - ceil(threshold * n) + 1
-    least hashes, and pairs whose lengths already rule out the threshold are never compared.
+    Sets are partitioned by length so that partners lie in one partition or the next, and a set of n signatures is found by its n - ceil(threshold * n) + 1
+    rarest ones. Where sets meet, lengths that rule out the threshold, and positions of the shared signature that leave too few others, prune a pair before it is compared.
+    Equal fingerprints are one set, so copies make no pairs.
     """
-    sets = fingerprints(docs, id_col, text_col).groupBy("signatures").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("signatures"))
+    sets = checkpointed(fingerprints(docs, id_col, text_col).filter("doc_id is not null").groupBy("signatures").agg(F.min("doc_id").alias("id")).withColumn("n", F.size("signatures")))
+    each = sets.select("id", "n", F.explode("signatures").alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often"))
+    rank = Window.partitionBy("id").orderBy("often", "sig")
+    placed = each.join(often, "sig").withColumn("at", F.row_number().over(rank)).filter("at <= n - ceil(n * CAST({t} AS double) - 1e-9) + 1".format(t=threshold))
     level = F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int")
-    prefix = F.slice("signatures", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), level.alias("level"), F.explode(prefix).alias("sig"))
-    right = left.toDF("b", "bn", "level", "sig")
-    right = right.select("b", "bn", "sig", F.explode(F.array("level", F.col("level") - 1, F.col("level") + 1)).alias("level"))
-    pairs = left.join(right, ["level", "sig"]).filter((F.col("a") < F.col("b")) & (F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-9)).select("a", "b").distinct()
+    left = placed.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), level.alias("level"), "sig")
+    right = left.toDF("b", "bn", "bat", "level", "sig").select("b", "bn", "bat", "sig", F.explode(F.array("level", F.col("level") - 1, F.col("level") + 1)).alias("level"))
+    needed = threshold / (1 + threshold) * (F.col("an") + F.col("bn")) - 1e-9
+    may = (F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-9) & (F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) + F.least("aat", "bat") >= needed)
+    pairs = left.join(right, ["level", "sig"]).filter((F.col("a") < F.col("b")) & may).select("a", "b").distinct()
     x, y = (sets.select(F.col("id").alias(i), F.col("signatures").alias(s)) for i, s in (("a", "sa"), ("b", "sb")))
     scored = pairs.join(x, "a").join(y, "b").withColumn("likeness", likeness(F.col("sa"), F.col("sb")))
     return scored.filter(F.col("likeness") >= threshold - 1e-12).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "likeness")

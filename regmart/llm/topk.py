@@ -2,12 +2,15 @@
 
 Vectors are dealt by a hash of their id to shards of about ``SHARD_ROWS``; each shard builds a ball tree. Queries come in blocks of about
 ``BLOCK_ROWS``. Nodes are visited in the order of their inner-product upper bound q.c + |q| r, and those whose bound lies under the current
-kth score are cut. The kth score is shared: every block first searches one seed shard, and the scores found there are where all
-other shards start. What shards find is ranked once more for each query.
+kth score are cut. The kth score is shared: shards are searched in rounds of 1, 3, 12, 48, ... shards, and every round starts from the kth scores that all rounds before it
+have found. What shards find is ranked once more for each query.
+
+Inner products are exact: in doubles while they fit 52 bits, in longs while they fit 63, in Python's integers beyond; a score beyond a long is the long nearest to it, as is a
+component.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows without an id, take no part; ties go to the smaller
 vec_id; rows that repeat an id are candidates of their own (not for a query of that id); vectors of another length than the query's are
-no candidates; without queries or candidates there are no rows; other columns are ignored.
+no candidates; without queries or candidates, or from an empty table, there are no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regmart.llm.common import checkpointed
+
 SHARD_ROWS, BLOCK_ROWS, LEAF = 4096, 8192, 96
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -46,8 +52,8 @@ class BallTree:
         self.build(0, len(ids))
         self.ids, self.x = ids[self.order], x[self.order]
         self.center, self.radius = np.array(self.centers), np.array(self.radii)
-        largest = float(np.abs(x).max()) if len(x) else 0.0
-        self.exact = largest * largest * x.shape[1] < 2**52
+        self.largest = float(np.abs(x.astype(np.float64)).max()) if len(x) else 0.0
+        self.far = np.sqrt((self.center**2).sum(axis=1)) + self.radius
         self.f = self.x.astype(np.float64)
 
     def build(self, a: int, b: int) -> int:
@@ -68,10 +74,10 @@ class BallTree:
     def search(self, query_id: int, q: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
         """At most k (score, vec_id), best first, of scores not under ``floor``."""
         qf = q.astype(np.float64)
-        upper = self.center @ qf + math.sqrt(float(qf @ qf)) * self.radius
-        upper += 1e-6 + 1e-9 * np.abs(upper)
+        norm = math.sqrt(float(qf @ qf))
+        upper = self.center @ qf + norm * self.radius + 1e-6 + 1e-9 * norm * self.far
         heap, best = [(-upper[0], 0)], []
-        exact = self.exact and float(np.abs(qf).max()) ** 2 * len(qf) < 2**52
+        most = self.largest * float(np.abs(qf).max()) * len(qf)
         while heap:
             bound, node = heapq.heappop(heap)
             kth = best[-1][0] if len(best) == k else floor
@@ -83,10 +89,10 @@ class BallTree:
                         heapq.heappush(heap, (-upper[c], c))
                 continue
             a, b = self.spans[node]
-            scores = self.f[a:b] @ qf if exact else self.x[a:b] @ q
+            scores = self.f[a:b] @ qf if most < 2**52 else self.x[a:b] @ q if most < 2**62 else np.clip(self.x[a:b].astype(object) @ q.astype(object), LEAST, MOST).astype(np.int64)
             hit = np.flatnonzero((scores >= kth) & (self.ids[a:b] != query_id))
             if len(hit) > k:
-                hit = hit[np.lexsort((self.ids[a:b][hit], -scores[hit]))[:k]]
+                hit = hit[np.lexsort((self.ids[a:b][hit], ~scores[hit].astype(np.int64)))[:k]]
             best = sorted(best + [(int(scores[i]), int(self.ids[a + i])) for i in hit], key=lambda s: (-s[0], s[1]))[:k]
         return best
 
@@ -111,16 +117,24 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 3)], names=["query_id", "vec_id", "score"])
 
     keys = ("shard", "block", "dim")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
 
-    def run(some: DataFrame, with_floor: DataFrame, from_shard: int, to_shard: int) -> DataFrame:
-        left = some.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = with_floor.withColumn("shard", F.explode(F.sequence(F.lit(from_shard), F.lit(to_shard))))
+    def run(low: int, high: int, with_floor: DataFrame) -> DataFrame:
+        left = data.filter((F.col("shard") >= low) & (F.col("shard") < high)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = with_floor.withColumn("shard", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
         right = right.toDF(*right.columns)  # attributes of its own: both sides come from one table
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, FOUND)
 
     once = queries.dropDuplicates(["vec_id", "q"])
-    seeds = run(data.filter(F.col("shard") == 0), once, 0, 0)
-    floors = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least")).alias("floor"))
-    found = run(data, once.join(floors, "vec_id", "left"), 0, shards - 1)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best, low, high = None, 0, 1
+    while low < shards:
+        if best is None:
+            found = run(low, high, once)
+        else:
+            floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least")).alias("floor"))
+            found = run(low, high, once.join(floors, "vec_id", "left")).unionByName(best.select("query_id", "vec_id", "score"))
+        best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        low, high = high, min(shards, 4 * high)
+        if low < shards:
+            best = checkpointed(best)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
