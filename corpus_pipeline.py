@@ -1,7 +1,8 @@
 """Corpus pipeline: from raw documents to token ids, five stages of the training-data operators.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all but the last return the columns of
-documents. ``run`` writes each stage's result as Parquet in the session's shared folder and reads it again for the next, so a lost executor costs no more
+documents, extra columns included. Null and empty texts and null ids go through every stage: the classifier scores them, the join leaves them, the scan finds nothing in them, the mix never
+takes them (they hold no words). Of rows alike in id and text the join keeps one. An empty table gives an empty result. ``run`` writes each stage's result as Parquet in the session's shared folder and reads it again for the next, so a lost executor costs no more
 than the stage at hand.
 """
 
