@@ -3,10 +3,10 @@
 1. Every text becomes a sorted set of 64-bit shingle hashes. Equal sets are one class from here on.
 2. Candidates, exact: two sets within the threshold differ in at most D elements, D set by their sizes. The hash space is cut into more than D parts; at least one part
    holds the same elements of both. Parts are hashed and meet in buckets; sizes are cut into classes so that both sides use the same parts. What is shuffled is
-   16 bytes a part, packed by task.
+   about 10 bytes a part, packed by task.
 3. Sets that meet are compared in a prefix tree: sets in one global order of n-grams, common prefixes shared, all queries descending together with their
    overlaps so far, a subtree left as soon as the remaining lengths cannot reach the threshold.
-   First every set is compared with the least one of each of its meetings. Where members of a meeting are not in one component after that, its members are gathered, with those
+   First every set is compared with the least of its partners (the least sets of its meetings), then with the other partners whose component it is not in. Where members of a meeting are not in one component after that, its members are gathered, with those
    of meetings that share some of them, and joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
 4. Links, as spanning forests, become components by star contraction.
 
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,12 @@ from regmart.llm.graph import components, forest
 BLOCK = 1024
 MASS = 1 << 20
 FLUSH = 1 << 20
+#: Partners of a set that one task compares with it, about.
+PARTNERS = 256
+#: Bytes of a part's signature within its bucket (a chance match is a candidate, no more), and of a set's name.
+SIGNATURE, NAME = 5, 6
+#: Bytes of text that a task packs at a time.
+PACK_BYTES = 1 << 25
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -65,6 +72,23 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def name_of(key: bytes) -> int:
+    """The name by which sets meet: NAME bytes of the key. Sets that share a name are told apart again when their texts are fetched."""
+    return int.from_bytes(key[:NAME], "little")
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of numbers, byte by byte, compressed: the high bytes of sorted numbers all but vanish."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+
+
+def from_planes(blob: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31), np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").ravel()
+
+
 @lru_cache(maxsize=64)
 def size_classes(num: int, den: int, most: int = 1 << 32) -> np.ndarray:
     """Least sizes of the size classes: a set's partners lie in its class or a neighbouring one."""
@@ -161,8 +185,9 @@ def tree_join(queries: list[np.ndarray], sets: list[np.ndarray], num: int, den:
     return (np.concatenate(found_q), np.concatenate(found_s)) if found_q else (none, none)
 
 
-def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+def _sets(column: pa.ChunkedArray, n: int) -> list[np.ndarray]:
+    z = zstandard.ZstdDecompressor()
+    return list(shingle_sets([z.decompress(x, max_output_size=1 << 31) for x in column.to_pylist()], n))
 
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
@@ -171,26 +196,99 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-ROWS = "doc_id long, text_hash long, n_shingles long, set_key binary, set_id long"
+ROWS = "doc_id long, text_hash long, row_hash long, n_shingles long, set_key binary, set_id long"
 
 
 def shingle_rows(rows: DataFrame, n: int) -> DataFrame:
-    """n_shingles, set_key (null for an empty set) and set_id (its first eight bytes) of every row of doc_id, text_hash and text."""
+    """n_shingles, set_key (null for an empty set) and set_id (its name) of every row of doc_id, text_hash, row_hash and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
+        for batch in pieces(batches, 3):
             sizes, keys = [], []
-            for s in shingle_sets(as_bytes(batch.column(2)), n):
+            for s in shingle_sets(as_bytes(batch.column(3)), n):
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-            ids = [int.from_bytes(k[:8], "little", signed=True) if k else None for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["doc_id", "text_hash", "n_shingles", "set_key", "set_id"])
+            ids = [name_of(k) if k else None for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], [c.split(" ")[0] for c in ROWS.split(", ")])
+
+    return rows.select("doc_id", "text_hash", "row_hash", "text").mapInArrow(run, ROWS)
+
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, ROWS)
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class_id, set_id and compressed text of the ``wanted`` rows (class_id, set_id, row_hash, text_hash), each once.
+
+    Texts travel packed by task and bucket, rows alike only once a pack, so neither a frequent row nor a frequent id makes a large group.
+    """
+    buckets = partitions(rows, 2)
+    bucket = F.pmod("row_hash", F.lit(buckets)).cast("int").alias("bucket")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], bytes] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, texts = np.array(list(held), np.int64).reshape(-1, 2), list(held.values())
+            to = np.mod(keys[:, 0], buckets)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+            z, out = zstandard.ZstdCompressor(level=1), []
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                own = order[a:b]
+                out.append((int(to[own[0]]), keys[own].tobytes(), np.array([len(texts[i]) for i in own], "<i8").tobytes(), z.compress(b"".join([texts[i] for i in own]))))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int32(), *[pa.binary()] * 3))], ["bucket", "keys", "sizes", "texts"])
+
+        for batch in pieces(batches, 2):
+            for row, text, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+                if (row, text) not in held:
+                    held[row, text] = raw
+                    size += len(raw)
+            if size >= PACK_BYTES:
+                yield flush()
+                held, size = {}, 0
+        if held:
+            yield flush()
+
+    def fetch(packs: pa.Table, asked: pa.Table) -> pa.Table:
+        to = {(r, t): (c, s) for r, t, c, s in zip(*(asked.column(x).to_pylist() for x in ("row_hash", "text_hash", "class_id", "set_id")))}
+        z, out = zstandard.ZstdCompressor(level=3), []
+        for keys, sizes, texts in zip(*(packs.column(x).to_pylist() for x in ("keys", "sizes", "texts"))) if to else ():
+            keys, ends = np.frombuffer(keys, np.int64).reshape(-1, 2).tolist(), np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
+            raw = zstandard.ZstdDecompressor().decompress(texts, max_output_size=1 << 31)
+            for (row, text), a, b in zip(keys, [0, *ends], ends):
+                if (row, text) in to:
+                    out.append((*to.pop((row, text)), z.compress(raw[a:b])))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], names=["class_id", "set_id", "text"])
+
+    packs = rows.select("row_hash", "text_hash", "text").mapInArrow(pack, "bucket int, keys binary, sizes binary, texts binary")
+    return packs.groupBy("bucket").cogroup(wanted.select("class_id", "set_id", "row_hash", "text_hash", bucket).groupBy("bucket")).applyInArrow(fetch, "class_id long, set_id long, text binary")
+
+
+def linked_by(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (class ids) among ``pairs`` (a, b, portion) of set ids: partners come to their lesser member, portion by portion."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return _links([], [])
+        q, s = tree_join(_sets(left.column("own_text"), n), _sets(right.column("text"), n), num, den)
+        return _links(left.column("class_id").to_numpy()[q], right.column("partner").to_numpy()[s])
+
+    partner = sets.select(F.col("set_id").alias("b"), F.col("class_id").alias("partner"), "text")
+    near = pairs.join(partner, "b").select("a", "portion", "partner", "text").toDF("a", "portion", "partner", "text")  # attributes of its own
+    own = pairs.select("a", "portion").distinct().join(sets.select(F.col("set_id").alias("a"), "class_id", F.col("text").alias("own_text")), "a")
+    keys = ("a", "portion")
+    return own.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
+def apart(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Component of every class, and the pairs with their classes and whether these lie in different components. A set with many partners meets them portion by portion."""
+    place = checkpointed(sets.select("set_id", "class_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_id", "class_id", F.coalesce("component", "class_id").alias("component")))
+    own = pairs.select("a", "portion").distinct().join(place.toDF("a", "class_a", "component_a"), "a")
+    ends = pairs.join(own, ["a", "portion"]).join(place.toDF("b", "class_b", "component_b"), "b")
+    return place, checkpointed(ends.select("a", "b", "portion", "class_a", "class_b", (F.col("component_a") != F.col("component_b")).alias("apart")))
 
 
 def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Stars of the meetings: (a, b) for every set id b that meets a in a part, a being the least one there."""
+    """Stars of the meetings: (a, b) for every set id b that meets a in a part, a being the least one there; ``portion`` splits the partners of a."""
     buckets = partitions(docs, 4)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,20 +300,19 @@ def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             sig = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             own = np.repeat(np.array([o for o, _ in owners], np.int64), [c for _, c in owners]) if owners else np.zeros(0, np.int64)
             bucket = (sig >> np.uint64(40)) % np.uint64(buckets)
-            order = np.lexsort((sig, bucket))
+            order = np.lexsort((own, bucket))
             sig, own, bucket = sig[order], own[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
             ends = np.append(cuts[1:], len(sig))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts].astype(np.int32)), pa.array([sig[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([own[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["bucket", "sigs", "owners"]
-            )
+            found = [(planes(sig[a:b], SIGNATURE), planes(own[a:b].astype(np.uint64), NAME)) for a, b in zip(cuts, ends)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *(pa.array([x[i] for x in found], pa.binary()) for i in range(2))], ["bucket", "sigs", "owners"])
 
         for batch in pieces(batches, 0):
             for s in shingle_sets(as_bytes(batch.column(0)), n):
                 if not len(s):
                     continue
                 keys.append(part_signatures(s, num, den))
-                owners.append((int.from_bytes(set_key(s)[:8], "little", signed=True), len(keys[-1])))
+                owners.append((name_of(set_key(s)), len(keys[-1])))
                 held += len(keys[-1])
                 if held >= FLUSH:
                     yield flush()
@@ -223,8 +320,8 @@ def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("sigs").to_pylist()])
-        own = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("owners").to_pylist()])
+        sig = np.concatenate([from_planes(x, SIGNATURE) for x in table.column("sigs").to_pylist()])
+        own = np.concatenate([from_planes(x, NAME) for x in table.column("owners").to_pylist()]).astype(np.int64)
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
         first = np.ones(len(sig), bool)
@@ -232,10 +329,12 @@ def meetings(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         least = own[first][np.cumsum(first) - 1] if len(own) else own
         star = least != own
         pairs = np.unique(np.stack([least[star], own[star]]), axis=1)
-        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        _, at, n = np.unique(pairs[0], return_inverse=True, return_counts=True)
+        portion = mix(pairs[1].astype(np.uint64)) % (-(-n[at] // PARTNERS)).astype(np.uint64)
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(portion.astype(np.int32))], names=["a", "b", "portion"])
 
     packed = docs.select("text").mapInArrow(parts, "bucket int, sigs binary, owners binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return packed.groupBy("bucket").applyInArrow(meet, "a long, b long, portion int").groupBy("a", "b").agg(F.max("portion").alias("portion"))
 
 
 def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id: bool) -> tuple[DataFrame, DataFrame]:
@@ -244,53 +343,32 @@ def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id
     Sets are nodes, named by the least number of their rows, and stand for all rows that have them. With ``one_document_per_id``, sets that share an id are linked.
     """
     known = checkpointed(shingle_rows(rows, n).withColumn("row", F.monotonically_increasing_id()))  # numbers hold once they are in the shared folder
-    classes = checkpointed(known.filter("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("set_id").alias("set_id")))
+    of = F.min(F.struct("doc_id", "text_hash", "row_hash")).alias("of")
+    classes = checkpointed(known.filter("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class_id"), of, F.first("set_id").alias("set_id"), F.max("n_shingles").alias("size")))
     pairs = checkpointed(meetings(rows, n, num, den))
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            found = list(shingle_sets(as_bytes(batch.column(2)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in found], pa.binary())], ["class_id", "set_id", "grams"])
-
-    # A set is made anew from the text of one of its rows; rows that repeat an id and a text give it more than once.
     wanted = classes.join(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "set_id", "left_semi")
-    wanted = wanted.select("class_id", "set_id", F.col("of.doc_id").alias("of_id"), F.col("of.text_hash").alias("of_hash"))
-    texts = rows.join(wanted, (rows["text_hash"] == wanted["of_hash"]) & rows["doc_id"].eqNullSafe(wanted["of_id"])).select("class_id", "set_id", "text")
-    sets = checkpointed(texts.mapInArrow(to_sets, "class_id long, set_id long, grams binary").dropDuplicates(["class_id"]))
-
-    # Pairs: partners come to their lesser member, hot ones in several portions.
-    portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("portions"))
-    partner = sets.select(F.col("set_id").alias("b"), F.col("class_id").alias("partner"), F.col("grams").alias("grams"))
-    near = pairs.join(portions, "a").withColumn("portion", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int")).join(partner, "b").select("a", "portion", "partner", "grams").toDF("a", "portion", "partner", "grams")  # attributes of its own
-    own = portions.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))).select("a", "portion").join(sets.select(F.col("set_id").alias("a"), "class_id", F.col("grams").alias("own_grams")), "a")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not (left.num_rows and right.num_rows):
-            return _links([], [])
-        q, s = tree_join(_sets(left.column("own_grams")), _sets(right.column("grams")), num, den)
-        return _links(left.column("class_id").to_numpy()[q], right.column("partner").to_numpy()[s])
+    sets = checkpointed(texts_of(rows, wanted.select("class_id", "set_id", "of.row_hash", "of.text_hash")))
 
-    keys = ("a", "portion")
-    links = checkpointed(own.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(compare, "a long, b long"))
-    labels = checkpointed(components(links))
+    # First every set is compared with the least of its partners, then the pairs whose sets are still in different components.
+    first = pairs.groupBy("b").agg(F.min(F.struct("a", "portion")).alias("least")).select("least.a", "b", "least.portion")
+    labels = checkpointed(components(checkpointed(linked_by(first, sets, n, num, den))))
+    _, ends = apart(pairs, sets, labels)
+    links = checkpointed(linked_by(ends.filter("apart").select("a", "b", "portion"), sets, n, num, den))
+    labels = checkpointed(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
 
     # All sets that met in some part are partners of one set. Where partners of a set are not in one component with it, they may still be similar to each other: they are
     # gathered and joined in full, in blocks. Gatherings that share members are one, so that a set travels once for each block of it.
-    place = sets.select("set_id", "class_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_id", "class_id", F.coalesce("component", "class_id").alias("component"))
-    place = checkpointed(place)
-    ends = pairs.join(place.toDF("a", "class_a", "component_a"), "a").join(place.toDF("b", "class_b", "component_b"), "b")
-    ends = checkpointed(ends.select("class_a", "class_b", (F.col("component_a") != F.col("component_b")).alias("apart")))
-    centers = ends.filter("apart").groupBy("class_a").agg(F.count("*").alias("n")).select("class_a")
-    gathered = checkpointed(components(ends.join(centers, "class_a", "left_semi").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).toDF("class_id", "gathering"))
-    sizes = sets.select("class_id", (F.length("grams") / 8).alias("size"))
-    blocks = gathered.join(sizes, "class_id").groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / MASS)).cast("int").alias("blocks"))
+    place, ends = apart(pairs, sets, labels)
+    centers = ends.filter("apart").select("class_a").distinct().join(ends.select("class_a", "portion").distinct(), "class_a")
+    gathered = checkpointed(components(ends.join(centers, ["class_a", "portion"], "left_semi").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).toDF("class_id", "gathering"))
+    blocks = gathered.join(classes.select("class_id", "size"), "class_id").groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / MASS)).cast("int").alias("blocks"))
     mine = gathered.join(blocks, "gathering").join(place.select("class_id", "component"), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     tasks = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gathering", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
-    tasks = tasks.join(sets.select("class_id", "grams"), "class_id")
+    tasks = tasks.join(sets.select("class_id", "text"), "class_id")
 
     def join_block(table: pa.Table) -> pa.Table:
         ids, component, block = (table.column(c).to_numpy() for c in ("class_id", "component", "block"))
-        grams = _sets(table.column("grams"))
+        grams = _sets(table.column("text"), n)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not (len(one) and len(two)):
@@ -311,7 +389,8 @@ def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return documents(docs, id_col=id_col, text_col=text_col).withColumn("text_hash", F.xxhash64("text"))
+    """doc_id, text, and hashes of the text and of both, which together name rows that are alike."""
+    return documents(docs, id_col=id_col, text_col=text_col).withColumn("text_hash", F.xxhash64("text")).withColumn("row_hash", F.xxhash64("doc_id", "text", F.lit(0)))
 
 
 def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
