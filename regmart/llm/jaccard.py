@@ -6,8 +6,8 @@
    about 10 bytes a part, packed by task.
 3. Sets that meet are compared in a prefix tree: sets in one global order of n-grams, common prefixes shared, all queries descending together with their
    overlaps so far, a subtree left as soon as the remaining lengths cannot reach the threshold.
-   First every set is compared with the least of its partners (the least sets of its meetings), then with the other partners whose component it is not in. Where members of a meeting are not in one component after that, its members are gathered, with those
-   of meetings that share some of them, and joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
+   First every set is compared with the least of its partners (the least sets of its meetings), then with the other partners whose component it is not in. Where some partners of
+   a set are not in its component after that, they are joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
 4. Links, as spanning forests, become components by star contraction.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than n make one shingle; in ``similar`` rows that repeat an id are one document, linked
@@ -31,7 +31,7 @@ from regmart.llm.common import Rolling, as_bytes, checkpointed, documents, mix,
 from regmart.llm.graph import components, forest
 
 #: Sets, and n-grams of them, compared in one task on either side.
-BLOCK = 1024
+BLOCK = 512
 MASS = 1 << 20
 FLUSH = 1 << 20
 #: Partners of a set that one task compares with it, about.
@@ -356,13 +356,16 @@ def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id
     links = checkpointed(linked_by(ends.filter("apart").select("a", "b", "portion"), sets, n, num, den))
     labels = checkpointed(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
 
-    # All sets that met in some part are partners of one set. Where partners of a set are not in one component with it, they may still be similar to each other: they are
-    # gathered and joined in full, in blocks. Gatherings that share members are one, so that a set travels once for each block of it.
+    # All sets that met in some part are partners of one set. Where partners of a set are not in one component with it, they may still be similar to each other: such a set
+    # and its partners are a gathering and are joined in full, in blocks.
     place, ends = apart(pairs, sets, labels)
-    centers = ends.filter("apart").select("class_a").distinct().join(ends.select("class_a", "portion").distinct(), "class_a")
-    gathered = checkpointed(components(ends.join(centers, ["class_a", "portion"], "left_semi").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).toDF("class_id", "gathering"))
+    each = ends.select("class_a", "portion").distinct()
+    centers = ends.filter("apart").select("class_a").distinct()
+    met = ends.join(each.join(centers, "class_a"), ["class_a", "portion"], "left_semi").select(F.col("class_a").alias("gathering"), "portion", F.col("class_b").alias("class_id"))
+    gathered = checkpointed(met.unionByName(centers.select(F.col("class_a").alias("gathering"), F.lit(-1).alias("portion"), F.col("class_a").alias("class_id"))))
     blocks = gathered.join(classes.select("class_id", "size"), "class_id").groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / MASS)).cast("int").alias("blocks"))
-    mine = gathered.join(blocks, "gathering").join(place.select("class_id", "component"), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    blocks = gathered.select("gathering", "portion").distinct().join(blocks, "gathering")
+    mine = gathered.join(blocks, ["gathering", "portion"]).join(place.select("class_id", "component"), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     tasks = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gathering", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
     tasks = tasks.join(sets.select("class_id", "text"), "class_id")
 
