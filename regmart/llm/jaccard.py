@@ -6,8 +6,8 @@
    about 10 bytes a part, packed by task.
 3. Sets that meet are compared in a prefix tree: sets in one global order of n-grams, common prefixes shared, all queries descending together with their
    overlaps so far, a subtree left as soon as the remaining lengths cannot reach the threshold.
-   First every set is compared with the least of its partners (the least sets of its meetings), then with the other partners whose component it is not in. Where some partners of
-   a set are not in its component after that, they are joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own.
+   First every set is compared with the least of its partners (the least sets of its meetings). Where some partners of a set are not in its component after that, they are
+   joined in full, in blocks of ``BLOCK`` sets, each block pair a task of its own. Before texts travel, sizes and parity sketches rule out pairs that surely miss the threshold.
 4. Links, as spanning forests, become components by star contraction.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than n make one shingle; in ``similar`` rows that repeat an id are one document, linked
@@ -77,6 +77,29 @@ def name_of(key: bytes) -> int:
     return int.from_bytes(key[:NAME], "little")
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Bits, about as many as elements: a bit is set if an odd number of elements fall on it. Two sets differ in at least as many elements as their sketches in bits."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((mix(s) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart_at_least(a: bytes, b: bytes) -> int:
+    """Least number of elements in which the sets of two sketches differ; the longer sketch is folded to the shorter one's length."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits >>= 1
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ y).bit_count()
+
+
+def may_link(size_a: int, sketch_a: bytes, size_b: int, sketch_b: bytes, num: int, den: int) -> bool:
+    """Whether sizes and sketches leave room for the threshold; sets that reach it always pass."""
+    return num * max(size_a, size_b) <= den * min(size_a, size_b) and apart_at_least(sketch_a, sketch_b) * (den + num) <= (size_a + size_b) * (den - num)
+
+
 def planes(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of numbers, byte by byte, compressed: the high bytes of sorted numbers all but vanish."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
@@ -196,7 +219,7 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-ROWS = "doc_id long, text_hash long, row_hash long, n_shingles long, set_key binary, set_id long"
+ROWS = "doc_id long, text_hash long, row_hash long, n_shingles long, set_key binary, set_id long, sketch binary"
 
 
 def shingle_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -204,12 +227,14 @@ def shingle_rows(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 3):
-            sizes, keys = [], []
+            sizes, keys, sketches = [], [], []
             for s in shingle_sets(as_bytes(batch.column(3)), n):
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
+                sketches.append(odd_sketch(s) if len(s) else None)
             ids = [name_of(k) if k else None for k in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], [c.split(" ")[0] for c in ROWS.split(", ")])
+            more = [pa.array(x, kind) for x, kind in ((sizes, pa.int64()), (keys, pa.binary()), (ids, pa.int64()), (sketches, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *more], [c.split(" ")[0] for c in ROWS.split(", ")])
 
     return rows.select("doc_id", "text_hash", "row_hash", "text").mapInArrow(run, ROWS)
 
@@ -279,6 +304,20 @@ def linked_by(pairs: DataFrame, sets: DataFrame, n: int, num: int, den: int) ->
     return own.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(compare, "a long, b long")
 
 
+def sifted(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` without those that sizes and sketches rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [may_link(*row, num, den) for row in zip(*(batch.column(c).to_pylist() for c in ("size_a", "sketch_a", "size_b", "sketch_b")))]
+            yield batch.select(["a", "b", "portion"]).filter(pa.array(fine, pa.bool_()))
+
+    known = classes.select("set_id", "size", "sketch")
+    own = pairs.select("a", "portion").distinct().join(known.toDF("a", "size_a", "sketch_a"), "a")
+    both = pairs.join(own, ["a", "portion"]).join(known.toDF("b", "size_b", "sketch_b"), "b")
+    return checkpointed(both.select("a", "b", "portion", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(run, "a long, b long, portion int").distinct())
+
+
 def apart(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Component of every class, and the pairs with their classes and whether these lie in different components. A set with many partners meets them portion by portion."""
     place = checkpointed(sets.select("set_id", "class_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_id", "class_id", F.coalesce("component", "class_id").alias("component")))
@@ -344,29 +383,47 @@ def linked_sets(rows: DataFrame, n: int, num: int, den: int, one_document_per_id
     """
     known = checkpointed(shingle_rows(rows, n).withColumn("row", F.monotonically_increasing_id()))  # numbers hold once they are in the shared folder
     of = F.min(F.struct("doc_id", "text_hash", "row_hash")).alias("of")
-    classes = checkpointed(known.filter("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class_id"), of, F.first("set_id").alias("set_id"), F.max("n_shingles").alias("size")))
+    classes = checkpointed(known.filter("set_key is not null").groupBy("set_key").agg(F.min("row").alias("class_id"), of, F.first("set_id").alias("set_id"), F.max("n_shingles").alias("size"), F.max("sketch").alias("sketch")))
     pairs = checkpointed(meetings(rows, n, num, den))
     wanted = classes.join(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct(), "set_id", "left_semi")
     sets = checkpointed(texts_of(rows, wanted.select("class_id", "set_id", "of.row_hash", "of.text_hash")))
 
-    # First every set is compared with the least of its partners, then the pairs whose sets are still in different components.
-    first = pairs.groupBy("b").agg(F.min(F.struct("a", "portion")).alias("least")).select("least.a", "b", "least.portion")
+    # First every set is compared with the least of its partners.
+    first = sifted(pairs.groupBy("b").agg(F.min(F.struct("a", "portion")).alias("least")).select("least.a", "b", "least.portion"), classes, num, den)
     labels = checkpointed(components(checkpointed(linked_by(first, sets, n, num, den))))
-    _, ends = apart(pairs, sets, labels)
-    links = checkpointed(linked_by(ends.filter("apart").select("a", "b", "portion"), sets, n, num, den))
-    labels = checkpointed(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)))
 
-    # All sets that met in some part are partners of one set. Where partners of a set are not in one component with it, they may still be similar to each other: such a set
-    # and its partners are a gathering and are joined in full, in blocks.
+    # All sets that met in some part are partners of one set. Where partners of a set are not in one component with it, they may still be similar to it or to each other: such a
+    # set and its partners are a gathering, which is compared in full, in blocks: by sizes and sketches first, then those of which the sketches leave room for a link.
     place, ends = apart(pairs, sets, labels)
     each = ends.select("class_a", "portion").distinct()
     centers = ends.filter("apart").select("class_a").distinct()
     met = ends.join(each.join(centers, "class_a"), ["class_a", "portion"], "left_semi").select(F.col("class_a").alias("gathering"), "portion", F.col("class_b").alias("class_id"))
     gathered = checkpointed(met.unionByName(centers.select(F.col("class_a").alias("gathering"), F.lit(-1).alias("portion"), F.col("class_a").alias("class_id"))))
-    blocks = gathered.join(classes.select("class_id", "size"), "class_id").groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / MASS)).cast("int").alias("blocks"))
-    blocks = gathered.select("gathering", "portion").distinct().join(blocks, "gathering")
-    mine = gathered.join(blocks, ["gathering", "portion"]).join(place.select("class_id", "component"), "class_id").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    tasks = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gathering", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "component")
+    seen = place.select("class_id", "component").join(classes.select("class_id", "size", "sketch"), "class_id")
+
+    def in_blocks(members: DataFrame, of: DataFrame, most: float) -> DataFrame:
+        """A row for each block pair that a member of a gathering is in, with what ``of`` has of it."""
+        rows_ = members.join(of, "class_id")
+        blocks = rows_.groupBy("gathering").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / most)).cast("int").alias("blocks"))
+        blocks = members.select("gathering", "portion").distinct().join(blocks, "gathering")
+        mine = rows_.join(blocks, ["gathering", "portion"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+        split = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return split.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+
+    def sift(table: pa.Table) -> pa.Table:
+        rows_ = list(zip(*(table.column(c).to_pylist() for c in ("block", "size", "component", "sketch"))))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        one, two = ([k for k, r in enumerate(rows_) if r[0] == b] for b in (i, j))
+        kept = set()
+        for x in one:
+            for y in two:
+                p, q = rows_[x], rows_[y]
+                if p[2] != q[2] and not (x in kept and y in kept) and may_link(p[1], p[3], q[1], q[3], num, den):
+                    kept |= {x, y}
+        return table.select(["gathering", "portion", "class_id"]).take(pa.array(sorted(kept), pa.int64()))
+
+    left = checkpointed(in_blocks(gathered, seen, 64 * MASS).groupBy("gathering", "i", "j").applyInArrow(sift, "gathering long, portion int, class_id long").distinct())
+    tasks = in_blocks(left, seen.drop("sketch"), MASS).drop("portion", "size")
     tasks = tasks.join(sets.select("class_id", "text"), "class_id")
 
     def join_block(table: pa.Table) -> pa.Table:

@@ -186,3 +186,16 @@ def test_mixing_against_plain_targets(spark):
         firsts = [r.first_position for r in mixing.mixed(docs).collect()]
         taken = [x for x in firsts if x is not None]
         assert firsts[: len(taken)] == sorted(taken) and len(firsts) == len(rows)
+
+
+def test_sketches_never_rule_out_a_link():
+    rnd = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(3000):
+        x = np.unique(rnd.integers(0, 1 << 62, rnd.integers(1, 300)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rnd.random(len(x)) < rnd.choice((0.5, 0.9, 0.97))], rnd.integers(0, 1 << 62, rnd.integers(1, 30)).astype(np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        fine = jaccard.may_link(len(x), jaccard.odd_sketch(x), len(y), jaccard.odd_sketch(y), 80, 100)
+        assert fine or 100 * shared < 80 * (len(x) + len(y) - shared)
+        ruled_out += not fine
+    assert ruled_out > 1000
