@@ -14,9 +14,9 @@ def share_of_total(amount: Column) -> Column:
 
 def amount_by(facts: DataFrame, key: str, amount: str = "amount") -> DataFrame:
     """Amount by key with its share of the whole: partial sums before the shuffle, the share over the few groups."""
-    total = facts.agg(money(F.col(amount)).alias("all"))
     grouped = facts.groupBy(key).agg(money(F.col(amount)).alias("sum"))
-    return grouped.crossJoin(F.broadcast(total)).select(key, F.col("sum").cast("double").alias("amount"), safe_ratio(F.col("sum").cast("double"), F.col("all").cast("double")).alias("share"))  # total is one row
+    total = F.sum("sum").over(Window.partitionBy(F.lit(1)))  # over the few groups
+    return grouped.select(key, F.col("sum").cast("double").alias("amount"), safe_ratio(F.col("sum").cast("double"), total.cast("double")).alias("share"))
 
 
 def with_names(rows: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:

@@ -51,3 +51,28 @@ def publishability(severity: Column, strict: bool = True) -> Column:
 def worse(a: Column, b: Column) -> Column:
     levels = F.array(*map(F.lit, LEVELS))
     return F.element_at(levels, F.greatest(F.array_position(levels, a), F.array_position(levels, b)).cast("int"))
+
+
+def _issue(code: str, severity: str, status: str) -> list[Column]:
+    return [F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(status).alias("status")]
+
+
+def alias_issues(rows: DataFrame, context: str) -> DataFrame:
+    """An issue for every row (strategy, target) whose alias is ambiguous or unresolved in its context."""
+    code = F.concat(F.lit(f"{context}_ALIAS_"), F.upper("strategy")).alias("code")
+    return rows.filter("target IS NULL").select("*", code, F.lit("high").alias("severity"), F.lit("failed").alias("status"))
+
+
+def markers_missing(rows: DataFrame, by: list[str], text: Column, markers: tuple[str, ...]) -> DataFrame:
+    """An issue for every group of which no text holds any of the markers."""
+    any_of = None
+    for m in markers:
+        any_of = text.contains(m) if any_of is None else any_of | text.contains(m)
+    missing = rows.groupBy(*by).agg(F.bool_or(F.coalesce(any_of, F.lit(False))).alias("found")).filter(~F.col("found"))
+    return missing.select(*by, *_issue("INCOME_STATEMENT_MARKERS_MISSING", "high", "failed"))
+
+
+def sheet_missing(rows: DataFrame, by: list[str], is_ranking: Column) -> DataFrame:
+    """An issue for every group without a ranking sheet."""
+    missing = rows.groupBy(*by).agg(F.bool_or(F.coalesce(is_ranking, F.lit(False))).alias("found")).filter(~F.col("found"))
+    return missing.select(*by, *_issue("REFERENCE_RANKING_MISSING", "medium", "warning"))

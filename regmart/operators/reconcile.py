@@ -19,3 +19,15 @@ def reconcile(actual: DataFrame, control: DataFrame, key: str, rule: str, tolera
         key, F.when(missing, "REFERENCE_MISSING").otherwise(rule).alias("rule"), F.when(missing, "medium").when(off & F.lit(periods_match), "high").otherwise("low").alias("severity"),
         F.when(missing | off, "warning").otherwise("passed").alias("status"), "actual", "expected", diff.alias("absolute_difference"), F.when(~missing, rel).alias("relative_difference"),
     )
+
+
+def not_provided(control: DataFrame) -> DataFrame:
+    """One warning where there are no control totals; reconciliation stops there."""
+    return control.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("REFERENCE_NOT_PROVIDED").alias("code"), F.lit("low").alias("severity"), F.lit("warning").alias("status"))
+
+
+def with_tolerances(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """rows: key, actual, expected; rules: key, absolute, relative. A row warns where both differences pass its rule's tolerances."""
+    diff = F.col("actual") - F.col("expected")
+    off = (F.abs(diff) > F.col("absolute")) & (F.abs(safe_ratio(diff, F.col("expected"))) > F.col("relative"))
+    return rows.join(F.broadcast(rules), key).withColumn("status", F.when(off, "warning").otherwise("passed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAGES = ("direct-alias", "direct-canonical", "normalized-alias", "normalized-canonical")
@@ -15,20 +15,36 @@ def resolve(values: DataFrame, aliases: DataFrame, catalog: DataFrame, normalize
 
     aliases: alias, target; catalog: target, canonical. The first stage with any hit decides; several targets there are ambiguous.
     """
-    distinct = values.select("raw").distinct().withColumn("key", normalizer(F.col("raw")))
-    alias_keys = aliases.select("alias", "target").distinct()
-    names = catalog.select(F.col("canonical").alias("alias"), "target").distinct()
-    sides = [("raw", alias_keys), ("raw", names), ("key", alias_keys.withColumn("alias", normalizer(F.col("alias")))), ("key", names.withColumn("alias", normalizer(F.col("alias"))))]
-    hits = None
-    for i, (column, side) in enumerate(sides):
-        found = distinct.join(side, distinct[column] == side["alias"]).select("raw", F.lit(i).alias("stage"), "target")
-        hits = found if hits is None else hits.unionByName(found)
-    first = hits.groupBy("raw", "stage").agg(F.array_sort(F.collect_set("target")).alias("candidates"))
-    first = first.withColumn("n", F.row_number().over(Window.partitionBy("raw").orderBy("stage"))).filter("n = 1").drop("n")
-    strategy = F.when(F.col("stage").isNull(), "unresolved").when(F.size("candidates") > 1, "ambiguous").otherwise(F.element_at(F.array(*map(F.lit, STAGES)), F.col("stage") + 1))
+    names = catalog.select(F.col("canonical").alias("alias"), "target")
+    known = aliases.select("alias", "target")
+    normal = lambda side: side.withColumn("alias", normalizer(F.col("alias")))
+    return first_stage(values, list(zip(STAGES, (known, names, normal(known), normal(names)))), [F.col("raw"), F.col("raw"), normalizer(F.col("raw")), normalizer(F.col("raw"))])
+
+
+def first_stage(values: DataFrame, stages: list[tuple[str, DataFrame]], probes: list[Column] | None = None) -> DataFrame:
+    """raw, strategy, target and candidates of every distinct ``values.raw``, by the first of ``stages`` (name; alias and target) that knows its probe. One join for all stages."""
+    distinct = values.select("raw").distinct()
+    side = None
+    for i, (_, known) in enumerate(stages):
+        one = known.select(F.lit(i).alias("stage"), "alias", "target")
+        side = one if side is None else side.unionByName(one)
+    asked = F.array(*[F.struct(F.lit(i).alias("stage"), p.alias("alias")) for i, p in enumerate(probes or [F.col("raw")] * len(stages))])
+    hits = distinct.select("raw", F.inline(asked)).join(side, ["stage", "alias"]).groupBy("raw", "stage").agg(F.array_sort(F.collect_set("target")).alias("candidates"))
+    first = hits.groupBy("raw").agg(F.min_by(F.struct("stage", "candidates"), "stage").alias("f")).select("raw", "f.*")
+    strategy = F.when(F.col("stage").isNull(), "unresolved").when(F.size("candidates") > 1, "ambiguous").otherwise(F.element_at(F.array(*[F.lit(name) for name, _ in stages]), F.col("stage") + 1))
     return distinct.join(first, "raw", "left").select("raw", strategy.alias("strategy"), F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("target"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
+def merged_candidates(line_target: Column, candidates: Column) -> Column:
+    """The line's candidate before those of the text, unless it is among them."""
+    return F.when(line_target.isNull(), candidates).otherwise(F.array_distinct(F.concat(F.array(line_target), candidates)))
+
+
+def verdict(candidates: Column) -> Column:
+    """Several candidates make an unresolved text ambiguous."""
+    return F.when(F.size(candidates) > 1, "ambiguous").otherwise("unresolved")
+
+
 def with_line_fallback(resolved: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows (raw, line, strategy, target) that stay unresolved take the target of their line number."""
     first = lines.groupBy("line").agg(F.min_by("target", "sort_order").alias("line_target"))
