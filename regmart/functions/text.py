@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,16 +18,36 @@ WORD_FIXES = [("Maritímo", "Marítimo"), ("HOSPITALIZACIóN", "HOSPITALIZACIÓN
 ENTITY_NOISE = ("SOCIEDAD ANONIMA", "S A", "SA")
 
 
-def _accent_map() -> tuple[str, str]:
-    """Letters that decompose to one base letter and marks, with that letter."""
-    import unicodedata
+#: Separators of the pairs of a map literal; no text holds them.
+_PAIR, _KEY = "\ue000", "\ue001"
 
-    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x250)]
-    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
-    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
+def _unicode_maps() -> tuple[list[tuple[str, str]], list[tuple[str, str]], list[tuple[str, str]], list[tuple[str, str]]]:
+    """By rule, over all code points: letters with accents and their base; compatibility characters that stand for one character, and for several; base and mark with their composed character."""
+    accents, one, many, composed = [], [], [], []
+    for code in (c for c in range(0xA0, 0x30000) if not 0xAC00 <= c < 0xF900):
+        c = chr(code)
+        plain, apart, parts = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFD", c), unicodedata.decomposition(c)
+        if len(apart) > 1 and all(0x300 <= ord(x) < 0x370 for x in apart[1:]):
+            accents.append((c, apart[0]))
+        if plain != c:
+            (one if len(plain) == 1 else many).append((c, plain))
+        elif " " in parts and not parts.startswith("<"):
+            composed.append(("".join(chr(int(x, 16)) for x in parts.split()), c))
+    return accents, one, many, composed
 
-ACCENTED, PLAIN = _accent_map()
+
+def _ranges(chars: list[str]) -> str:
+    """The inside of a character class; ranges keep it short."""
+    codes = [ord(c) for c in chars]
+    known = set(codes)
+    first, last = [c for c in codes if c - 1 not in known], [c for c in codes if c + 1 not in known]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(first, last))
+
+
+ACCENTS, ONE, MANY, COMPOSED = _unicode_maps()
+#: A character that a text must be taken apart for; the first test passes over ASCII.
+APART = r"(?=[^\x00-\x7f])(?:\p{M}|[" + _ranges([c for c, _ in MANY]) + "])"
 
 
 def replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -46,12 +67,42 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def _translate(c: Column, pairs: list[tuple[str, str]]) -> Column:
+    return F.translate(c, "".join(x for x, _ in pairs), "".join(y for _, y in pairs))
+
+
+def _lookup(pairs: list[tuple[str, str]]) -> Column:
+    return F.str_to_map(F.lit(_PAIR.join(x + _KEY + y for x, y in pairs)), F.lit(_PAIR), F.lit(_KEY))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition. Marks compose in the order in which they stand; Hangul jamo stay apart. Only texts with marks or with characters that stand for several are taken apart."""
+    several, pairs = _lookup(MANY), _lookup(COMPOSED)
+    out = _translate(c, ONE)
+
+    def add(done: Column, mark: Column) -> Column:
+        last = F.right(done, F.lit(1))
+        both = F.try_element_at(pairs, F.concat(last, mark))
+        return F.when(both.isNotNull(), F.concat(F.left(done, F.length(done) - 1), both)).otherwise(F.concat(done, mark))
+
+    def cluster(x: Column) -> Column:
+        first = F.left(x, F.lit(1))
+        return F.aggregate(F.regexp_extract_all(x, F.lit(r"(?<!^)\p{M}"), F.lit(0)), F.coalesce(F.try_element_at(several, first), first), add)
+
+    def composed(x: Column) -> Column:
+        apart = F.transform(F.regexp_extract_all(x, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0)), cluster)
+        return F.when(x.rlike(APART), F.array_join(apart, "")).otherwise(x)
+
+    return F.element_at(F.transform(F.array(_translate(c, ONE)), composed), 1)  # an array of one, so that the text is made once
+
+
 def strip_diacritics(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), "[\\u0300-\\u036f]", "")
+    """Letters with accents become their base letter and loose accents (U+0300 to U+036F) go; other scripts' marks stay."""
+    return F.regexp_replace(_translate(c, ACCENTS), "[\\u0300-\\u036f]", "")
 
 
 def normalize_text(c: Column) -> Column:
-    return F.upper(collapse(repair_mojibake(c)))
+    return F.upper(collapse(nfkc(repair_mojibake(c))))
 
 
 def _separators(c: Column) -> Column:
@@ -59,11 +110,11 @@ def _separators(c: Column) -> Column:
 
 
 def normalize_alias(c: Column) -> Column:
-    return _separators(strip_diacritics(repair_mojibake(c)))
+    return _separators(strip_diacritics(nfkc(repair_mojibake(c))))
 
 
 def normalize_format_only(c: Column) -> Column:
-    return _separators(repair_mojibake(c))
+    return _separators(nfkc(repair_mojibake(c)))
 
 
 def normalize_entity_alias(c: Column, noise: tuple[str, ...] = ENTITY_NOISE) -> Column:

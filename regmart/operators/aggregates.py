@@ -54,3 +54,9 @@ def top_rows(facts: DataFrame, by: str, order: list[Column], top: int) -> DataFr
 def last_by(facts: DataFrame, by: str, value: str, order: str) -> DataFrame:
     """The value of the last row of each key."""
     return facts.groupBy(by).agg(F.max_by(value, order).alias(value))
+
+
+def stored_or_rebuilt(stored: DataFrame, rebuilt: DataFrame, key: str) -> DataFrame:
+    """Stored details, and the rebuilt ones of keys that have none stored; ``origin`` tells which."""
+    lacking = rebuilt.join(stored.select(key), key, "left_anti")
+    return stored.withColumn("origin", F.lit("stored")).unionByName(lacking.withColumn("origin", F.lit("rebuilt")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regmart.functions.numbers import safe_ratio
+from regmart.functions.text import normalize_text
 
 
 def reconcile(actual: DataFrame, control: DataFrame, key: str, rule: str, tolerance: float = 0.001, periods_match: bool = True, report_missing: bool = True) -> DataFrame:
@@ -21,6 +22,12 @@ def reconcile(actual: DataFrame, control: DataFrame, key: str, rule: str, tolera
     )
 
 
+def reconcile_names(actual: DataFrame, control: DataFrame, name: str, rule: str, tolerance: float = 0.001, periods_match: bool = True, report_missing: bool = True) -> DataFrame:
+    """``reconcile`` on normalized names: case, blanks and damaged letters do not keep a total from its control; of controls alike in name the last (``position``) counts."""
+    last = control.groupBy(normalize_text(F.col(name)).alias(name)).agg(F.max_by("expected", "position").alias("expected"))
+    return reconcile(actual.withColumn(name, normalize_text(F.col(name))), last, name, rule, tolerance, periods_match, report_missing)
+
+
 def not_provided(control: DataFrame) -> DataFrame:
     """One warning where there are no control totals; reconciliation stops there."""
     return control.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("REFERENCE_NOT_PROVIDED").alias("code"), F.lit("low").alias("severity"), F.lit("warning").alias("status"))

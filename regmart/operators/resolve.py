@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regmart.functions import text
+
 STAGES = ("direct-alias", "direct-canonical", "normalized-alias", "normalized-canonical")
 
 
@@ -70,6 +72,14 @@ def counters(events: DataFrame) -> DataFrame:
     )
 
 
+def repair_counters(events: DataFrame, domains: DataFrame) -> DataFrame:
+    """Attempts whose text (``raw``) was damaged, and those that needed normalization, by domain; a domain without attempts has zeros."""
+    raw = F.col("raw")
+    found = events.select("domain", (text.repair_mojibake(raw) != raw).alias("damaged"), text.required_normalization(F.col("strategy"), raw).alias("required"))
+    sums = found.groupBy("domain").agg(F.count("*").alias("total"), F.count_if("damaged").alias("mojibake"), F.count_if("required").alias("repaired"))
+    return domains.join(sums, "domain", "left").na.fill(0, ["total", "mojibake", "repaired"])
+
+
 def split_resolved(rows: DataFrame, targets: list[str]) -> tuple[DataFrame, DataFrame]:
     """Facts, whose targets are all known, and one issue for each failed reference of the others."""
     good = None

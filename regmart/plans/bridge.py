@@ -54,6 +54,18 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(i.alias("file_id"), name.alias("name"), F.col("n_chars").alias("size"), F.col("text").alias("content"), F.col("lang").alias("kind"), (i % 50).alias("run"))
 
 
+def archives(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as archives: their lines are entries, prices and quantities sizes, part names entry names."""
+    line, part = read(spark, d, "lineitem"), read(spark, d, "part")
+    price, quantity = (F.floor(F.sum(F.col(c).cast("decimal(18,2)"))).cast("long") for c in ("l_extendedprice", "l_quantity"))
+    i = F.col("file")
+    stats = line.join(part, line.l_partkey == part.p_partkey).groupBy(F.col("l_orderkey").alias("file")).agg(
+        (price * 100).alias("size"), (F.count("*") * 500).alias("entries"), quantity.alias("compressed"), F.floor(price / 12).cast("long").alias("inflated"),
+        F.bool_or(F.col("p_name").contains("ring")).alias("macro"), F.bool_or(F.col("p_name").contains("bolt")).alias("encrypted"), F.bool_or(F.col("l_returnflag") == "R").alias("protected"))
+    name = F.concat(i.cast("string"), F.when(i % 13 == 0, ".xls").otherwise(".XLSX"))
+    return stats.withColumns({"is_archive": i % 10 != 0, "name": name, "mime": F.when(i % 6 == 0, "text/plain").otherwise("application/octet-stream")})
+
+
 def dirty(spark: SparkSession, d: str) -> DataFrame:
     """Entity names as reported: case, blanks, separators and suffixes vary with the supplier."""
     s, n = read(spark, d, "supplier"), read(spark, d, "nation")
@@ -83,6 +95,8 @@ SQL_REQUESTS = """requests AS (SELECT event_type AS route, value AS duration, CA
 SQL_VERSIONS = """versions AS (SELECT o_orderkey AS id, o_orderdate AS created, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS published, o_orderstatus AS status, o_custkey AS uploaded_by FROM orders)"""
 SQL_FILES = """files AS (SELECT doc_id AS file_id, CASE WHEN doc_id % 17 = 0 THEN 'blob' WHEN doc_id % 23 = 0 THEN ' ' ELSE source || '/' || lang || ' ' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.txt' ELSE '.xlsx' END END AS name,
  n_chars AS size, text AS content, lang AS kind, doc_id % 50 AS run FROM documents)"""
+SQL_ARCHIVES = """archives AS (SELECT l_orderkey AS file, CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18,2)))) AS BIGINT) AS price, CAST(floor(sum(CAST(l_quantity AS DECIMAL(18,2)))) AS BIGINT) AS compressed, count(*) * 500 AS entries,
+ bool_or(contains(p_name, 'ring')) AS macro, bool_or(contains(p_name, 'bolt')) AS encrypted, bool_or(l_returnflag = 'R') AS protected, l_orderkey % 10 <> 0 AS is_archive FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
 SQL_DIRTY = """dirty AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN '  ' || n_name || '  ' WHEN 3 THEN n_name || ', S.A.' WHEN 4 THEN 'alias ' || n_name ELSE n_name || '?' END AS raw,
  CAST(s_suppkey % 40 AS INT) AS line FROM supplier JOIN nation ON s_nationkey = n_nationkey),
  aliases AS (SELECT 'alias ' || n_name AS alias, CAST(n_nationkey AS VARCHAR) AS target FROM nation UNION ALL SELECT 'alias ' || n_name, CAST(n_nationkey + 1 AS VARCHAR) FROM nation WHERE n_nationkey % 5 = 0)"""

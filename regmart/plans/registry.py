@@ -11,6 +11,7 @@ from regmart.functions import numbers, text
 from regmart.operators import aggregates as agg
 from regmart.operators import paging, quality, reconcile, resolve
 from regmart.plans import bridge as b
+from regmart.sources import workbooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -369,8 +370,10 @@ def _(spark, d):
 
 @query("sec_01_04_screening", f"WITH {b.SQL_FILES} SELECT file_id, unnest(list_filter([CASE WHEN NOT ends_with(lower(name), '.xlsx') THEN 'SECURITY_EXTENSION_REJECTED' END, CASE WHEN size > 5000 THEN 'SECURITY_SIZE_LIMIT' END, CASE WHEN content[1:2] <> 'PK' THEN 'SECURITY_MAGIC_BYTES' END], lambda x: x IS NOT NULL)) AS code FROM files")
 def _(spark, d):
-    codes = F.array(F.when(~F.lower("name").endswith(".xlsx"), "SECURITY_EXTENSION_REJECTED"), F.when(F.col("size") > 5000, "SECURITY_SIZE_LIMIT"), F.when(F.substring("content", 1, 2) != "PK", "SECURITY_MAGIC_BYTES"))
-    return b.files(spark, d).select("file_id", F.explode(F.array_compact(codes)).alias("code"))
+    files = b.files(spark, d)
+    no, none = F.lit(False), F.lit(0)
+    stats = files.select(F.col("file_id").alias("file"), "name", "size", F.coalesce(F.substring("content", 1, 2) == "PK", no).alias("is_archive"), none.alias("entries"), none.alias("compressed"), none.alias("inflated"), no.alias("macro"), no.alias("encrypted"), no.alias("protected"))
+    return workbooks.screen(stats, F.col("name"), F.lit(workbooks.ALLOWED_MIME[0]), max_bytes=5000).select(F.col("file").alias("file_id"), "code")
 
 
 @query("scl_10_serial_period", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS report_date, CAST(year(o_orderdate) AS INT) AS report_year, CAST(month(o_orderdate) AS INT) AS report_month, strftime(o_orderdate, '%Y-%m') AS period FROM orders")

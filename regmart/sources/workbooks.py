@@ -5,9 +5,12 @@ A scan emits ``cells`` (file, sheet_index, sheet, row, col, value), one file a t
 
 from __future__ import annotations
 
+import datetime
 import io
 import posixpath
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -23,24 +26,31 @@ ARCHIVE = "file string, size long, is_archive boolean, entries long, compressed
 # Limits of the screening.
 ALLOWED_MIME = ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/octet-stream")
 MAX_BYTES, MAX_ENTRIES, MAX_RATIO = 15 * 1024 * 1024, 2500, 120
+# Built-in number formats that show dates or times.
+DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58)
+#: What a broken file raises: no archive, a part missing, damaged or encrypted, broken XML, numbers or indexes that are none.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, KeyError, IndexError, ValueError, RuntimeError, NotImplementedError, ElementTree.ParseError)
 #: Rows of cells that a task holds at once.
 CHUNK = 50_000
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """file (path), size, content."""
+    """file (path), size, content; Spark reads no file of zero bytes."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"), "content")
 
 
 def _archive(file: str, size: int, content: bytes) -> tuple:
     try:
         book = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
+    except (zipfile.BadZipFile, ValueError):
         return (file, size, False, 0, 0, 0, False, False, False)
     entries = book.infolist()
     names = [e.filename.lower() for e in entries]
     part = next((e for e in entries if e.filename.lower() == "xl/workbook.xml" and e.file_size <= MAX_BYTES), None)
-    head = book.read(part).lower() if part else b""
+    try:
+        head = book.read(part).lower() if part else b""
+    except UNREADABLE:  # encrypted or damaged: ``unreadable`` reports it
+        head = b""
     return (file, size, True, len(entries), sum(e.compress_size for e in entries), sum(e.file_size for e in entries), any("vbaproject.bin" in n for n in names), any("encryptedpackage" in n for n in names), b"workbookprotection" in head or b"filesharing" in head)
 
 
@@ -54,12 +64,12 @@ def archive_stats(files: DataFrame) -> DataFrame:
     return files.select("file", "size", "content").mapInPandas(run, ARCHIVE)
 
 
-def screen(stats: DataFrame, name: Column, mime: Column) -> DataFrame:
+def screen(stats: DataFrame, name: Column, mime: Column, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Issue rows (file, code, severity) over archive statistics; a file that is no archive gets no archive issue but that one."""
     ratio = F.when(F.col("compressed") == 0, F.col("inflated")).otherwise(F.col("inflated") / F.nullif("compressed", F.lit(0)))
     a = F.col("is_archive")
     rules = [
-        (~F.lower(name).endswith(".xlsx"), "SECURITY_EXTENSION_REJECTED", "critical"), (~mime.isin(*ALLOWED_MIME), "SECURITY_MIME_REJECTED", "high"), (F.col("size") > MAX_BYTES, "SECURITY_SIZE_LIMIT", "critical"),
+        (~F.lower(name).endswith(".xlsx"), "SECURITY_EXTENSION_REJECTED", "critical"), (~mime.isin(*ALLOWED_MIME), "SECURITY_MIME_REJECTED", "high"), (F.col("size") > max_bytes, "SECURITY_SIZE_LIMIT", "critical"),
         (~a, "SECURITY_MAGIC_BYTES", "critical"), (a & (F.col("entries") > MAX_ENTRIES), "SECURITY_ZIP_ENTRIES", "critical"), (a & F.col("macro"), "SECURITY_MACRO_DETECTED", "critical"),
         (a & F.col("encrypted"), "SECURITY_ENCRYPTED_PACKAGE", "critical"), (a & F.col("protected"), "SECURITY_WORKBOOK_PROTECTED", "high"), (a & (ratio > MAX_RATIO), "SECURITY_ZIP_BOMB_RATIO", "critical"),
     ]
@@ -84,43 +94,90 @@ def _strings(node: ElementTree.Element) -> str:
     return "".join(t.text or "" for t in node.iter() if _local(t.tag) == "t")
 
 
-def read_cells(file: str, content: bytes) -> Iterator[tuple]:
-    """Cells of one file, sheet by sheet, with cached results of formulas; numbers and dates stay as the text of the stored number. An unreadable file has none."""
+def _is_date(code: str) -> bool:
+    """Whether a number format shows a date: it has a day, month or year outside of quotes, brackets and escapes."""
+    return bool(re.search("[dmy]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.lower()).replace("general", "")))
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(_part(book, "xl/styles.xml"))
+    own = {int(e.get("numFmtId")): _is_date(e.get("formatCode") or "") for e in root.iter() if _local(e.tag) == "numFmt"}
+    formats = [int(e.get("numFmtId") or 0) for group in root if _local(group.tag) == "cellXfs" for e in group]
+    return {i for i, f in enumerate(formats) if own.get(f, f in DATE_FORMATS)}
+
+
+def _iso(value: str) -> str:
+    """A serial number as an ISO date, with the time of day if it has one."""
     try:
-        book = zipfile.ZipFile(io.BytesIO(content))
-        sheets = [e for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _local(e.tag) == "sheet"]
-        targets = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        shared = [_strings(e) for e in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if _local(e.tag) == "si"] if "xl/sharedStrings.xml" in book.namelist() else []
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return
+        at = datetime.datetime(1899, 12, 30) + datetime.timedelta(seconds=round(float(value) * 86400))
+    except (ValueError, OverflowError):
+        return value
+    return at.date().isoformat() if at.time() == datetime.time() else at.isoformat()
+
+
+def _part(book: zipfile.ZipFile, path: str) -> bytes:
+    """A part whose stated size is within the limits; more than stated is an error of the archive."""
+    entry = book.getinfo(path)
+    if entry.file_size > MAX_BYTES * MAX_RATIO or entry.flag_bits & 1:
+        raise zipfile.BadZipFile("a part is too large or encrypted")
+    return book.read(entry)
+
+
+def read_cells(file: str, content: bytes) -> Iterator[tuple]:
+    """Cells of one file, sheet by sheet, with cached results of formulas; numbers are the text of the stored number, dates ISO text. Rows and cells without a reference follow the one before. Raises one of ``UNREADABLE`` for a broken file."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    sheets = [e for e in ElementTree.fromstring(_part(book, "xl/workbook.xml")).iter() if _local(e.tag) == "sheet"]
+    targets = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(_part(book, "xl/_rels/workbook.xml.rels"))}
+    shared = [_strings(e) for e in ElementTree.fromstring(_part(book, "xl/sharedStrings.xml")) if _local(e.tag) == "si"] if "xl/sharedStrings.xml" in book.namelist() else []
+    dates = _date_styles(book)
     for index, sheet in enumerate(sheets):
         target = targets.get(next((v for k, v in sheet.attrib.items() if _local(k) == "id" and k != "sheetId"), None))
         path = (target or "").lstrip("/") if (target or "").startswith("/") else posixpath.join("xl", target or "")
         if path not in book.namelist():
             continue
-        with book.open(path) as part:
-            for _, row in ElementTree.iterparse(part):
-                if _local(row.tag) != "row":
-                    continue
-                for cell in row:
-                    value = next((v.text for v in cell if _local(v.tag) == "v"), None)
-                    kind = cell.get("t")
-                    if kind == "s" and value is not None:
-                        value = shared[int(value)]
-                    elif kind == "inlineStr":
-                        value = _strings(cell)
-                    elif kind == "b" and value is not None:
-                        value = "true" if value == "1" else "false"
-                    if value not in (None, ""):
-                        yield (file, index, sheet.get("name"), int(row.get("r")), _column(cell.get("r")), value)
-                row.clear()
+        line = 0
+        for _, row in ElementTree.iterparse(io.BytesIO(_part(book, path))):
+            if _local(row.tag) != "row":
+                continue
+            line, column = int(row.get("r") or line + 1), 0
+            for cell in row:
+                column = _column(cell.get("r") or "") or column + 1
+                value = next((v.text for v in cell if _local(v.tag) == "v"), None)
+                kind = cell.get("t")
+                if kind == "s" and value is not None:
+                    value = shared[int(value)]
+                elif kind == "inlineStr":
+                    value = _strings(cell)
+                elif kind == "b" and value is not None:
+                    value = "true" if value == "1" else "false"
+                elif kind in (None, "n") and value is not None and int(cell.get("s") or 0) in dates:
+                    value = _iso(value)
+                if value not in (None, ""):
+                    yield (file, index, sheet.get("name"), line, column, value)
+            row.clear()
+
+
+def _fault(file: str, content: bytes) -> str | None:
+    """What breaks the reading of a file, or None; the file is read once to its end, so no broken one gives a part of its cells."""
+    try:
+        for _ in read_cells(file, content):
+            pass
+    except UNREADABLE as e:
+        return type(e).__name__
+    return None
 
 
 def cells(files: DataFrame) -> DataFrame:
+    """Cells of every readable file; a broken file has none, and a row of ``unreadable``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, held = [f.split()[0] for f in CELLS.split(", ")], []
         for batch in batches:
             for r in batch.itertuples():
+                if _fault(r.file, r.content):
+                    continue
                 for cell in read_cells(r.file, r.content):
                     held.append(cell)
                     if len(held) >= CHUNK:
@@ -131,6 +188,16 @@ def cells(files: DataFrame) -> DataFrame:
     return files.select("file", "content").mapInPandas(run, CELLS)
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """An issue (file, code, severity, detail) for each file that cannot be read to its end."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(r.file, _fault(r.file, r.content)) for r in batch.itertuples()], columns=["file", "detail"])
+
+    found = files.select("file", "content").mapInPandas(run, "file string, detail string").filter("detail is not null")
+    return found.select("file", F.lit("WORKBOOK_UNREADABLE").alias("code"), F.lit("critical").alias("severity"), "detail")
+
+
 def headers(table: DataFrame, aliases: DataFrame, header_row: int = 1) -> DataFrame:
     """file, sheet_index, sheet, col, header: canonical names by normalized alias (header_key, canonical; the last alias wins), unknown headers as they are."""
     last = aliases.groupBy("header_key").agg(F.max_by("canonical", "position").alias("canonical"))

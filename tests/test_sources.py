@@ -100,3 +100,34 @@ def test_streams(spark, folder, tmp_path):
     q.awaitTermination(60)
     row = spark.table("routes").first()
     assert (row.n, row.errors, row.avg_duration, row.last_duration, row.last_status) == (2, 1, 15.0, 20.0, 500)
+
+
+def test_broken_files_give_an_issue_and_no_cells(spark, tmp_path):
+    good = {"Data": [["Day"], [46053], [46053.5], [7]]}
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    styles = f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="[$-40A]dd/mm/yyyy"/><numFmt numFmtId="171" formatCode="0 &quot;dmy&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'
+    dated = f'<worksheet {ns}><sheetData><row><c s="1"><v>46053</v></c><c s="2"><v>46053.5</v></c><c s="3"><v>7</v></c></row><row><c r="B2" t="n"><v>5</v></c><c><v>6</v></c></row></sheetData></worksheet>'
+
+    def changed(path: str, content: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(book(good))) as old, zipfile.ZipFile(out, "w") as new:
+            for name in old.namelist():
+                new.writestr(name, content if name == path else old.read(name))
+            if path not in old.namelist():
+                new.writestr(path, content)
+            if path == "xl/worksheets/sheet1.xml":
+                new.writestr("xl/styles.xml", styles)
+        return out.getvalue()
+
+    sheet = "xl/worksheets/sheet1.xml"
+    files = {
+        "good": book(good), "dated": changed(sheet, dated), "text": b"no archive", "cut": book(good)[:200], "xml": changed(sheet, f"<worksheet {ns}><sheetData><row r='1'><c r='A1'><v>1</v></c></row>"),
+        "shared": changed(sheet, f"<worksheet {ns}><sheetData><row r='1'><c r='A1' t='s'><v>9</v></c></row></sheetData></worksheet>"), "row": changed(sheet, f"<worksheet {ns}><sheetData><row r='x'><c r='A1'><v>1</v></c></row></sheetData></worksheet>"),
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.xlsx").write_bytes(content)
+    scan = workbooks.scan(spark, str(tmp_path)).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    found = {(r.file, r.row, r.col, r.value) for r in workbooks.cells(scan).collect()}
+    assert found == {("good.xlsx", i, 1, v) for i, v in enumerate(["Day", "46053", "46053.5", "7"], 1)} | {("dated.xlsx", 1, 1, "2026-01-31"), ("dated.xlsx", 1, 2, "2026-01-31T12:00:00"), ("dated.xlsx", 1, 3, "7"), ("dated.xlsx", 2, 2, "5"), ("dated.xlsx", 2, 3, "6")}
+    assert {r.file[:-5] for r in workbooks.unreadable(scan).collect()} == {"text", "cut", "xml", "shared", "row"}
+    assert workbooks.archive_stats(scan).count() == len(files)
