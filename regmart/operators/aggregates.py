@@ -37,14 +37,15 @@ def conditional_totals(facts: DataFrame, by: list[str], accounts: dict[str, str]
 
 
 def kpis(flow: DataFrame, balance: DataFrame, accounts: dict[str, str]) -> DataFrame:
-    """key, value and unit; domain rows only where the domain has rows, the count always."""
-    f = flow.agg(money(F.col("amount")).cast("double").alias("value"), F.count("*").alias("n")).select(F.lit("total-flow").alias("key"), "value", F.lit("currency").alias("unit"), "n")
-    out = f
-    for name, account in accounts.items():
-        part = conditional_totals(balance, [], {"value": account}).crossJoin(balance.agg(F.count("*").alias("n")))
-        out = out.unionByName(part.select(F.lit(name).alias("key"), "value", F.lit("currency").alias("unit"), "n"))
-    covered = flow.select("entity").union(balance.select("entity")).distinct().agg(F.count("*").cast("double").alias("value"))
-    return out.filter("n > 0").drop("n").unionByName(covered.select(F.lit("entities-covered").alias("key"), "value", F.lit("count").alias("unit")))
+    """key, value and unit; domain rows only where the domain has rows, the count always. Each fact table is read once, its sums by entity make all figures."""
+    f = flow.groupBy("entity").agg(money(F.col("amount")).alias("total-flow"), F.count("*").alias("flows"))
+    x = balance.groupBy("entity").agg(*[money(F.when(F.col("account") == a, F.col("combined"))).alias(n) for n, a in accounts.items()], F.count("*").alias("balances"))
+    entities = f.unionByName(x, allowMissingColumns=True).groupBy("entity").agg(*[F.sum(c).alias(c) for c in ("total-flow", "flows", *accounts, "balances")])
+    value = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    row = lambda key, v, unit, shown: F.struct(F.lit(key).alias("key"), v.alias("value"), F.lit(unit).alias("unit"), shown.alias("shown"))
+    some = {n: F.coalesce(F.sum(n), F.lit(0)) > 0 for n in ("flows", "balances")}
+    rows = [row("total-flow", value("total-flow"), "currency", some["flows"]), *[row(n, value(n), "currency", some["balances"]) for n in accounts], row("entities-covered", F.count("*").cast("double"), "count", F.lit(True))]
+    return entities.agg(F.array(*rows).alias("rows")).select(F.inline("rows")).filter("shown").drop("shown")
 
 
 def top_rows(facts: DataFrame, by: str, order: list[Column], top: int) -> DataFrame:
@@ -60,3 +61,10 @@ def stored_or_rebuilt(stored: DataFrame, rebuilt: DataFrame, key: str) -> DataFr
     """Stored details, and the rebuilt ones of keys that have none stored; ``origin`` tells which."""
     lacking = rebuilt.join(stored.select(key), key, "left_anti")
     return stored.withColumn("origin", F.lit("stored")).unionByName(lacking.withColumn("origin", F.lit("rebuilt")))
+
+
+def rankings(rows: DataFrame, metrics: list[str], name: str, key: str, top: int = 12, collation: str | None = "es") -> DataFrame:
+    """The best keys of each metric (metric, key, name, amount, rank), equal amounts by name and key in the collation's order; keys without the metric are not ranked."""
+    by = [F.collate(F.col(c).cast("string"), collation) if collation else F.col(c) for c in (name, key)]
+    long = rows.unpivot([key, name], metrics, "metric", "amount").filter("amount is not null")
+    return long.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("amount"), *by))).filter(F.col("rank") <= top)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regmart.functions import numbers, text
 from regmart.operators import aggregates as agg
 from regmart.operators import reconcile, resolve
 from regmart.plans import bridge as b
-from regmart.plans.publication import _SQL_SCORES, _scores
-from regmart.plans.registry import _FALLBACK, DEC, _with_fallback
+from regmart.plans.publication import _SQL_SCORES, _cells, _heads, _scores
+from regmart.plans.registry import _FALLBACK, ACCOUNTS, DEC, _with_fallback
 from regmart.sources import workbooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,46 @@ def _(spark, d):
 @query("scl_02_normalize_text", "SELECT doc_id, upper(trim(regexp_replace(replace(text, 'ß', 'SS'), '\\s+', ' ', 'g'))) AS normalized FROM documents")
 def _(spark, d):
     return b.read(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
+
+
+@query("win_01_four_metrics", f"""WITH {b.SQL_FLOW}, {b.SQL_BALANCE}, m AS (SELECT 'amount' AS metric, entity, {DEC.format('amount')} AS amount FROM flow GROUP BY 2 """ + "".join(f"UNION ALL SELECT '{n}', entity, {DEC.format('combined')} FROM balance WHERE account = '{a}' GROUP BY 2 " for n, a in ACCOUNTS.items()) + """)
+ SELECT metric, entity, n_name AS name, amount, CAST(row_number() OVER (PARTITION BY metric ORDER BY amount DESC, n_name, entity) AS INT) AS rank FROM m JOIN nation ON entity = n_nationkey QUALIFY rank <= 12""")
+def _(spark, d):
+    f = b.flow(spark, d).groupBy("entity").agg(numbers.money(F.col("amount")).cast("double").alias("amount"))
+    x = b.balance(spark, d).groupBy("entity").agg(*[numbers.money(F.when(F.col("account") == a, F.col("combined"))).cast("double").alias(n) for n, a in ACCOUNTS.items()])
+    rows = agg.with_names(f.join(x, "entity", "full"), b.entities(spark, d), "entity", "entity_name")
+    return agg.rankings(rows, ["amount", *ACCOUNTS], "name", "entity")
+
+
+@query("agg_24_route_bytes", f"WITH {b.SQL_REQUESTS} SELECT route, round(avg(bytes), 2) AS avg_bytes, max(ts) AS last_seen FROM requests GROUP BY route ORDER BY route")
+def _(spark, d):
+    return b.requests(spark, d).groupBy("route").agg(F.round(F.avg("bytes"), 2).alias("avg_bytes"), F.max("ts").alias("last_seen")).orderBy("route")
+
+
+@query("ext_03_yoy_change", f"""WITH {b.SQL_FLOW}, m AS (SELECT entity, CAST(left(period, 4) AS INT) AS year, right(period, 2) AS month, {DEC.format('amount')} AS amount FROM flow GROUP BY 1, 2, 3), c AS (SELECT *, lag(amount) OVER w AS before, lag(year) OVER w AS last FROM m WINDOW w AS (PARTITION BY entity, month ORDER BY year))
+ SELECT entity, year, month, amount - before AS change, CASE WHEN before = 0 THEN 0 ELSE (amount - before) / before END AS relative FROM c WHERE last = year - 1""")
+def _(spark, d):
+    year = F.left("period", F.lit(4)).cast("int")
+    m = b.flow(spark, d).groupBy("entity", year.alias("year"), F.right("period", F.lit(2)).alias("month")).agg(numbers.money(F.col("amount")).cast("double").alias("amount"))
+    w = Window.partitionBy("entity", "month").orderBy("year")
+    change = F.col("amount") - F.col("before")
+    compared = m.withColumns({"before": F.lag("amount").over(w), "last": F.lag("year").over(w)}).filter("last = year - 1")
+    return compared.select("entity", "year", "month", change.alias("change"), numbers.safe_ratio(change, F.col("before")).alias("relative"))
+
+
+@query("ext_05_grand_total", f"""WITH {b.SQL_FLOW}, a AS (SELECT 'all' AS scope, {DEC.format('amount')} AS actual, {DEC.format('amount * 1.25')} AS expected FROM flow)
+ SELECT scope, 'PREMIUM_GRAND_TOTAL' AS rule, 'high' AS severity, 'warning' AS status, actual, expected, actual - expected AS absolute_difference, (actual - expected) / expected AS relative_difference FROM a""")
+def _(spark, d):
+    sums = b.flow(spark, d).agg(*[numbers.money(x).cast("double").alias(n) for n, x in (("actual", F.col("amount")), ("expected", F.col("amount") * 1.25))]).withColumn("scope", F.lit("all"))
+    return reconcile.reconcile(sums.select("scope", "actual"), sums.select("scope", "expected"), "scope", "PREMIUM_GRAND_TOTAL")
+
+
+_SIGNALS = ("11", "07", "SUPPLIER")
+
+
+@query("src_12_file_scores", f"""WITH s AS (SELECT s_nationkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + 1 AS row FROM supplier), x AS (SELECT CAST(s_nationkey AS VARCHAR) AS file, {' + '.join(f"coalesce(max(CASE WHEN row <= 60 AND contains(upper(s_name), '{x}') THEN 1 END), 0)" for x in _SIGNALS)} AS hits FROM s GROUP BY 1)
+ SELECT file, 'flow' AS kind, CAST(12 * 2 + 6 + 15 * hits AS DOUBLE) AS score FROM x UNION ALL SELECT file, 'control', CAST(12 AS DOUBLE) FROM x""")
+def _(spark, d):
+    table = _cells(spark, d)
+    tabular = workbooks.tabular_scores(table, _heads(spark, d), "flow", ["name", "code"], ["Data"], 12.0, "name", _SIGNALS)
+    return tabular.unionByName(workbooks.control_scores(table, "control", ["NOTES"]))

@@ -12,6 +12,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -205,12 +206,14 @@ def headers(table: DataFrame, aliases: DataFrame, header_row: int = 1) -> DataFr
     return found.join(last, "header_key", "left").select("file", "sheet_index", "sheet", "col", F.coalesce("canonical", "value").alias("header"))
 
 
+def _preferred(names: list[str]) -> Column:
+    """Whether the sheet's name contains one of the names."""
+    return reduce(lambda found, p: found | text.normalize_text(F.col("sheet")).contains(p.upper()), names, F.lit(False))
+
+
 def choose_sheet(heads: DataFrame, required: list[str], preferred: list[str]) -> DataFrame:
     """The first sheet of each file that has all required headers, sheets whose names contain a preferred one first."""
-    name = text.normalize_text(F.col("sheet"))
-    likes = F.lit(False)
-    for p in preferred:
-        likes = likes | name.contains(p.upper())
+    likes = _preferred(preferred)
     sheets = heads.groupBy("file", "sheet_index", "sheet").agg(F.collect_set("header").alias("headers")).filter(F.size(F.array_except(F.array(*map(F.lit, required)), "headers")) == 0)
     order = Window.partitionBy("file").orderBy(likes.desc(), "sheet_index")
     return sheets.withColumn("n", F.row_number().over(order)).filter("n = 1").select("file", "sheet_index", "sheet")
@@ -246,6 +249,29 @@ def kind_scores(hits: DataFrame, weights: DataFrame) -> DataFrame:
     return hits.join(weights, ["kind", "signal"]).groupBy("file", "kind").agg(F.sum(F.col("hits") * F.col("weight")).alias("score"))
 
 
+def tabular_scores(table: DataFrame, heads: DataFrame, kind: str, required: list[str], preferred: list[str], header_weight: float, text_header: str | None = None, signals: tuple[str, ...] = (), signal_weight: float = 15.0, bonus: float = 6.0) -> DataFrame:
+    """file, kind and score for files with a sheet that has all required headers: their hits, the distinct signals in the texts of that sheet's rows 2 to 60, and a bonus for a preferred sheet name."""
+    chosen = choose_sheet(heads, required, preferred)
+    scored = chosen.select("file", "sheet_index", (F.lit(header_weight * len(required)) + F.when(_preferred(preferred), bonus).otherwise(0.0)).alias("base"))
+    if not signals:
+        return scored.select("file", F.lit(kind).alias("kind"), F.col("base").alias("score"))
+    column = heads.filter(F.col("header") == text_header).select("file", "sheet_index", "col")
+    texts = table.filter(F.col("row").between(2, 60)).join(column, ["file", "sheet_index", "col"]).join(chosen.select("file", "sheet_index"), ["file", "sheet_index"])
+    value = text.normalize_text(F.col("value"))
+    hits = sum((F.max(value.contains(s).cast("int")) for s in signals[1:]), F.max(value.contains(signals[0]).cast("int")))
+    found = texts.groupBy("file").agg(hits.alias("hits"))
+    return scored.join(found, "file", "left").select("file", F.lit(kind).alias("kind"), (F.col("base") + F.coalesce("hits", F.lit(0)) * signal_weight).alias("score"))
+
+
+def control_scores(table: DataFrame, kind: str, names: list[str], name_weight: float = 12.0, many: tuple[int, float] = (10, 15.0), filled: tuple[int, float] = (5, 8.0)) -> DataFrame:
+    """file, kind and score by sheet names (normalized, whole), the number of sheets up to the last filled one, and the number of filled sheets."""
+    sheets = table.groupBy("file", "sheet_index").agg(F.max(text.normalize_text(F.col("sheet"))).alias("name"))
+    hit = F.count_distinct(F.when(F.col("name").isin(*names), F.col("name")))
+    by_file = sheets.groupBy("file").agg(hit.alias("hits"), (F.max("sheet_index") + 1).alias("sheets"), F.count("*").alias("filled"))
+    score = F.col("hits") * name_weight + F.when(F.col("sheets") > many[0], many[1]).otherwise(0.0) + F.when(F.col("filled") > filled[0], filled[1]).otherwise(0.0)
+    return by_file.select("file", F.lit(kind).alias("kind"), score.alias("score"))
+
+
 def classify(scores: DataFrame, least: float = 40, margin: float = 8) -> DataFrame:
     """file, kind (null if rejected), best, second, confidence and the best three candidates of positive score; ties by kind."""
     order = Window.partitionBy("file").orderBy(F.col("score").desc(), "kind")
