@@ -14,6 +14,11 @@ def public_page(rows: DataFrame, order: list[Column], page: int = 1, size: int =
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def with_total(page: DataFrame, rows: DataFrame) -> DataFrame:
+    """The page with the number of all rows; a page past the end has none."""
+    return page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # the count is one row
+
+
 def admin_page(rows: DataFrame, order: list[Column], page: int = 1, size: int = 10) -> tuple[DataFrame, int, int]:
     """Rows, the page shown (clamped to the last) and the number of pages."""
     size = min(100, max(1, size))

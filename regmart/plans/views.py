@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regmart.functions import numbers, text
 from regmart.operators import aggregates as agg
-from regmart.operators import reconcile, resolve
+from regmart.operators import paging, reconcile, resolve
 from regmart.plans import bridge as b
 from regmart.plans.publication import _SQL_SCORES, _cells, _heads, _scores
 from regmart.plans.registry import _FALLBACK, ACCOUNTS, DEC, _with_fallback
@@ -129,3 +129,9 @@ def _(spark, d):
     table = _cells(spark, d)
     tabular = workbooks.tabular_scores(table, _heads(spark, d), "flow", ["name", "code"], ["Data"], 12.0, "name", _SIGNALS)
     return tabular.unionByName(workbooks.control_scores(table, "control", ["NOTES"]))
+
+
+@query("lim_01_page_with_total", f"WITH {b.SQL_FLOW}, g AS (SELECT category, {DEC.format('amount')} AS amount FROM flow GROUP BY 1) SELECT category, amount, (SELECT count(*) FROM g) AS total FROM g ORDER BY amount DESC, category LIMIT 10 OFFSET 10")
+def _(spark, d):
+    rows = b.flow(spark, d).groupBy("category").agg(numbers.money(F.col("amount")).cast("double").alias("amount"))
+    return paging.with_total(paging.public_page(rows, [F.desc("amount"), F.col("category")], 2, 10), rows)
