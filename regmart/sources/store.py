@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 RUNS = "run_id string, status string, created_at timestamp, updated_at timestamp, detail string"
 VERSIONS = "version_id string, run_id string, status string, created_at timestamp, published_at timestamp, publishability string"
 POINTERS = "pointer string, at timestamp, stamp string"
+MANIFESTS = "version_id string, artifact string, published_at timestamp"
+ISSUES = "run_id string, code string, severity string, detail string"
+# States of a version.
+STATES = ("draft", "staged", "published", "failed", "rolledBack")
 AUDIT = "audit_key string, action string, actor string, at timestamp, detail string"
 
 
@@ -22,6 +26,10 @@ class PublishBlocked(Exception):
     """The run's merged publishability forbids publishing."""
 
 
+class BadVersion(Exception):
+    """A stored version breaks the rules of its record."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -49,6 +57,18 @@ class Store:
         newest = Window.partitionBy("run_id").orderBy(F.desc("updated_at"))
         return self.table("runs", RUNS).withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n").orderBy(F.desc("created_at"), "run_id")
 
+    def fail_run(self, run_id: str, actor: str, issues: DataFrame, reason: str) -> str:
+        """Records a run that ended before its rows were read: its issues (code, severity, detail), a failed version without artifacts, and the run itself; the active version stays."""
+        version, now = f"failed-{uuid.uuid4().hex[:8]}", datetime.now(timezone.utc)
+        issues.select(F.lit(run_id).alias("run_id"), "code", "severity", F.col("detail").cast("string").alias("detail")).write.mode("append").parquet(f"{self.root}/issues")
+        self._append("versions", VERSIONS, version, run_id, "failed", now, None, "blocked")
+        self.write_run(run_id, "failed", reason)
+        self.audit("VALIDATION_FAILED", actor, run_id)
+        return version
+
+    def issues(self, run_id: str) -> DataFrame:
+        return self.table("issues", ISSUES).filter(F.col("run_id") == run_id)
+
     def audit(self, action: str, actor: str, detail: str | None = None) -> None:
         now = datetime.now(timezone.utc)
         self._append("audit", AUDIT, f"{now.isoformat().replace(':', '-')}-{uuid.uuid4().hex[:8]}", action, actor, now, detail)
@@ -64,18 +84,39 @@ class Store:
         rows = self.table("versions", VERSIONS).filter("version_id is not null").withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n")
         return rows.withColumn("status", F.coalesce("status", F.lit("draft"))).orderBy(F.desc(F.coalesce("published_at", "created_at")), "version_id")
 
+    def invalid_versions(self) -> DataFrame:
+        """version_id and the first rule that its record breaks: it has a known state, a creation time, and a publication time if published."""
+        rule = F.when(~F.col("status").isin(*STATES), "STATUS_UNKNOWN").when(F.col("created_at").isNull(), "CREATED_AT_MISSING").when((F.col("status") == "published") & F.col("published_at").isNull(), "PUBLISHED_AT_MISSING")
+        return self.versions().withColumn("rule", rule).filter("rule is not null").select("version_id", "rule")
+
+    def read_version(self, version_id: str) -> dict:
+        """The record of a version with its defaults; an unknown one is a KeyError, one that breaks a rule a BadVersion."""
+        row = self.versions().filter(F.col("version_id") == version_id).first()
+        if row is None:
+            raise KeyError(version_id)
+        broken = self.invalid_versions().filter(F.col("version_id") == version_id).first()
+        if broken is not None:
+            raise BadVersion(f"{version_id}: {broken.rule}")
+        return row.asDict()
+
+    def manifest(self, version_id: str) -> DataFrame:
+        """artifact names of a version, in order."""
+        return self.table("manifests", MANIFESTS).filter(F.col("version_id") == version_id).select("artifact", "published_at").orderBy("artifact")
+
     def new_version_id(self) -> str:
         stamp = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         return f"dataset-{stamp.replace(':', '-').replace('.', '-')}-{uuid.uuid4().hex[:8]}"
 
     def publish(self, run_id: str, actor: str, artifacts: dict[str, DataFrame], publishability: str, version_id: str | None = None) -> str:
-        """Writes each artifact of a new version once, then its version row, and last the pointer; a failure before leaves the active version as it was."""
+        """Writes each artifact of a new version once, then its manifest and version row, and last the pointer; a failure before leaves the active version as it was."""
         if publishability == "blocked":
             raise PublishBlocked(run_id)
         version = version_id or self.new_version_id()
         for name, rows in artifacts.items():
             rows.write.mode("errorifexists").parquet(f"{self.root}/artifacts/{name}/version_id={version}")
         now = datetime.now(timezone.utc)
+        listed = self.spark.createDataFrame([(version, name, now) for name in sorted(artifacts)], MANIFESTS)
+        listed.coalesce(1).write.mode("append").parquet(f"{self.root}/manifests")
         self._append("versions", VERSIONS, version, run_id, "published", now, now, publishability)
         self.activate(version)
         self.write_run(run_id, "published", version)

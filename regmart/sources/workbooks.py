@@ -208,7 +208,7 @@ def headers(table: DataFrame, aliases: DataFrame, header_row: int = 1) -> DataFr
 
 def _preferred(names: list[str]) -> Column:
     """Whether the sheet's name contains one of the names."""
-    return reduce(lambda found, p: found | text.normalize_text(F.col("sheet")).contains(p.upper()), names, F.lit(False))
+    return F.exists(F.array(text.normalize_text(F.col("sheet"))), lambda s: reduce(lambda found, p: found | s.contains(p.upper()), names, F.lit(False)))  # an array of one, so that the name is made once
 
 
 def choose_sheet(heads: DataFrame, required: list[str], preferred: list[str]) -> DataFrame:
@@ -249,18 +249,19 @@ def kind_scores(hits: DataFrame, weights: DataFrame) -> DataFrame:
     return hits.join(weights, ["kind", "signal"]).groupBy("file", "kind").agg(F.sum(F.col("hits") * F.col("weight")).alias("score"))
 
 
-def tabular_scores(table: DataFrame, heads: DataFrame, kind: str, required: list[str], preferred: list[str], header_weight: float, text_header: str | None = None, signals: tuple[str, ...] = (), signal_weight: float = 15.0, bonus: float = 6.0) -> DataFrame:
-    """file, kind and score for files with a sheet that has all required headers: their hits, the distinct signals in the texts of that sheet's rows 2 to 60, and a bonus for a preferred sheet name."""
+def tabular_scores(table: DataFrame, heads: DataFrame, kind: str, required: list[str], preferred: list[str], header_weight: float, text_header: str | None = None, signals: tuple[str, ...] = (), signal_weight: float = 15.0, bonus: float = 6.0, scored: list[str] | None = None) -> DataFrame:
+    """file, kind and score for files with a sheet that has all required headers: their hits, the distinct signals in the texts of that sheet's rows 2 to 60, and a bonus for a sheet name out of ``scored`` (by default the preferred ones)."""
     chosen = choose_sheet(heads, required, preferred)
-    scored = chosen.select("file", "sheet_index", (F.lit(header_weight * len(required)) + F.when(_preferred(preferred), bonus).otherwise(0.0)).alias("base"))
+    named = _preferred(preferred if scored is None else scored)
+    hits = heads.filter(F.col("header").isin(*required)).groupBy("file", "sheet_index").agg(F.count("*").alias("headers"))
+    base = chosen.join(hits, ["file", "sheet_index"]).select("file", "sheet_index", (F.col("headers") * header_weight + F.when(named, bonus).otherwise(0.0)).alias("base"))
     if not signals:
-        return scored.select("file", F.lit(kind).alias("kind"), F.col("base").alias("score"))
+        return base.select("file", F.lit(kind).alias("kind"), F.col("base").alias("score"))
     column = heads.filter(F.col("header") == text_header).select("file", "sheet_index", "col")
     texts = table.filter(F.col("row").between(2, 60)).join(column, ["file", "sheet_index", "col"]).join(chosen.select("file", "sheet_index"), ["file", "sheet_index"])
-    value = text.normalize_text(F.col("value"))
-    hits = sum((F.max(value.contains(s).cast("int")) for s in signals[1:]), F.max(value.contains(signals[0]).cast("int")))
-    found = texts.groupBy("file").agg(hits.alias("hits"))
-    return scored.join(found, "file", "left").select("file", F.lit(kind).alias("kind"), (F.col("base") + F.coalesce("hits", F.lit(0)) * signal_weight).alias("score"))
+    shown = F.flatten(F.transform(F.array(text.normalize_text(F.col("value"))), lambda v: F.filter(F.array(*map(F.lit, signals)), lambda s: v.contains(s))))
+    found = texts.select("file", "value").distinct().select("file", F.explode(shown).alias("signal")).groupBy("file").agg(F.count_distinct("signal").alias("hits"))
+    return base.join(found, "file", "left").select("file", F.lit(kind).alias("kind"), (F.col("base") + F.coalesce("hits", F.lit(0)) * signal_weight).alias("score"))
 
 
 def control_scores(table: DataFrame, kind: str, names: list[str], name_weight: float = 12.0, many: tuple[int, float] = (10, 15.0), filled: tuple[int, float] = (5, 8.0)) -> DataFrame:
@@ -288,5 +289,19 @@ def classification_issues(found: DataFrame) -> DataFrame:
     return found.filter("kind is null").select("file", F.lit("WORKBOOK_SCHEMA_UNRECOGNIZED").alias("code"), F.lit("critical").alias("severity"))
 
 
+def diagnostics(table: DataFrame, scores: DataFrame, sheets: int = 8, per_sheet: int = 20, best: int = 3) -> DataFrame:
+    """file, the best candidates as ``kind:score`` (``none`` without any), and the names of the first sheets with the first filled cells of their first row; a sheet without any is not in the cells."""
+    first = Window.partitionBy("file", "sheet_index").orderBy("col")
+    order = Window.partitionBy("file").orderBy(F.col("score").desc(), "kind")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c])
+    top = scores.filter("score > 0").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= best)
+    named = top.withColumn("candidate", F.concat_ws(":", "kind", F.regexp_replace(F.col("score").cast("string"), r"\.0$", ""))).groupBy("file").agg(F.array_join(listed("candidate"), ", ").alias("candidates"))
+    head = table.filter((F.col("row") == 1) & (F.col("sheet_index") < sheets)).withColumn("value", F.trim("value")).filter("value <> ''").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_sheet)
+    lines = head.groupBy("file", "sheet_index", "sheet").agg(F.array_join(listed("value"), ", ").alias("line")).withColumns({"n": F.col("sheet_index"), "line": F.concat_ws(": ", "sheet", "line")})
+    seen = lines.groupBy("file").agg(F.array_join(listed("line"), "; ").alias("headers"))
+    files = table.select("file").distinct()
+    return files.join(named, "file", "left").join(seen, "file", "left").select("file", F.coalesce("candidates", F.lit("none")).alias("candidates"), F.coalesce("headers", F.lit("")).alias("headers"))
+
+
 def duplicate_roles(found: DataFrame, run: str = "run") -> DataFrame:
     return found.filter("kind is not null").groupBy(run, "kind").agg(F.count("*").alias("n")).filter("n > 1").select(run, "kind", F.lit("WORKBOOK_ROLE_DUPLICATED").alias("code"), F.lit("critical").alias("severity"))
