@@ -132,8 +132,7 @@ def _(spark, d):
 
 @query("prj_02_run_list", f"WITH {b.SQL_ISSUES} SELECT scope, count(*) FILTER (code = 'error') AS kept FROM issues GROUP BY scope")
 def _(spark, d):
-    runs = b.issues(spark, d).groupBy("scope").agg(F.collect_list("code").alias("codes"))
-    return runs.select("scope", F.size(F.filter("codes", lambda c: c == "error")).cast("long").alias("kept"))
+    return b.issues(spark, d).groupBy("scope").agg(F.count_if(F.col("code") == "error").alias("kept"))
 
 
 @query("prj_03_audit_list", "SELECT event_id, event_type AS action, ts, TRY_CAST(props->>'$.k' AS BIGINT) AS k FROM events")
@@ -196,7 +195,8 @@ def _(spark, d):
 def _(spark, d):
     first = b.balance(spark, d).groupBy("entity").agg(total("combined").alias("amount")).withColumn("source", F.lit(0))
     both = first.unionByName(b.flow(spark, d).groupBy("entity").agg(total("amount").alias("amount")).withColumn("source", F.lit(1)))
-    return both.join(both.agg(F.min("source").alias("source")), "source", "left_semi").orderBy(F.desc("amount"), "entity").select("entity", "amount").limit(12)
+    top = both.orderBy("source", F.desc("amount"), "entity").limit(12)  # the preferred source comes first, so its best twelve are all there
+    return top.withColumn("preferred", F.min("source").over(Window.partitionBy())).filter("source = preferred").orderBy(F.desc("amount"), "entity").select("entity", "amount")
 
 
 # Pointers, status, rules
