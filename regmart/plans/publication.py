@@ -13,7 +13,7 @@ from regmart.operators import aggregates as agg
 from regmart.operators import reconcile
 from regmart.plans import bridge as b
 from regmart.plans.registry import ACCOUNTS, DEC
-from regmart.sources import workbooks
+from regmart.sources import store, workbooks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,9 +204,8 @@ def _(spark, d):
 
 @query("snk_07_repaired_pointer", "WITH v AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders), c AS (SELECT c_custkey, CAST(c_custkey * 3 AS VARCHAR) AS pointer FROM customer) SELECT c_custkey, CASE WHEN pointer IN (SELECT id FROM v) THEN pointer ELSE (SELECT max(id) FROM v) END AS pointer FROM c")
 def _(spark, d):
-    v = b.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
-    c = b.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 3).cast("string").alias("pointer"))
-    return c.join(v, c.pointer == v.id, "left").crossJoin(F.broadcast(v.agg(F.max("id").alias("last")))).select("c_custkey", F.coalesce("id", "last").alias("pointer"))  # last is one row
+    v = b.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("version_id"))
+    return store.repaired_pointers(b.read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 3).cast("string").alias("pointer")), v)
 
 
 @query("agg_22_markers_present", f"WITH {b.SQL_BALANCE} SELECT entity, bool_or(account = '1-URGENT') AS has_assets, bool_or(contains(account, 'LOW') OR contains(account, 'HIGH')) AS has_marker FROM balance GROUP BY 1")

@@ -30,6 +30,14 @@ class BadVersion(Exception):
     """A stored version breaks the rules of its record."""
 
 
+def repaired_pointers(pointers: DataFrame, versions: DataFrame) -> DataFrame:
+    """The rows with their ``pointer`` if it is one of ``versions.version_id``, else the greatest version id (null without any)."""
+    known = versions.select("version_id").distinct()
+    last = F.broadcast(versions.agg(F.max("version_id").alias("_last")))  # one row
+    found = pointers.join(known, F.col("pointer") == F.col("version_id"), "left").crossJoin(last)
+    return found.withColumn("pointer", F.coalesce("version_id", "_last")).drop("version_id", "_last")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -155,11 +163,10 @@ class Store:
 
     def repair_pointer(self, fallback: str | None = None) -> str | None:
         """A missing or dangling pointer moves to the greatest version id."""
-        active = self.active(fallback)
-        if active is None:
-            active = self.versions().agg(F.max("version_id").alias("v")).first().v
-            if active is not None:
-                self.activate(active)
+        pointer = self.pointer(fallback)
+        active = repaired_pointers(self.spark.createDataFrame([(pointer,)], "pointer string"), self.versions()).first().pointer
+        if active is not None and active != pointer:
+            self.activate(active)
         return active
 
     def rollback(self, version_id: str, actor: str) -> None:

@@ -65,9 +65,14 @@ def archive_stats(files: DataFrame) -> DataFrame:
     return files.select("file", "size", "content").mapInPandas(run, ARCHIVE)
 
 
+def inflation_ratio(compressed: Column, inflated: Column) -> Column:
+    """Inflated bytes of a compressed one; without any compressed byte the inflated ones themselves."""
+    return F.when(compressed == 0, inflated).otherwise(inflated / F.nullif(compressed, F.lit(0)))
+
+
 def screen(stats: DataFrame, name: Column, mime: Column, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Issue rows (file, code, severity) over archive statistics; a file that is no archive gets no archive issue but that one."""
-    ratio = F.when(F.col("compressed") == 0, F.col("inflated")).otherwise(F.col("inflated") / F.nullif("compressed", F.lit(0)))
+    ratio = inflation_ratio(F.col("compressed"), F.col("inflated"))
     a = F.col("is_archive")
     rules = [
         (~F.lower(name).endswith(".xlsx"), "SECURITY_EXTENSION_REJECTED", "critical"), (~mime.isin(*ALLOWED_MIME), "SECURITY_MIME_REJECTED", "high"), (F.col("size") > max_bytes, "SECURITY_SIZE_LIMIT", "critical"),
