@@ -82,13 +82,22 @@ class Runs:
 
 
 def pack(*arrays: np.ndarray | bytes) -> list[bytes]:
+    """Compressed arrays, numbers byte by byte: all first bytes, then all second ones, so that leading zeros cost nothing."""
     z = zstandard.ZstdCompressor(level=1)
-    return [z.compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes()) for a in arrays]
+    return [z.compress(a if isinstance(a, bytes) else np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()) for a in arrays]
 
 
 def unpack(blob: bytes, kind: str | None = None) -> np.ndarray | bytes:
     raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31)
-    return np.frombuffer(raw, kind) if kind else raw
+    if not kind:
+        return raw
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """First number and differences of ascending ones; ``np.cumsum`` gives them back."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
 
 
 def groups(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -218,7 +227,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         arrays = [np.concatenate(x) for x in kinds]
         order = np.lexsort((second, key))
         key, arrays = key[order], [a[order] for a in arrays]
-        found = [(b, pack(*(a[lo:hi] for a in arrays))) for b, lo, hi in groups(key)]
+        found = [(b, pack(*(steps(a[lo:hi]) if n == "hash" else a[lo:hi] for n, a in zip(names, arrays)))) for b, lo, hi in groups(key)]
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), *(pa.array([p[i] for _, p in found], pa.binary()) for i in range(len(names)))], [name, *names])
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +250,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
             yield flush()
 
     def shared_anchors(table: pa.Table) -> pa.Table:
-        h, doc, version, start = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("hash", "<u8"), ("doc", "<i8"), ("version", "<u2"), ("start", "<i8")))
+        h = np.concatenate([np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in table.column("hash").to_pylist()])
+        doc, version, start = (np.concatenate([unpack(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("doc", "<i8"), ("version", "<u2"), ("start", "<i8")))
         order = np.argsort(h, kind="stable")
         h, doc, version, start = h[order], doc[order], version[order], start[order]
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
