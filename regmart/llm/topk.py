@@ -30,11 +30,11 @@ LEAST, MOST = -(1 << 63), (1 << 63) - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
-def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, quantised components floor(256 x) and their number, of the rows that take part."""
+def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", **more: Column) -> DataFrame:
+    """vec_id, quantised components floor(256 x) and their number, of the rows that take part; further columns under the names given."""
     x = F.col(vector_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(math.inf)))
-    return rows.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * 256).cast("long")).alias("q"), F.size(x).alias("dim"))
+    return rows.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * 256).cast("long")).alias("q"), F.size(x).alias("dim"), *(c.alias(name) for name, c in more.items()))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
