@@ -5,7 +5,9 @@ All works on the long cells table of ``workbooks``; a file is read once, whateve
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,18 +77,48 @@ def schema(role: Role) -> StructType:
     return StructType([StructField(c, StringType(), c not in NEEDED) for c in role.columns])
 
 
-def headers(table: DataFrame, role: Role) -> DataFrame:
-    """Headers of all sheets under the names of the role."""
-    listed = [(alias, name) for name, known in role.headers.items() for alias in known]
-    known = table.sparkSession.createDataFrame([(a, n, i) for i, (a, n) in enumerate(listed)], "alias string, canonical string, position int")
-    return workbooks.headers(table, known.select(text.normalize_header_key(F.col("alias")).alias("header_key"), "canonical", "position"))
+def _header_key(alias: str) -> str:
+    """``text.normalize_header_key`` of a known alias: capitals without signs."""
+    return " ".join(re.sub(r"[.,;:()_/-]", " ", alias).split())
+
+
+def _layout(role: Role) -> str:
+    """Roles with the same headers share a layout."""
+    return "flow" if role.headers is FLOW_HEADERS else "statement"
+
+
+def known_headers(spark: SparkSession) -> DataFrame:
+    """layout, header_key, header: the aliases of all layouts, some eighty rows; of one alias the last header counts."""
+    listed = {(_layout(r), _header_key(alias)): name for r in ROLES for name, known in r.headers.items() for alias in known}
+    return spark.createDataFrame([(*key, name) for key, name in listed.items()], "layout string, header_key string, header string")
+
+
+def sheet_heads(table: DataFrame) -> DataFrame:
+    """file, sheet_index, sheet and the cells of the first row (col, value) of every sheet that has cells: one pass over the cells, which all roles share."""
+    return table.groupBy("file", "sheet_index", "sheet").agg(F.collect_list(F.when(F.col("row") == 1, F.struct("col", "value"))).alias("heads"))
+
+
+def headers(heads: DataFrame) -> DataFrame:
+    """file, sheet_index, sheet, col, layout, header: the header cells that a layout knows, under its names."""
+    cells = heads.select("file", "sheet_index", "sheet", F.inline("heads")).withColumn("header_key", text.normalize_header_key(F.col("value")))
+    return cells.join(F.broadcast(known_headers(heads.sparkSession)), "header_key").select("file", "sheet_index", "sheet", "col", "layout", "header")
+
+
+def chosen_sheets(found: DataFrame) -> DataFrame:
+    """file, kind, sheet_index, sheet, hits (header cells), named (whether the name scores): the first sheet of each file that has all headers of the role, sheets with preferred names first. One aggregate for all roles."""
+    known = found.sparkSession.createDataFrame([(r.kind, _layout(r), len(r.headers), [x.upper() for x in r.preferred], [x.upper() for x in r.scored]) for r in ROLES], "kind string, layout string, width int, preferred array<string>, scored array<string>")
+    sheets = found.groupBy("file", "sheet_index", "sheet", "layout").agg(F.count_distinct("header").alias("names"), F.count("*").alias("hits")).withColumn("name", text.normalize_text(F.col("sheet")))
+    whole = sheets.join(F.broadcast(known), "layout").filter(F.col("names") == F.col("width"))  # three rows
+    like = lambda names: F.exists(names, lambda p: F.col("name").contains(p))
+    order = F.struct((~like("preferred")).alias("other"), "sheet_index")
+    return whole.groupBy("file", "kind").agg(F.min_by(F.struct("sheet_index", "sheet", "hits", like("scored").alias("named")), order).alias("x")).select("file", "kind", "x.*")
 
 
 def scan(table: DataFrame, role: Role) -> tuple[DataFrame, DataFrame]:
     """Rows of the role's sheet under the role's columns, and one issue for each value that the schema does not take."""
-    heads = headers(table, role)
-    chosen = workbooks.choose_sheet(heads, list(role.headers), list(role.preferred))
-    rows = workbooks.records(table, heads, chosen, list(role.headers))
+    found = headers(sheet_heads(table)).filter(F.col("layout") == _layout(role))
+    chosen = chosen_sheets(found).filter(F.col("kind") == role.kind)
+    rows = workbooks.records(table, found, chosen, list(role.headers))
     renamed = rows.select("file", "source_row", *[F.col(f"`{name}`").alias(c) for name, c in zip(role.headers, role.columns)])
     return workbooks.conform(renamed, schema(role))
 
@@ -105,13 +137,24 @@ def period_label(table: DataFrame, cell: tuple[str, int, int] = PERIOD_CELL) ->
     return at.select("file", label.alias("period"), F.when(label.rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), numbers.period_from_year_month(label)).alias("period_start"))
 
 
-def scores(table: DataFrame) -> DataFrame:
-    """file, kind and score for every role; a file that shows nothing of a role has no row of it."""
-    flow, statement = headers(table, FLOW), headers(table, BALANCE)
-    out = workbooks.control_scores(table, CONTROL_KIND, CONTROL_SHEETS)
-    for role, heads in ((FLOW, flow), (BALANCE, statement), (RESULT, statement)):
-        out = out.unionByName(workbooks.tabular_scores(table, heads, role.kind, list(role.headers), list(role.preferred), role.header_weight, role.signal_column, role.signals, scored=list(role.scored)))
-    return out
+def scores(table: DataFrame, signal_weight: float = 15.0, bonus: float = 6.0) -> DataFrame:
+    """file, kind and score for every role; a file that shows nothing of a role has no row of it.
+
+    A role's score: points for every header cell of its sheet, for every signal that the texts of rows 2 to 60 hold, and for a sheet name that marks it. The cells are read twice, for heads and for texts, whatever the number of roles.
+    """
+    heads = sheet_heads(table)
+    found = headers(heads)
+    chosen = chosen_sheets(found)
+    wanted = [r for r in ROLES if r.signals]
+    column = found.filter((F.col("layout") == "statement") & F.col("header").isin(*{r.signal_column for r in wanted})).select("file", "sheet_index", "col").distinct()
+    of_role = chosen.filter(F.col("kind").isin(*(r.kind for r in wanted))).select("file", "kind", "sheet_index")
+    texts = table.filter(F.col("row").between(2, 60)).join(column, ["file", "sheet_index", "col"]).select("file", "sheet_index", "value").distinct().withColumn("shown", text.normalize_text(F.col("value")))
+    each = [F.max(F.when(F.col("kind") == r.kind, F.col("shown").contains(s).cast("int"))) for r in wanted for s in r.signals]
+    hits = texts.join(of_role, ["file", "sheet_index"]).groupBy("file", "kind").agg(reduce(lambda x, y: x + y, [F.coalesce(e, F.lit(0)) for e in each]).alias("signals"))
+    weight = reduce(lambda rest, r: F.when(F.col("kind") == r.kind, r.header_weight).otherwise(rest), ROLES, F.lit(0.0))
+    score = F.col("hits") * weight + F.when(F.col("named"), bonus).otherwise(0.0) + F.coalesce("signals", F.lit(0)) * signal_weight
+    tabular = chosen.join(hits, ["file", "kind"], "left").select("file", "kind", score.alias("score"))
+    return workbooks.control_scores(heads, CONTROL_KIND, CONTROL_SHEETS).unionByName(tabular)
 
 
 def classify(table: DataFrame) -> DataFrame:
