@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regmart.functions.numbers import safe_ratio
 from regmart.functions.text import normalize_text
 
 
-def reconcile(actual: DataFrame, control: DataFrame, key: str, rule: str, tolerance: float = 0.001, periods_match: bool = True, report_missing: bool = True) -> DataFrame:
-    """actual: key, actual; control: key, expected. A missing expectation is an issue, or skipped; beyond the tolerance a row warns."""
-    joined = actual.join(control, key, "left" if report_missing else "inner")
+def compared(rows: DataFrame, rule: str, missing: str | None, tolerance: float = 0.001, periods_match: Column | bool = True) -> DataFrame:
+    """Rows (actual, expected and others) with rule, severity, status and differences: without an expectation ``missing`` is the rule; beyond the tolerance a row warns, the more so where periods match."""
     diff = F.col("actual") - F.col("expected")
     rel = safe_ratio(diff, F.col("expected"))
     off = F.abs(rel) > tolerance
-    missing = F.col("expected").isNull()
-    return joined.select(
-        key, F.when(missing, "REFERENCE_MISSING").otherwise(rule).alias("rule"), F.when(missing, "medium").when(off & F.lit(periods_match), "high").otherwise("low").alias("severity"),
-        F.when(missing | off, "warning").otherwise("passed").alias("status"), "actual", "expected", diff.alias("absolute_difference"), F.when(~missing, rel).alias("relative_difference"),
-    )
+    same = F.lit(periods_match) if isinstance(periods_match, bool) else periods_match
+    none = F.col("expected").isNull()
+    return rows.withColumns({
+        "rule": F.when(none, missing).otherwise(rule), "severity": F.when(none, "medium").when(off & same, "high").otherwise("low"), "status": F.when(none | off, "warning").otherwise("passed"),
+        "absolute_difference": diff, "relative_difference": F.when(~none, rel),
+    })
+
+
+def reconcile(actual: DataFrame, control: DataFrame, key: str, rule: str, tolerance: float = 0.001, periods_match: bool = True, report_missing: bool = True, missing: str = "REFERENCE_PREMIUM_INSTITUTION_MISSING") -> DataFrame:
+    """actual: key, actual; control: key, expected. A missing expectation is an issue of code ``missing``, or skipped; beyond the tolerance a row warns."""
+    joined = actual.join(control, key, "left" if report_missing else "inner")
+    return compared(joined, rule, missing, tolerance, periods_match).select(key, "rule", "severity", "status", "actual", "expected", "absolute_difference", "relative_difference")
 
 
 def reconcile_names(actual: DataFrame, control: DataFrame, name: str, rule: str, tolerance: float = 0.001, periods_match: bool = True, report_missing: bool = True) -> DataFrame:

@@ -24,7 +24,7 @@ def resolve(values: DataFrame, aliases: DataFrame, catalog: DataFrame, normalize
 
 
 def first_stage(values: DataFrame, stages: list[tuple[str, DataFrame]], probes: list[Column] | None = None) -> DataFrame:
-    """raw, strategy, target and candidates of every distinct ``values.raw``, by the first of ``stages`` (name; alias and target) that knows its probe. One join for all stages."""
+    """raw, strategy, target, candidates and reason (why several were not taken) of every distinct ``values.raw``, by the first of ``stages`` (name; alias and target) that knows its probe. One join for all stages."""
     distinct = values.select("raw").distinct()
     side = None
     for i, (_, known) in enumerate(stages):
@@ -34,7 +34,45 @@ def first_stage(values: DataFrame, stages: list[tuple[str, DataFrame]], probes:
     hits = distinct.select("raw", F.inline(asked)).join(side, ["stage", "alias"]).groupBy("raw", "stage").agg(F.array_sort(F.collect_set("target")).alias("candidates"))
     first = hits.groupBy("raw").agg(F.min_by(F.struct("stage", "candidates"), "stage").alias("f")).select("raw", "f.*")
     strategy = F.when(F.col("stage").isNull(), "unresolved").when(F.size("candidates") > 1, "ambiguous").otherwise(F.element_at(F.array(*[F.lit(name) for name, _ in stages]), F.col("stage") + 1))
-    return distinct.join(first, "raw", "left").select("raw", strategy.alias("strategy"), F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("target"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    reason = F.when(F.size("candidates") > 1, F.concat(F.element_at(F.array(*[F.lit(name) for name, _ in stages]), F.col("stage") + 1), F.lit("-matched-multiple-candidates")))
+    return distinct.join(first, "raw", "left").select("raw", strategy.alias("strategy"), F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("target"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"), reason.alias("reason"))
+
+
+EVIDENCE = ("strategy", "target", "name", "repaired", "normalized", "candidate_ids", "candidate_names", "mojibake", "required", "reason")
+
+
+def evidence(found: DataFrame, catalog: DataFrame, normalizer: Callable[[Column], Column]) -> DataFrame:
+    """Resolutions (raw, strategy, target, candidates, reason, and others) with what shows how they came about: ``EVIDENCE``. Texts are made once for each distinct one.
+
+    name: of the target; repaired, normalized: the text without damage, and as it was compared; mojibake, required: whether it was damaged, whether it needed normalization;
+    reason: why several candidates or none were taken, null for a plain hit.
+    """
+    names = F.broadcast(catalog.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("target", "canonical"))).alias("_names")))  # a fixed catalog, in one row
+    shared = [c for c in found.columns if c not in ("strategy", "target", "candidates", "reason")]
+    raw = F.col("raw")
+    told = found.select("raw").distinct().select("raw", text.repair_mojibake(raw).alias("repaired"), normalizer(raw).alias("normalized"), text.normalize_format_only(raw).alias("_plain"))
+    mojibake = F.col("repaired") != raw
+    required = F.when(F.col("strategy").startswith("direct"), False).when(F.col("strategy").startswith("normalized"), True).otherwise(mojibake | (F.col("_plain") != raw))
+    reason = F.when(F.col("target").isNull(), F.coalesce("reason", F.when(F.size("candidates") > 0, "candidate-found-but-no-safe-resolution").otherwise("no-candidate"))).otherwise(F.col("reason"))
+    return found.join(told, "raw").crossJoin(names).select(
+        *shared, "strategy", "target", F.element_at("_names", F.col("target")).alias("name"), "repaired", "normalized", F.col("candidates").alias("candidate_ids"),
+        F.transform("candidates", lambda x: F.col("_names")[x]).alias("candidate_names"), mojibake.alias("mojibake"), required.alias("required"), reason.alias("reason"))
+
+
+def resolve_with_lines(pairs: DataFrame, by_text: DataFrame, catalog: DataFrame, normalizer: Callable[[Column], Column]) -> DataFrame:
+    """Resolutions of ``pairs`` (raw, line, and others) from those of their texts: a text that stays unresolved takes the entry of its line number. Its candidates are that entry and those
+    whose names hold the text or are held by it; several without a line make it ambiguous."""
+    found = with_line_fallback(pairs.join(by_text, "raw"), catalog)
+    near = containment_candidates(by_text.filter("strategy = 'unresolved'"), catalog, normalizer).withColumnRenamed("candidates", "near")
+    none = F.array().cast("array<string>")
+    by_line, open_ = F.col("strategy") == "line-number-fallback", F.col("strategy") == "unresolved"
+    joined = found.join(near, "raw", "left").withColumn("near", F.coalesce("near", none))
+    line_target = F.when(by_line, F.col("target"))
+    return joined.withColumns({
+        "reason": F.when(by_line & (F.size("near") > 1), "text-matched-multiple-candidates-but-line-number-was-authoritative").when(open_ & (F.size("near") > 1), "substring-candidate-match-multiple-candidates").otherwise(F.col("reason")),
+        "candidates": F.when(by_line | open_, merged_candidates(line_target, F.col("near"))).otherwise(F.col("candidates")),
+        "strategy": F.when(open_, verdict(F.col("near"))).otherwise(F.col("strategy")),
+    }).drop("near")
 
 
 def merged_candidates(line_target: Column, candidates: Column) -> Column:

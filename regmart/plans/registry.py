@@ -337,7 +337,7 @@ def _control(actual: DataFrame) -> DataFrame:
 
 
 def _rec(rule: str, join: str) -> str:
-    return f"""SELECT a.entity, CASE WHEN expected IS NULL THEN 'REFERENCE_MISSING' ELSE '{rule}' END AS rule, CASE WHEN expected IS NULL THEN 'medium' WHEN abs((actual - expected) / expected) > 0.001 THEN 'high' ELSE 'low' END AS severity,
+    return f"""SELECT a.entity, CASE WHEN expected IS NULL THEN 'REFERENCE_PREMIUM_INSTITUTION_MISSING' ELSE '{rule}' END AS rule, CASE WHEN expected IS NULL THEN 'medium' WHEN abs((actual - expected) / expected) > 0.001 THEN 'high' ELSE 'low' END AS severity,
  CASE WHEN expected IS NULL OR abs((actual - expected) / expected) > 0.001 THEN 'warning' ELSE 'passed' END AS status, actual, expected, actual - expected AS absolute_difference, (actual - expected) / expected AS relative_difference FROM actual a {join} JOIN control c ON a.entity = c.entity"""
 
 

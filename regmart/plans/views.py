@@ -60,7 +60,7 @@ def _(spark, d):
 
 
 @query("jn_11_reconcile_names", f"""WITH {b.SQL_FLOW}, actual AS (SELECT upper(entity_name) AS name, entity, {DEC.format('amount')} AS actual FROM flow GROUP BY 1, 2), control AS (SELECT name, actual * CASE WHEN entity % 7 = 0 THEN 1.01 ELSE 1.0 END AS expected FROM actual WHERE entity % 11 <> 0)
- SELECT a.name, CASE WHEN expected IS NULL THEN 'REFERENCE_MISSING' ELSE 'PREMIUM_TOTAL_BY_INSTITUTION' END AS rule, CASE WHEN expected IS NULL THEN 'medium' WHEN abs((actual - expected) / expected) > 0.001 THEN 'high' ELSE 'low' END AS severity,
+ SELECT a.name, CASE WHEN expected IS NULL THEN 'REFERENCE_PREMIUM_INSTITUTION_MISSING' ELSE 'PREMIUM_TOTAL_BY_INSTITUTION' END AS rule, CASE WHEN expected IS NULL THEN 'medium' WHEN abs((actual - expected) / expected) > 0.001 THEN 'high' ELSE 'low' END AS severity,
  CASE WHEN expected IS NULL OR abs((actual - expected) / expected) > 0.001 THEN 'warning' ELSE 'passed' END AS status, actual, expected, actual - expected AS absolute_difference, (actual - expected) / expected AS relative_difference FROM actual a LEFT JOIN control c ON a.name = c.name""")
 def _(spark, d):
     actual = b.flow(spark, d).groupBy("entity", F.col("entity_name").alias("name")).agg(numbers.money(F.col("amount")).cast("double").alias("actual"))

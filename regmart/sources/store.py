@@ -74,6 +74,32 @@ class Store:
         self.audit("VALIDATION_FAILED", actor, run_id)
         return version
 
+    def record(self, done, actor: str) -> None:
+        """Records all runs of an ``ingest.Ingested`` with one append a table: the facts of the staged ones first, then issues, a staged or failed version of each run, audit events, and last the runs themselves. The active version stays."""
+        now = datetime.now(timezone.utc)
+        for name, rows in (("flow", done.flow), ("balance", done.balance), ("reconciliation", done.reconciled)):
+            rows.write.mode("append").parquet(f"{self.root}/staging/{name}")
+        done.issues.select(F.col("run").alias("run_id"), "code", "severity", F.coalesce("detail", "scope").alias("detail")).write.mode("append").parquet(f"{self.root}/issues")
+        failed, at = F.col("status") == "failed", F.lit(now).cast("timestamp")
+        version = F.concat(F.when(failed, "failed-").otherwise(f"dataset-{now.strftime('%Y-%m-%dT%H-%M-%S')}-"), F.substring(F.sha2(F.concat_ws("/", F.lit(uuid.uuid4().hex), "run"), 256), 1, 8))
+        runs = done.runs
+        append = lambda name, rows: rows.write.mode("append").parquet(f"{self.root}/{name}")
+        append("versions", runs.select(version.alias("version_id"), F.col("run").alias("run_id"), "status", at.alias("created_at"), F.lit(None).cast("timestamp").alias("published_at"), "publishability"))
+        key = F.concat_ws("-", F.lit(now.isoformat().replace(":", "-")), F.substring(F.sha2(F.concat_ws("/", F.lit(uuid.uuid4().hex), "run"), 256), 1, 8))
+        append("audit", runs.select(key.alias("audit_key"), F.when(failed, "VALIDATION_FAILED").otherwise("INGESTION_STAGED").alias("action"), F.lit(actor).alias("actor"), at.alias("at"), F.col("run").alias("detail")))
+        append("runs", runs.select(F.col("run").alias("run_id"), "status", at.alias("created_at"), at.alias("updated_at"), F.coalesce("gate", "publishability").alias("detail")))
+
+    def publish_run(self, run_id: str, actor: str) -> str:
+        """Publishes a staged run from its staged facts; one that failed or is blocked raises PublishBlocked, an unknown one KeyError."""
+        run = self.runs().filter(F.col("run_id") == run_id).first()
+        if run is None:
+            raise KeyError(run_id)
+        draft = self.versions().filter((F.col("run_id") == run_id) & F.col("status").isin("staged", "failed")).first()
+        if run.status == "failed" or draft is None:
+            raise PublishBlocked(run_id)
+        staged = {name: self.spark.read.parquet(f"{self.root}/staging/{name}").filter(F.col("run") == run_id) for name in ("flow", "balance", "reconciliation")}
+        return self.publish(run_id, actor, staged, draft.publishability, draft.version_id)
+
     def issues(self, run_id: str) -> DataFrame:
         return self.table("issues", ISSUES).filter(F.col("run_id") == run_id)
 
