@@ -122,3 +122,8 @@ class Rolling:
 def crc_of_id(id_col: str = "doc_id") -> Column:
     """CRC-32 of the id's decimal text."""
     return F.crc32(F.col(id_col).cast("string"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """Hash of a whole row, all columns of ``docs``."""
+    return F.xxhash64(*(F.coalesce(F.to_json(c) if t.startswith(("map", "array", "struct")) else F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c, t in docs.dtypes))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regmart.llm.common import Rolling, as_bytes, checkpointed, documents, mix, partitions, pieces, slices
+from regmart.llm.common import Rolling, as_bytes, checkpointed, documents, mix, partitions, pieces, row_key, slices
 from regmart.llm.graph import components, forest
 
 #: Sets, and n-grams of them, compared in one task on either side.
@@ -468,7 +468,7 @@ def similar(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that are linked to another that stays: of each group of linked rows the one with the least
-    doc_id (null last), then the least text hash. Rows of one id with texts of their own are rows of their own; of rows alike in id and text one stays; rows without words all stay."""
+    doc_id (null last), then the least text hash. Rows of one id with texts of their own are rows of their own; of rows alike in id and text the one with the least hash of the whole row stays; rows without words all stay."""
     known, linked = linked_sets(hashed(docs), n, num, den, False)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     placed = known.join(linked, "set_key")
@@ -483,4 +483,5 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     stay = checkpointed(marks)
     met = lambda some: own.join(some, (F.col("_own_hash") == F.col("_hash")) & F.col("_own_id").eqNullSafe(F.col("_id")))
     once = met(stay.filter("not (_twice and _words)")).select(*names)
-    return once.unionByName(met(stay.filter("_twice and _words")).dropDuplicates(["_own_id", "_own_hash"]).select(*names))
+    one = F.min_by(F.struct(*(F.col(f"`{c}`") for c in names)), F.struct(*(F.xxhash64(F.lit(i), row_key(docs)) for i in range(2)))).alias("_row")
+    return once.unionByName(met(stay.filter("_twice and _words")).groupBy("_own_id", "_own_hash").agg(one).select("_row.*"))

@@ -10,7 +10,7 @@ ranges are added up in a small table (sources times BUCKETS rows), and only a ra
 ranges as well, so that a table may have a source for every row.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source, the last; equal ids with texts of their own are documents of their own; rows alike in id, source
-and text are copies that follow each other, and any of them stands for the others; a source of size 0 has target 0; an
+and text are copies that follow each other (in ``mixed_documents`` rows alike in all columns); ties of position go by id, then by the row's hash; a source of size 0 has target 0; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regmart.llm.common import checkpointed
+from regmart.llm.common import checkpointed, row_key
 
 BUCKETS = 1024
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -34,11 +34,11 @@ def order_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)
 
 
-def sized(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size and a key that orders a source's rows the same way in every run."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"))
-    return rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), order_key(F.col("text")).alias("order_key"))
+def sized(docs: DataFrame, text_col: str = "text", source_col: str = "source", key: Column | None = None) -> DataFrame:
+    """doc_id, source, size and a key that orders a source's rows the same way in every run: by default of id and text, so that rows alike in both are copies."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(source_col).cast("string").alias("source"), *([] if key is None else [key.alias("order_key")]))
+    return rows.select("doc_id", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"), (order_key(F.col("text")) if key is None else F.col("order_key")).alias("order_key"))
 
 
 def ahead(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
@@ -77,10 +77,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return level.select("source", "source_size", "weight", "slope", (F.least(limit, F.lit(common) * F.col("weight")) if free else limit).alias("target"))
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_repeats: int = MOST_REPEATS, slopes: tuple[float, ...] = SLOPES, buckets: int = BUCKETS) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most_repeats: int = MOST_REPEATS, slopes: tuple[float, ...] = SLOPES, buckets: int = BUCKETS, key: Column | None = None) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, passes (times the mix takes it) and positions (one for each time, in [0, 1])."""
     source_key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    alike = sized(docs).groupBy("doc_id", "source", "size", "order_key").agg(F.count("*").alias("copies"))
+    alike = sized(docs, key=key).groupBy("doc_id", "source", "size", "order_key").agg(F.count("*").alias("copies"))
     sizes = checkpointed(alike.withColumn("bucket", F.pmod(F.shiftright("order_key", 20), F.lit(buckets)).cast("int")).withColumn("words", F.col("size") * F.col("copies")))
     per = sizes.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,12 +117,12 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their own columns, range-sorted by position."""
-    names = docs.columns
+    """The rows of ``docs`` as often as the mix takes them, with their own columns, range-sorted by position. Only rows alike in all columns are copies of one another."""
+    names, key = docs.columns, row_key(docs)
     id_key, source_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    rows = docs.select(*names, id_key.alias("_id"), source_key.alias("_source"), order_key(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_order")).dropDuplicates(["_id", "_source", "_order"])
-    taken = plan(docs, **options).select(id_key.alias("_id"), source_key.alias("_source"), F.col("order_key").alias("_order"), F.explode("positions").alias("_position"))
-    return rows.join(taken, ["_id", "_source", "_order"]).orderBy("_position", "doc_id").select(*names)
+    rows = docs.select(*names, id_key.alias("_id"), source_key.alias("_source"), key.alias("_order")).dropDuplicates(["_id", "_source", "_order"])
+    taken = plan(docs, key=key, **options).select(id_key.alias("_id"), source_key.alias("_source"), F.col("order_key").alias("_order"), F.explode("positions").alias("_position"))
+    return rows.join(taken, ["_id", "_source", "_order"]).orderBy("_position", "doc_id", "_order").select(*names)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from regmart.llm.common import checkpointed
 
 CHAIN, BUCKET_BITS = 2, 6
-#: Texts whose signature sets differ so much in length that their likeness is under this have likeness 0.
-LEAST = 0.02
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
     "a about after all also an and any are as at be been but by can could did do for from had has have he her his how i if in into is it its may more most no not of on one only or other our out she so some such than that the their them then there these they this to up was we were what when which who will with would you your "
@@ -48,11 +46,10 @@ def with_signatures(rows: DataFrame, text_col: str, name: str) -> DataFrame:
     return steps.withColumn(name, F.array_sort(F.array_distinct(F.array_append(found, signature(F.lit("^"), F.lit(0)))))).drop("_words", "_content", "_anchors")
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity; sets whose lengths alone keep it under ``least`` are not compared and have 0."""
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity."""
     shared = F.size(F.array_intersect(a, b))
-    whole = shared / (F.size(a) + F.size(b) - shared)
-    return F.when(F.least(F.size(a), F.size(b)) < least * F.greatest(F.size(a), F.size(b)), 0.0).otherwise(whole) if least else whole
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def printed(signatures: Column) -> Column:
@@ -112,8 +109,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sha2("edited", 256).alias("edited_sha256"),
         printed(F.col("signatures")).alias("fingerprint"),
         printed(F.col("edited_signatures")).alias("edited_fingerprint"),
-        likeness(F.col("signatures"), F.col("edited_signatures"), LEAST).alias("near_edited"),
-        likeness(F.col("signatures"), F.col("next_signatures"), LEAST).alias("near_next"),
+        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
     )
 
 
@@ -129,7 +126,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     often = each.groupBy("sig").agg(F.count("*").alias("often"))
     rank = Window.partitionBy("id").orderBy("often", "sig")
     placed = each.join(often, "sig").withColumn("at", F.row_number().over(rank)).filter("at <= n - ceil(n * CAST({t} AS double) - 1e-9) + 1".format(t=threshold))
-    level = F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int")
+    level = F.floor(F.log(F.col("n")) / math.log(1 / threshold)).cast("int") if threshold < 1 else F.col("n")
     left = placed.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("at").alias("aat"), level.alias("level"), "sig")
     right = left.toDF("b", "bn", "bat", "level", "sig").select("b", "bn", "bat", "sig", F.explode(F.array("level", F.col("level") - 1, F.col("level") + 1)).alias("level"))
     needed = threshold / (1 + threshold) * (F.col("an") + F.col("bn")) - 1e-9

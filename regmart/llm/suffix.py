@@ -17,7 +17,7 @@ A row is named by its id and the 64-bit hash of its text. Its home is dealt by b
 hash only, which marks some runs in vain where an id has many texts, and runs and reports carry all of it.
 
 Defined cases: a null or empty text has no bytes; a text shorter than ``length`` keeps all; documents of one id do not count as earlier than each other; null ids come last
-and count as one id; repeated rows give a row each; other columns are ignored.
+and count as one id, with the greatest long there is (a document of that id and one without take nothing from each other); repeated rows give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,7 +211,7 @@ def later_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes left) and spans (start:end of what went)."""
-    rows = documents(docs, id_col=id_col, text_col=text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
+    rows = documents(docs, id_col=id_col, text_col=text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"), F.col("doc_id").isNull().alias("no_id"))
     buckets = partitions(docs, 2)
     homes = buckets | 1
     home = F.pmod(F.pmod(F.col("doc"), F.lit(homes)) + F.pmod(F.col("version"), F.lit(SHORT)), F.lit(homes)).cast("int")
@@ -261,10 +261,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
         out = dealt([[doc], [version], [start]], home_of(doc, version), doc, ["doc", "version", "start"], "home")
         return pa.Table.from_batches([out])
 
-    def texts_of(table: pa.Table) -> tuple[list[int], list[int], list[bytes]]:
+    def texts_of(table: pa.Table) -> tuple[list[int], list[int], list[bytes], list[bool]]:
         order = np.lexsort((table.column("version").to_numpy(), table.column("doc").to_numpy()))
         table = table.take(pa.array(order))
-        return table.column("doc").to_pylist(), table.column("version").to_pylist(), table.column("text").to_pylist()
+        return table.column("doc").to_pylist(), table.column("version").to_pylist(), table.column("text").to_pylist(), table.column("no_id").to_pylist()
 
     def runs_of(texts: pa.Table, found: pa.Table) -> pa.Table:
         names = ["doc", "version", "start", "count", "text"]
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
             mark = mix(wanted[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(wanted[:, 1].astype(np.uint64) << np.uint64(44) | wanted[:, 2].astype(np.uint64)))
             mark.sort()
             done: set[tuple[int, int]] = set()
-            doc, version, text = texts_of(texts)
+            doc, version, text, _ = texts_of(texts)
             fresh = [i for i, x in enumerate(zip(doc, version)) if x not in done and not done.add(x)]
             for docs_, versions, runs in each(*([x[i] for i in fresh] for x in (doc, version, text))):
                 if not len(runs.at):
@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
             d, v, s, c = (np.concatenate([unpack(x, kind) for x in found.column(n).to_pylist()] or [np.zeros(0, kind)]) for n, kind in (("doc", "<i8"), ("version", "<i8"), ("start", "<i8"), ("count", "<i8")))
             order = np.lexsort((v, d))
             d, v, s, c = d[order], v[order], s[order], c[order]
-            for doc, version, text in zip(*texts_of(texts)):
+            for doc, version, text, no_id in zip(*texts_of(texts)):
                 lo, hi = np.searchsorted(d, doc), np.searchsorted(d, doc, "right")
                 own = slice(lo + np.searchsorted(v[lo:hi], version), lo + np.searchsorted(v[lo:hi], version, "right"))
                 n, kept, spans, removed = len(text), text, "", 0
@@ -319,7 +319,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
                     removed = int(gone.sum())
                     spans = ",".join(f"{a}:{b}" for a, b in zip(edges[::2], edges[1::2]))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                row = (None if doc == NO_ID else doc, n, removed, spans.count(":"), hashlib.sha256(kept).hexdigest())
+                row = (None if no_id else doc, n, removed, spans.count(":"), hashlib.sha256(kept).hexdigest())
                 rows_.append((*row, kept, spans) if keep_text else row)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())[: 7 if keep_text else 5]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows_) if rows_ else [[]] * len(kinds), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(kinds)])
