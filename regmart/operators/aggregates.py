@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regmart.functions.numbers import money, safe_ratio
 
 
-def share_of_total(amount: Column) -> Column:
-    return safe_ratio(amount, F.sum(amount).over(Window.partitionBy(F.lit(1))))
-
-
 def amount_by(facts: DataFrame, key: str, amount: str = "amount") -> DataFrame:
     """Amount by key with its share of the whole: partial sums before the shuffle, the share over the few groups."""
     grouped = facts.groupBy(key).agg(money(F.col(amount)).alias("sum"))
@@ -19,6 +17,20 @@ def amount_by(facts: DataFrame, key: str, amount: str = "amount") -> DataFrame:
     return grouped.select(key, F.col("sum").cast("double").alias("amount"), safe_ratio(F.col("sum").cast("double"), total.cast("double")).alias("share"))
 
 
+def entities_covered(*facts: DataFrame, key: str = "entity") -> DataFrame:
+    """One row, ``entities``: the distinct keys over all fact sets. Each is reduced to its own keys before they meet."""
+    keys = [f.select(key).distinct() for f in facts]
+    return reduce(lambda a, b: a.unionByName(b), keys).agg(F.count_distinct(key).alias("entities"))
+
+
+def named_shares(facts: DataFrame, key: str, exact: str, names: DataFrame) -> DataFrame:
+    """key, name, amount and share of the whole, of exact sums by key; names (key, name) are a catalog, an unknown key is its own name."""
+    grouped = facts.groupBy(key).agg(F.sum(exact).alias("sum"))
+    total = F.sum("sum").over(Window.partitionBy(F.lit(1)))  # over the few groups
+    shares = grouped.select(key, F.col("sum").cast("double").alias("amount"), safe_ratio(F.col("sum").cast("double"), total.cast("double")).alias("share"))
+    return with_names(shares, names, key, "name").select(key, "name", "amount", "share")
+
+
 def with_names(rows: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
     """Looks up names; an unknown key is its own name."""
     return rows.join(dim.select(key, F.col(name).alias("name")), key, "left").withColumn("name", F.coalesce("name", F.col(key).cast("string")))
@@ -52,9 +64,9 @@ def top_rows(facts: DataFrame, by: str, order: list[Column], top: int) -> DataFr
     return facts.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("position") <= top)
 
 
-def last_by(facts: DataFrame, by: str, value: str, order: str) -> DataFrame:
-    """The value of the last row of each key."""
-    return facts.groupBy(by).agg(F.max_by(value, order).alias(value))
+def last_by(facts: DataFrame, by: str, value: str, *order: str) -> DataFrame:
+    """The value of the last row of each key by the order; of rows alike in it the greatest value."""
+    return facts.groupBy(by).agg(F.max_by(value, F.struct(*order, value)).alias(value))
 
 
 def stored_or_rebuilt(stored: DataFrame, rebuilt: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from regmart.functions.numbers import safe_ratio
 from regmart.functions.text import normalize_text
 
 
-def compared(rows: DataFrame, rule: str, missing: str | None, tolerance: float = 0.001, periods_match: Column | bool = True) -> DataFrame:
+def compared(rows: DataFrame, rule: str | Column, missing: str | None, tolerance: float = 0.001, periods_match: Column | bool = True) -> DataFrame:
     """Rows (actual, expected and others) with rule, severity, status and differences: without an expectation ``missing`` is the rule; beyond the tolerance a row warns, the more so where periods match."""
     diff = F.col("actual") - F.col("expected")
     rel = safe_ratio(diff, F.col("expected"))
@@ -17,7 +17,7 @@ def compared(rows: DataFrame, rule: str, missing: str | None, tolerance: float =
     same = F.lit(periods_match) if isinstance(periods_match, bool) else periods_match
     none = F.col("expected").isNull()
     return rows.withColumns({
-        "rule": F.when(none, missing).otherwise(rule), "severity": F.when(none, "medium").when(off & same, "high").otherwise("low"), "status": F.when(none | off, "warning").otherwise("passed"),
+        "rule": F.when(none, F.lit(missing)).otherwise(rule), "severity": F.when(none, "medium").when(off & same, "high").otherwise("low"), "status": F.when(none | off, "warning").otherwise("passed"),
         "absolute_difference": diff, "relative_difference": F.when(~none, rel),
     })
 
@@ -44,3 +44,11 @@ def with_tolerances(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     diff = F.col("actual") - F.col("expected")
     off = (F.abs(diff) > F.col("absolute")) & (F.abs(safe_ratio(diff, F.col("expected"))) > F.col("relative"))
     return rows.join(F.broadcast(rules), key).withColumn("status", F.when(off, "warning").otherwise("passed"))
+
+
+def consolidated(rows: DataFrame, group: str, key: str, rules: dict[object, str], tolerance: float = 0.001) -> DataFrame:
+    """Reconciliation of groups (accounts) by key (entity) and over all keys: rows are exact sums ``actual`` and ``expected`` by group and key; ``rules`` names each group's rule. One grouping of the sums gives both levels; the row of a whole group has the key ``consolidated``."""
+    sums = rows.rollup(group, key).agg(F.sum("actual").cast("double").alias("actual"), F.sum("expected").cast("double").alias("expected"), F.grouping_id().alias("level")).filter("level < 3")
+    named = sums.withColumn(key, F.when(F.col("level") == 1, "consolidated").otherwise(F.col(key).cast("string")))
+    rule = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col(group)]
+    return compared(named, rule, None, tolerance).filter("rule IS NOT NULL").select(group, key, "rule", "severity", "status", "actual", "expected", "absolute_difference", "relative_difference")

@@ -12,6 +12,7 @@ from regmart.functions.numbers import money
 from regmart.operators import projections as p
 from regmart.plans import bridge as b
 from regmart.plans.registry import _FALLBACK, ACCOUNTS, DEC, _with_fallback
+from regmart.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,10 +110,9 @@ def _(spark, d):
     return p.operational_status(b.versions(spark, d))
 
 
-@query("agg_26_four_areas", "SELECT ['quarantine', 'staging', 'published', 'audit'][o_orderkey % 4 + 1] AS area, count(*) AS n FROM orders GROUP BY 1")
+@query("agg_26_four_areas", "SELECT 'quarantine' AS area, count(*) AS n FROM documents UNION ALL SELECT 'staging', count(*) FROM customer UNION ALL SELECT 'published', count(*) FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT 'audit', count(*) FROM events")
 def _(spark, d):
-    areas = F.array(*map(F.lit, ("quarantine", "staging", "published", "audit")))
-    return b.read(spark, d, "orders").groupBy(F.element_at(areas, (F.col("o_orderkey") % 4).cast("int") + 1).alias("area")).agg(F.count("*").alias("n"))
+    return store.area_counts({"quarantine": b.read(spark, d, "documents"), "staging": b.read(spark, d, "customer"), "published": b.versions(spark, d).filter("published IS NOT NULL"), "audit": b.read(spark, d, "events")})
 
 
 _OVERVIEW = " UNION ALL ".join(f"(SELECT '{n}' AS list, CAST({key} AS VARCHAR) AS item, {DEC.format(amount)} AS amount FROM {view} {where} GROUP BY 2 ORDER BY amount DESC, item LIMIT 12)" for n, key, amount, view, where in (

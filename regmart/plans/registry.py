@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from regmart.functions import numbers, text
 from regmart.operators import aggregates as agg
-from regmart.operators import paging, quality, reconcile, resolve
+from regmart.operators import metrics, paging, quality, reconcile, resolve
 from regmart.plans import bridge as b
 from regmart.sources import workbooks
 
@@ -305,13 +305,10 @@ def _(spark, d):
     return b.files(spark, d).groupBy("run", "kind").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("agg_24_route_metrics", f"""WITH {b.SQL_REQUESTS} SELECT route, count(*) AS n, count(*) FILTER (status >= 400) AS errors, CAST(round(CAST(sum(CAST(duration AS DECIMAL(18,2))) AS DOUBLE) / count(*), 2) AS DOUBLE) AS avg_duration, max(duration) AS max_duration,
- arg_max(duration, ts) AS last_duration, max(bytes) AS max_bytes, arg_max(bytes, ts) AS last_bytes, CAST(arg_max(status, ts) AS INT) AS last_status FROM requests GROUP BY route""")
+@query("agg_24_route_metrics", f"""WITH {b.SQL_REQUESTS}, r AS (SELECT *, struct_pack(ts := ts, duration := duration, status := status, bytes := bytes) AS last FROM requests) SELECT route, count(*) AS n, count(*) FILTER (status >= 400) AS errors, CAST(round(CAST(sum(CAST(duration AS DECIMAL(18,2))) AS DOUBLE) / count(*), 2) AS DOUBLE) AS avg_duration,
+ max(duration) AS max_duration, arg_max(duration, last) AS last_duration, max(bytes) AS max_bytes, arg_max(bytes, last) AS last_bytes, CAST(arg_max(status, last) AS INT) AS last_status FROM r GROUP BY route""")
 def _(spark, d):
-    r = b.requests(spark, d).groupBy("route")
-    mean = F.round(numbers.money(F.col("duration")).cast("double") / F.count("*"), 2)
-    return r.agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 400).alias("errors"), mean.alias("avg_duration"), F.max("duration").alias("max_duration"), F.max_by("duration", "ts").alias("last_duration"),
-                 F.max("bytes").alias("max_bytes"), F.max_by("bytes", "ts").alias("last_bytes"), F.max_by("status", "ts").cast("int").alias("last_status"))
+    return b.requests(spark, d).groupBy("route").agg(*metrics.route_metrics()).drop("last_seen")
 
 
 @query("agg_25_inflation_ratio", "SELECT l_orderkey AS file, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS compressed, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS inflated, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS ratio FROM lineitem GROUP BY 1")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ MANIFESTS = "version_id string, artifact string, published_at timestamp"
 ISSUES = "run_id string, code string, severity string, detail string"
 # States of a version.
 STATES = ("draft", "staged", "published", "failed", "rolledBack")
+FILES = "run_id string, stored_name string, sha256 string, size long, uploaded_at timestamp, path string"
 AUDIT = "audit_key string, action string, actor string, at timestamp, detail string"
 
 
@@ -38,6 +40,12 @@ def repaired_pointers(pointers: DataFrame, versions: DataFrame) -> DataFrame:
     return found.withColumn("pointer", F.coalesce("version_id", "_last")).drop("version_id", "_last")
 
 
+def area_counts(areas: dict[str, DataFrame]) -> DataFrame:
+    """area and its number of rows, empty areas included."""
+    parts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("area"), "n") for name, rows in areas.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -45,7 +53,7 @@ class Store:
     def table(self, name: str, schema: str) -> DataFrame:
         """Rows of a table; one never written is empty."""
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").select(*(f.split()[0] for f in schema.split(", ")))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -60,10 +68,28 @@ class Store:
         now = datetime.now(timezone.utc)
         self._append("runs", RUNS, run_id, status, created_at or now, now, detail)
 
+    def register(self, batch: DataFrame, number: int) -> None:
+        """Registers a numbered batch of received files (``FILES``) and their runs; the same number again takes the place of what it wrote before."""
+        rows = batch.select(*(f.split()[0] for f in FILES.split(", "))).persist()
+        try:
+            if rows.isEmpty():
+                return
+            rows.coalesce(8).write.mode("overwrite").parquet(f"{self.root}/files/batch={number}")
+            runs = rows.groupBy("run_id").agg(F.min("uploaded_at").alias("created_at"))
+            received = runs.select("run_id", F.lit("received").alias("status"), "created_at", F.col("created_at").alias("updated_at"), F.lit(None).cast("string").alias("detail"))
+            received.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/received/batch={number}")
+        finally:
+            rows.unpersist()
+
+    def files(self, run_id: str | None = None) -> DataFrame:
+        """Registered files, of one run or of all."""
+        rows = self.table("files", FILES)
+        return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+
     def runs(self) -> DataFrame:
-        """The latest row of each run, newest first."""
-        newest = Window.partitionBy("run_id").orderBy(F.desc("updated_at"))
-        return self.table("runs", RUNS).withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n").orderBy(F.desc("created_at"), "run_id")
+        """The latest row of each run, newest first; a run that was only received has that status, whenever its files came."""
+        newest = Window.partitionBy("run_id").orderBy(F.col("status") == "received", F.desc("updated_at"))
+        return self.table("runs", RUNS).unionByName(self.table("received", RUNS)).withColumn("n", F.row_number().over(newest)).filter("n = 1").drop("n").orderBy(F.desc("created_at"), "run_id")
 
     def fail_run(self, run_id: str, actor: str, issues: DataFrame, reason: str) -> str:
         """Records a run that ended before its rows were read: its issues (code, severity, detail), a failed version without artifacts, and the run itself; the active version stays."""
@@ -204,9 +230,4 @@ class Store:
 
     def counts(self) -> DataFrame:
         """Rows by area."""
-        areas = [("staging", self.runs()), ("published", self.versions()), ("audit", self.table("audit", AUDIT))]
-        out = None
-        for name, rows in areas:
-            part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("area"), "n")
-            out = part if out is None else out.unionByName(part)
-        return out
+        return area_counts({"quarantine": self.files(), "staging": self.runs(), "published": self.versions(), "audit": self.table("audit", AUDIT)})

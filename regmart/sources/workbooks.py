@@ -1,6 +1,6 @@
 """Spreadsheet files as Spark jobs: archive statistics and screening, the long cells table, sheets, headers, records, control totals, classification.
 
-A scan emits ``cells`` (file, sheet_index, sheet, row, col, value), one file a task; all that follows is DataFrame work on that table.
+A scan emits ``cells`` (file, sheet_index, sheet, row, col, value), one sheet at a time; all that follows is DataFrame work on that table.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from regmart.functions import numbers, text
+from regmart.sources.shared import cut
 
 CELLS = "file string, sheet_index int, sheet string, row int, col int, value string"
 ARCHIVE = "file string, size long, is_archive boolean, entries long, compressed long, inflated long, macro boolean, encrypted boolean, protected boolean"
@@ -105,11 +106,9 @@ def _is_date(code: str) -> bool:
     return bool(re.search("[dmy]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code.lower()).replace("general", "")))
 
 
-def _date_styles(book: zipfile.ZipFile) -> set[int]:
+def _date_styles(styles: bytes) -> set[int]:
     """Numbers of the cell styles that show dates."""
-    if "xl/styles.xml" not in book.namelist():
-        return set()
-    root = ElementTree.fromstring(_part(book, "xl/styles.xml"))
+    root = ElementTree.fromstring(styles)
     own = {int(e.get("numFmtId")): _is_date(e.get("formatCode") or "") for e in root.iter() if _local(e.tag) == "numFmt"}
     formats = [int(e.get("numFmtId") or 0) for group in root if _local(group.tag) == "cellXfs" for e in group]
     return {i for i, f in enumerate(formats) if own.get(f, f in DATE_FORMATS)}
@@ -132,76 +131,161 @@ def _part(book: zipfile.ZipFile, path: str) -> bytes:
     return book.read(entry)
 
 
-def read_cells(file: str, content: bytes) -> Iterator[tuple]:
-    """Cells of one file, sheet by sheet, with cached results of formulas; numbers are the text of the stored number, dates ISO text. Rows and cells without a reference follow the one before. Raises one of ``UNREADABLE`` for a broken file."""
+def _raw(content: bytes, entry: zipfile.ZipInfo) -> bytes:
+    """The stored bytes of an entry, as they lie in the archive."""
+    at = entry.header_offset
+    if content[at : at + 4] != b"PK\x03\x04" or entry.flag_bits & 1 or entry.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) or entry.file_size > MAX_BYTES * MAX_RATIO:
+        raise zipfile.BadZipFile("an entry is encrypted, too large or packed in another way")
+    start = at + 30 + int.from_bytes(content[at + 26 : at + 28], "little") + int.from_bytes(content[at + 28 : at + 30], "little")
+    return content[start : start + entry.compress_size]
+
+
+def _inflated(raw: bytes, deflated: bool, size: int, crc: int, step: int = 1 << 16) -> Iterator[bytes]:
+    """Pieces of an entry's bytes; raises at its end if it is longer or shorter than stated, or has another checksum."""
+    unpack = zlib.decompressobj(-15) if deflated else None
+    total, check = 0, 0
+    for i in range(0, len(raw), step):
+        rest = raw[i : i + step]
+        while rest:
+            piece = unpack.decompress(rest, step * 16) if unpack else rest
+            rest = unpack.unconsumed_tail if unpack else b""
+            total, check = total + len(piece), zlib.crc32(piece, check)
+            if total > size:
+                raise zipfile.BadZipFile("an entry is longer than stated")
+            if piece:
+                yield piece
+    if total != size or check != crc:
+        raise zipfile.BadZipFile("an entry is damaged")
+
+
+def _sheets(content: bytes) -> Iterator[tuple]:
+    """sheet_index, sheet, its packed bytes and what is needed to unpack them, shared strings and styles as they are packed; only the small parts that name the sheets are parsed."""
     book = zipfile.ZipFile(io.BytesIO(content))
     sheets = [e for e in ElementTree.fromstring(_part(book, "xl/workbook.xml")).iter() if _local(e.tag) == "sheet"]
     targets = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(_part(book, "xl/_rels/workbook.xml.rels"))}
-    shared = [_strings(e) for e in ElementTree.fromstring(_part(book, "xl/sharedStrings.xml")) if _local(e.tag) == "si"] if "xl/sharedStrings.xml" in book.namelist() else []
-    dates = _date_styles(book)
+    names = set(book.namelist())
+
+    def packed(path: str) -> tuple:
+        if path not in names:
+            return (None, False, 0, 0)
+        entry = book.getinfo(path)
+        return (_raw(content, entry), entry.compress_type == zipfile.ZIP_DEFLATED, entry.file_size, entry.CRC)
+
+    aside = (*packed("xl/sharedStrings.xml"), *packed("xl/styles.xml"))
     for index, sheet in enumerate(sheets):
-        target = targets.get(next((v for k, v in sheet.attrib.items() if _local(k) == "id" and k != "sheetId"), None))
-        path = (target or "").lstrip("/") if (target or "").startswith("/") else posixpath.join("xl", target or "")
-        if path not in book.namelist():
-            continue
-        line = 0
-        for _, row in ElementTree.iterparse(io.BytesIO(_part(book, path))):
-            if _local(row.tag) != "row":
-                continue
-            line, column = int(row.get("r") or line + 1), 0
-            for cell in row:
-                column = _column(cell.get("r") or "") or column + 1
-                value = next((v.text for v in cell if _local(v.tag) == "v"), None)
-                kind = cell.get("t")
-                if kind == "s" and value is not None:
-                    value = shared[int(value)]
-                elif kind == "inlineStr":
-                    value = _strings(cell)
-                elif kind == "b" and value is not None:
-                    value = "true" if value == "1" else "false"
-                elif kind in (None, "n") and value is not None and int(cell.get("s") or 0) in dates:
-                    value = _iso(value)
-                if value not in (None, ""):
-                    yield (file, index, sheet.get("name"), line, column, value)
-            row.clear()
-
-
-def _fault(file: str, content: bytes) -> str | None:
-    """What breaks the reading of a file, or None; the file is read once to its end, so no broken one gives a part of its cells."""
-    try:
-        for _ in read_cells(file, content):
-            pass
-    except UNREADABLE as e:
-        return type(e).__name__
-    return None
+        target = targets.get(next((v for k, v in sheet.attrib.items() if _local(k) == "id" and k != "sheetId"), None)) or ""
+        path = target.lstrip("/") if target.startswith("/") else posixpath.join("xl", target)
+        if path in names:
+            yield (index, sheet.get("name"), *packed(path), *aside)
 
 
-def cells(files: DataFrame) -> DataFrame:
-    """Cells of every readable file; a broken file has none, and a row of ``unreadable``."""
+def _elements(pieces: Iterator[bytes], name: str) -> Iterator[ElementTree.Element]:
+    """Elements of a name from an XML stream, each dropped from the tree when the next one is asked for."""
+    parser, parents = ElementTree.XMLPullParser(("start", "end")), []
+
+    def ended() -> Iterator[ElementTree.Element]:
+        for event, e in parser.read_events():
+            if event == "start":
+                parents.append(e)
+                continue
+            parents.pop()
+            if _local(e.tag) == name:
+                yield e
+                if parents:
+                    parents[-1].clear()
+
+    for piece in pieces:
+        parser.feed(piece)
+        yield from ended()
+    parser.close()
+    yield from ended()
+
+
+def _sheet_cells(unit: tuple, shared: list[str], dates: set[int]) -> Iterator[tuple[int, int, str]]:
+    """row, col and value of the cells of one sheet, with cached results of formulas; numbers are the text of the stored number, dates ISO text. Rows and cells without a reference follow the one before."""
+    line = 0
+    for row in _elements(_inflated(*unit), "row"):
+        line, column = int(row.get("r") or line + 1), 0
+        for cell in row:
+            column = _column(cell.get("r") or "") or column + 1
+            value = next((v.text for v in cell if _local(v.tag) == "v"), None)
+            kind = cell.get("t")
+            if kind == "s" and value is not None:
+                value = shared[int(value)]
+            elif kind == "inlineStr":
+                value = _strings(cell)
+            elif kind == "b" and value is not None:
+                value = "true" if value == "1" else "false"
+            elif kind in (None, "n") and value is not None and int(cell.get("s") or 0) in dates:
+                value = _iso(value)
+            if value not in (None, ""):
+                yield (line, column, value)
+
+
+_PACKED = "{0} binary, {0}_deflated boolean, {0}_size long, {0}_crc long"
+UNITS = "file string, sheet_index int, sheet string, " + ", ".join(_PACKED.format(n) for n in ("body", "shared", "styles")) + ", fault string"
+
+
+def sheets(files: DataFrame) -> DataFrame:
+    """The sheets of every file as units of work (``UNITS``), still packed; a file whose list of sheets cannot be read is one row with its fault."""
+    names = [f.split()[0] for f in UNITS.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, held = [f.split()[0] for f in CELLS.split(", ")], []
         for batch in batches:
             for r in batch.itertuples():
-                if _fault(r.file, r.content):
-                    continue
-                for cell in read_cells(r.file, r.content):
-                    held.append(cell)
-                    if len(held) >= CHUNK:
-                        yield pd.DataFrame(held, columns=names)
-                        held = []
-        yield pd.DataFrame(held, columns=names)
+                try:
+                    rows = [(r.file, *unit, None) for unit in _sheets(r.content)]
+                except UNREADABLE as e:
+                    rows = [(r.file, *[None] * (len(names) - 2), type(e).__name__)]
+                yield pd.DataFrame(rows, columns=names).astype(object)
 
-    return files.select("file", "content").mapInPandas(run, CELLS)
+    return files.select("file", "content").mapInPandas(run, UNITS)
 
 
-def unreadable(files: DataFrame) -> DataFrame:
-    """An issue (file, code, severity, detail) for each file that cannot be read to its end."""
+def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of every readable file, and an issue (file, code, severity, detail) for each that cannot be read to the end of each sheet.
+
+    Sheets are dealt to tasks one by one, so a file takes as long as its largest sheet; each is unpacked and parsed once, in pieces. A sheet that breaks off leaves its fault behind its cells; the parsed sheets
+    are cut from their lineage, and the cells of faulty files are left out.
+    """
+    names = [f.split()[0] for f in CELLS.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        frame = lambda: pd.DataFrame(held, columns=[*names, "fault"]).astype({"sheet_index": "Int32", "row": "Int32", "col": "Int32"})
         for batch in batches:
-            yield pd.DataFrame([(r.file, _fault(r.file, r.content)) for r in batch.itertuples()], columns=["file", "detail"])
+            for u in batch.itertuples():
+                fault = u.fault
+                if fault is None:
+                    try:
+                        shared = [_strings(e) for e in _elements(_inflated(u.shared, u.shared_deflated, u.shared_size, u.shared_crc), "si")] if u.shared is not None else []
+                        dates = _date_styles(b"".join(_inflated(u.styles, u.styles_deflated, u.styles_size, u.styles_crc))) if u.styles is not None else set()
+                        for cell in _sheet_cells((u.body, u.body_deflated, u.body_size, u.body_crc), shared, dates):
+                            held.append((u.file, u.sheet_index, u.sheet, *cell, None))
+                            if len(held) >= CHUNK:
+                                yield frame()
+                                held.clear()
+                    except UNREADABLE as e:
+                        fault = type(e).__name__
+                if fault is not None:
+                    held.append((u.file, u.sheet_index, u.sheet, None, None, None, fault))
+        yield frame()
+
+    units = sheets(files)
+    parsed = cut(units.repartition("file", "sheet_index").mapInPandas(run, CELLS + ", fault string"))
+    faults = parsed.filter("fault IS NOT NULL").groupBy("file").agg(F.min_by("fault", F.coalesce("sheet_index", F.lit(-1))).alias("detail"))
+    issues = faults.select("file", F.lit("WORKBOOK_UNREADABLE").alias("code"), F.lit("critical").alias("severity"), "detail")
+    return parsed.filter("fault IS NULL").drop("fault").join(faults.select("file"), "file", "left_anti"), issues
+
+
+def cells(files: DataFrame) -> DataFrame:
+    """Cells of every readable file; a broken file has none, and a row of ``unreadable``."""
+    return read(files)[0]
+
 
-    found = files.select("file", "content").mapInPandas(run, "file string, detail string").filter("detail is not null")
-    return found.select("file", F.lit("WORKBOOK_UNREADABLE").alias("code"), F.lit("critical").alias("severity"), "detail")
+def unreadable(files: DataFrame) -> DataFrame:
+    """An issue (file, code, severity, detail) for each file that cannot be read to its end."""
+    return read(files)[1]
 
 
 def headers(table: DataFrame, aliases: DataFrame, header_row: int = 1) -> DataFrame:

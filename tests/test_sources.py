@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from conftest import SMALL
+from regmart.operators import metrics
+from regmart.plans import bridge
 from regmart.sources import store, workbooks
 from regmart.streaming import fronts
 
@@ -85,7 +88,7 @@ def test_store(spark, tmp_path):
     s.activate(None)
     assert s.pointer("side") is None and s.repair_pointer() == two
     assert [r.action for r in s.audit_events().collect()] == ["ROLLBACK", "PUBLISH", "PUBLISH"]
-    assert {r.area: r.n for r in s.counts().collect()} == {"staging": 2, "published": 2, "audit": 3}
+    assert {r.area: r.n for r in s.counts().collect()} == {"quarantine": 0, "staging": 2, "published": 2, "audit": 3}
 
 
 def test_streams(spark, folder, tmp_path):
@@ -131,3 +134,63 @@ def test_broken_files_give_an_issue_and_no_cells(spark, tmp_path):
     assert found == {("good.xlsx", i, 1, v) for i, v in enumerate(["Day", "46053", "46053.5", "7"], 1)} | {("dated.xlsx", 1, 1, "2026-01-31"), ("dated.xlsx", 1, 2, "2026-01-31T12:00:00"), ("dated.xlsx", 1, 3, "7"), ("dated.xlsx", 2, 2, "5"), ("dated.xlsx", 2, 3, "6")}
     assert {r.file[:-5] for r in workbooks.unreadable(scan).collect()} == {"text", "cut", "xml", "shared", "row"}
     assert workbooks.archive_stats(scan).count() == len(files)
+
+
+def test_arrivals_into_the_store_survive_a_restart(spark, tmp_path):
+    inbox, s = tmp_path / "inbox", store.Store(spark, str(tmp_path / "store"))
+    put = lambda run, name, content=b"x": ((inbox / run).mkdir(parents=True, exist_ok=True), (inbox / run / name).write_bytes(content))
+    put("run1", "a b.xlsx"), put("run1", "blob"), put("run2", "a.xlsx", b"yy")
+    done = lambda: fronts.register_arrivals(spark, str(inbox), s, str(tmp_path / "cp")).awaitTermination(120)
+    done()
+    first = {(r.run_id, r.stored_name, r["size"]) for r in s.files().collect()}
+    assert first == {("run1", "a_b.xlsx", 1), ("run2", "a.xlsx", 2)} and s.files().count() == 2
+    put("run2", "c.xlsx"), put("run3", "d.xlsx")
+    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"))
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink()
+    commits[-1].unlink()  # as if the driver was lost after the batch was written, before it was noted
+    done()
+    names = sorted((r.run_id, r.stored_name) for r in s.files().collect())
+    assert names == [("run1", "a_b.xlsx"), ("run2", "a.xlsx"), ("run2", "c.xlsx"), ("run3", "d.xlsx")]
+    done()  # nothing new
+    assert s.files().count() == 4 and {r.run_id: r.status for r in s.runs().collect()} == {"run1": "received", "run2": "received", "run3": "received"}
+    s.write_run("run1", "staged", created_at=datetime.datetime(2020, 1, 1))
+    assert {r.run_id: r.status for r in s.runs().collect()}["run1"] == "staged" and {r.area: r.n for r in s.counts().collect()} == {"quarantine": 4, "staging": 3, "published": 0, "audit": 0}
+
+
+def test_route_totals_of_a_stream_equal_the_batch(spark, tmp_path):
+    requests = bridge.requests(spark, SMALL)
+    requests.withColumn("part", F.pmod(F.hash("ts"), F.lit(5))).repartition(5, "part").drop("part").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = fronts.route_totals(stream).writeStream.format("memory").outputMode("complete").queryName("totals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert len(q.recentProgress) > 1
+    assert sorted(map(tuple, spark.table("totals").collect())) == sorted(map(tuple, requests.groupBy("route").agg(*metrics.route_metrics()).collect()))
+
+
+def test_sheets_are_units_of_work(spark, tmp_path):
+    rows = [["n", "t"], *[[i, f"text {i}"] for i in range(60_000)]]
+    (tmp_path / "large.xlsx").write_bytes(book({"One": [["a"]], "Large": rows, "Three": [["b"]]}))
+    broken = zipfile.ZipFile(io.BytesIO(book({"Fine": [["a"]], "Cut": [["b"]]})))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in broken.namelist():
+            content = broken.read(name)
+            new.writestr(name, content[: len(content) - 20] if name.endswith("sheet2.xml") else content)
+    (tmp_path / "broken.xlsx").write_bytes(out.getvalue())
+    bad = bytearray(book({"Fine": [["a"]], "Bits": [["b"] * 50]}))
+    bad[bad.index(b"xl/worksheets/sheet2.xml") + len("xl/worksheets/sheet2.xml") + 20] ^= 0xFF
+    (tmp_path / "bits.xlsx").write_bytes(bytes(bad))
+    files = workbooks.scan(spark, str(tmp_path)).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    units = workbooks.sheets(files).select("file", "sheet_index", "sheet").collect()
+    assert sorted((u.file, u.sheet) for u in units) == [("bits.xlsx", "Bits"), ("bits.xlsx", "Fine"), ("broken.xlsx", "Cut"), ("broken.xlsx", "Fine"), ("large.xlsx", "Large"), ("large.xlsx", "One"), ("large.xlsx", "Three")]
+    table, issues = workbooks.read(files)
+    found = table.groupBy("file", "sheet").agg(F.count("*").alias("n"), F.max("row").alias("last")).collect()
+    assert {(r.file, r.sheet): (r.n, r["last"]) for r in found} == {("large.xlsx", "One"): (1, 1), ("large.xlsx", "Large"): (120_002, 60_001), ("large.xlsx", "Three"): (1, 1)}
+    assert table.filter("sheet = 'Large' AND row = 60001").orderBy("col").select("value").collect() == [("59999",), ("text 59999",)]
+    assert {r.file for r in issues.collect()} == {"broken.xlsx", "bits.xlsx"}
+
+
+def test_streamed_elements_hold_nothing_back():
+    body = b"<w><sheetData>" + b"".join(b"<row r='%d'><c><v>%d</v></c></row>" % (i, i) for i in range(1, 2001)) + b"</sheetData></w>"
+    seen = [(e.get("r"), len(e)) for e in workbooks._elements((body[i : i + 7] for i in range(0, len(body), 7)), "row")]
+    assert seen == [(str(i), 1) for i in range(1, 2001)]
