@@ -10,7 +10,6 @@ the rows, for its facts would not be whole; facts are stamped with the period of
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -61,15 +60,15 @@ def stopped(issues: DataFrame, gate: str) -> DataFrame:
     return issues.filter("severity = 'critical'").select("run").distinct().withColumn("gate", F.lit(gate))
 
 
-def open_gates(files: DataFrame, classify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Files of the runs that pass all gates before the rows (run, file, name, kind, signature), issues, and the stopped runs. ``files`` has the archive statistics; ``classify`` gives file, kind and signature of the files it is handed."""
+def open_gates(files: DataFrame, classified: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files of the runs that pass all gates before the rows (run, file, name, kind, signature), issues, and the stopped runs. ``files`` has the archive statistics; ``classified``: file, kind, signature, candidates."""
     named = files.select("run", "file", "name")
     screened = workbooks.screen(files, F.col("name"), F.col("mime")).join(named, "file")
     found = screened.select("run", F.lit(GATES[0]).alias("stage"), "code", "severity", F.when(F.col("severity") == "critical", "failed").otherwise("warning").alias("status"), F.col("name").alias("scope"), F.lit(None).cast("string").alias("detail"))
     issues = cut(found)
     out = [stopped(issues, GATES[0])]
     live = named.join(out[0], "run", "left_anti")
-    kinds = cut(live.join(classify(live.select("file")), "file", "left").select("run", "file", "name", "kind", "signature", "candidates"))
+    kinds = cut(live.join(classified, "file", "left").select("run", "file", "name", "kind", "signature", "candidates"))
     unknown = issue(kinds.filter("kind IS NULL"), GATES[1], "WORKBOOK_SCHEMA_UNRECOGNIZED", "critical", "failed", F.col("name"), F.array_join("candidates", ", "))
     out.append(stopped(unknown, GATES[1]))
     known = kinds.join(out[1], "run", "left_anti")
@@ -80,10 +79,10 @@ def open_gates(files: DataFrame, classify: Callable[[DataFrame], DataFrame]) ->
     return passed, union([issues, unknown, doubled]), union(out)
 
 
-def scanned(table: DataFrame, files: DataFrame, role: roles.Role) -> tuple[DataFrame, DataFrame]:
-    """Typed rows of the files of a role with their run, and their issues."""
+def scanned(found: DataFrame, files: DataFrame, role: roles.Role) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of a role with their run, and their issues; ``found`` has the rows of all roles."""
     own = files.filter(F.col("kind") == role.kind).select("run", "file")
-    good, bad = roles.scan(table.join(own.select("file"), "file", "left_semi"), role)
+    good, bad = roles.typed(found, role)
     wrong = bad.join(own, "file")
     return good.join(own, "file"), issue(wrong, GATES[3], "WORKBOOK_ROW_INVALID", "critical", "failed", F.concat(F.lit(f"{role.kind}:row:"), F.col("source_row").cast("string")), F.concat_ws(": ", "column", "value"))
 
@@ -112,12 +111,12 @@ def presence_rules(runs: DataFrame, flow: DataFrame, balance: DataFrame, result:
 
 def content_rules(flow: DataFrame, balance: DataFrame, result: DataFrame, sheets: DataFrame) -> DataFrame:
     """Issues of what the rows hold: natural keys that repeat, a balance without total assets, a result statement without its texts, a control file without its ranking. One aggregate a rule, by run."""
-    n = text.normalize_text
-    key = [F.col("run"), F.col("report_date"), *(n(F.coalesce(F.col(c), F.lit(""))) for c in ("entity_code", "entity_name", "parent", "category", "currency_code", "currency"))]
-    named = flow.select("run", "source_row", F.xxhash64(*key).alias("key"), F.md5(F.concat_ws("|", *(k.cast("string") for k in key[1:]))).alias("digest"))
-    first = named.groupBy("run", "key", "digest").agg(F.count("*").alias("n"), F.min("source_row").alias("first")).filter("n > 1").drop("n")
-    again = named.join(first, ["run", "key", "digest"]).filter(F.col("source_row") > F.col("first"))
-    account = n(F.coalesce("account", F.lit("")))
+    key = [F.coalesce(F.col(c), F.lit("")) for c in ("report_date", "entity_code", "entity_name", "parent", "category", "currency_code", "currency")]
+    joined = F.regexp_replace(text.normalize_text(F.concat_ws("\x01", *key)), "\\s*\x01\\s*", "\x01")  # the parts are normalized in one go
+    named = flow.select("run", "source_row", F.md5(joined.cast("binary")).alias("digest"))
+    first = named.groupBy("run", "digest").agg(F.count("*").alias("n"), F.min("source_row").alias("first")).filter("n > 1").drop("n")
+    again = named.join(first, ["run", "digest"]).filter(F.col("source_row") > F.col("first"))
+    account = text.normalize_text(F.coalesce("account", F.lit("")))
     assets = balance.groupBy("run").agg(F.max(account == TOTAL_ASSETS).alias("found")).filter("NOT found")
     shows = reduce(lambda a, b: a | b, [account.contains(m) for m in MARKERS])
     marks = result.groupBy("run").agg(F.max(shows).alias("found")).filter("NOT found")
@@ -158,10 +157,9 @@ def attempted(rows: dict[str, DataFrame]) -> DataFrame:
     spark, keys = every.sparkSession, ["domain", "raw", "line_key"]
     asked = every.select(*keys, "line").distinct()
     of = lambda domain: asked.filter(F.col("domain") == domain)
-    found = [resolve.evidence(of(domain).join(resolver(of(domain)), "raw"), catalog, normalizer) for domain, resolver, catalog, normalizer in (
-        ("institution", catalogs.resolve_entities, catalogs.entities(spark), text.normalize_entity_alias), ("insuranceLine", catalogs.resolve_categories, catalogs.categories(spark), text.normalize_alias))]
+    found = [resolve.evidence(of(domain).join(cut(resolver(of(domain))), "raw"), catalog) for domain, resolver, catalog in (("institution", catalogs.resolve_entities, catalogs.entities(spark)), ("insuranceLine", catalogs.resolve_categories, catalogs.categories(spark)))]
     accounts, catalog = of("financialAccount"), catalogs.accounts(spark)
-    found.append(resolve.evidence(resolve.resolve_with_lines(accounts, cut(catalogs.resolve_accounts(accounts)), catalog, text.normalize_alias), catalog, text.normalize_alias))
+    found.append(resolve.evidence(resolve.resolve_with_lines(accounts, cut(catalogs.resolve_accounts(accounts)), catalog, text.normalize_alias), catalog))
     return every.join(cut(union(found)).drop("line"), keys).drop("line_key")
 
 
@@ -210,19 +208,17 @@ def reconciled(runs: DataFrame, flow: DataFrame, balance: DataFrame, control: Da
     return union(parts)
 
 
-def ingest(files: DataFrame, table: DataFrame, classify: Callable[[DataFrame], DataFrame] = roles.classify) -> Ingested:
+def ingest(files: DataFrame, table: DataFrame) -> Ingested:
     """Ingests all runs of ``files`` (run, file, name, mime, and the archive statistics of ``workbooks``) from their cells ``table``."""
     spark = files.sparkSession
     table = cut(table)
     files = cut(files)
-    passed, gate_issues, gone = open_gates(files, lambda live: classify(table.join(live, "file", "left_semi")))
+    sheets = roles.read_sheets(table, cut)
+    passed, gate_issues, gone = open_gates(files, roles.classify(table, sheets))
     passed = cut(passed)
-    rows, wrong = {}, []
-    for role in roles.ROLES:
-        rows[role.kind], bad = scanned(table, passed, role)
-        rows[role.kind] = cut(rows[role.kind])
-        wrong.append(bad)
-    wrong = cut(union(wrong))
+    found = cut(roles.rows(table, sheets, passed.select("file", "kind")))
+    both = {role.kind: scanned(found, passed, role) for role in roles.ROLES}
+    rows, wrong = {kind: good for kind, (good, _) in both.items()}, cut(union([bad for _, bad in both.values()]))
     late = stopped(wrong, GATES[3])
     gone = cut(gone.unionByName(late))
     live = cut(passed.join(gone, "run", "left_anti"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,48 +14,51 @@ STAGES = ("direct-alias", "direct-canonical", "normalized-alias", "normalized-ca
 
 
 def resolve(values: DataFrame, aliases: DataFrame, catalog: DataFrame, normalizer: Callable[[Column], Column]) -> DataFrame:
-    """raw, strategy, target and candidates of every distinct ``values.raw``.
+    """raw, normalized, strategy, target, candidates and reason of every distinct ``values.raw``.
 
-    aliases: alias, target; catalog: target, canonical. The first stage with any hit decides; several targets there are ambiguous.
+    aliases: alias, target; catalog: target, canonical. The first stage with any hit decides; several targets there are ambiguous. A text is normalized once, and so is a name.
     """
-    names = catalog.select(F.col("canonical").alias("alias"), "target")
-    known = aliases.select("alias", "target")
-    normal = lambda side: side.withColumn("alias", normalizer(F.col("alias")))
-    return first_stage(values, list(zip(STAGES, (known, names, normal(known), normal(names)))), [F.col("raw"), F.col("raw"), normalizer(F.col("raw")), normalizer(F.col("raw"))])
+    plain = aliases.select(F.lit(0).alias("stage"), "alias", "target").unionByName(catalog.select(F.lit(1).alias("stage"), F.col("canonical").alias("alias"), "target"))
+    side = plain.unionByName(plain.select((F.col("stage") + 2).alias("stage"), normalizer(F.col("alias")).alias("alias"), "target"))
+    texts = values.select("raw").distinct().withColumn("normalized", normalizer(F.col("raw")))
+    return _first(texts, side, STAGES, [F.col("raw"), F.col("raw"), F.col("normalized"), F.col("normalized")])
 
 
 def first_stage(values: DataFrame, stages: list[tuple[str, DataFrame]], probes: list[Column] | None = None) -> DataFrame:
     """raw, strategy, target, candidates and reason (why several were not taken) of every distinct ``values.raw``, by the first of ``stages`` (name; alias and target) that knows its probe. One join for all stages."""
-    distinct = values.select("raw").distinct()
-    side = None
-    for i, (_, known) in enumerate(stages):
-        one = known.select(F.lit(i).alias("stage"), "alias", "target")
-        side = one if side is None else side.unionByName(one)
-    asked = F.array(*[F.struct(F.lit(i).alias("stage"), p.alias("alias")) for i, p in enumerate(probes or [F.col("raw")] * len(stages))])
-    hits = distinct.select("raw", F.inline(asked)).join(side, ["stage", "alias"]).groupBy("raw", "stage").agg(F.array_sort(F.collect_set("target")).alias("candidates"))
-    first = hits.groupBy("raw").agg(F.min_by(F.struct("stage", "candidates"), "stage").alias("f")).select("raw", "f.*")
-    strategy = F.when(F.col("stage").isNull(), "unresolved").when(F.size("candidates") > 1, "ambiguous").otherwise(F.element_at(F.array(*[F.lit(name) for name, _ in stages]), F.col("stage") + 1))
-    reason = F.when(F.size("candidates") > 1, F.concat(F.element_at(F.array(*[F.lit(name) for name, _ in stages]), F.col("stage") + 1), F.lit("-matched-multiple-candidates")))
-    return distinct.join(first, "raw", "left").select("raw", strategy.alias("strategy"), F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("target"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"), reason.alias("reason"))
+    side = reduce(lambda a, b: a.unionByName(b), [known.select(F.lit(i).alias("stage"), "alias", "target") for i, (_, known) in enumerate(stages)])
+    return _first(values.select("raw").distinct(), side, [name for name, _ in stages], probes or [F.col("raw")] * len(stages))
+
+
+def _first(texts: DataFrame, side: DataFrame, names: Sequence[str], probes: list[Column]) -> DataFrame:
+    """Distinct texts ask all stages at once; what they find comes back in one group a text."""
+    own = texts.columns
+    asked = F.array(*[F.struct(F.lit(i).alias("stage"), p.alias("alias")) for i, p in enumerate(probes)])
+    hit = F.when(F.col("target").isNotNull(), F.struct("stage", "target"))
+    found = texts.select(*own, F.inline(asked)).join(side, ["stage", "alias"], "left").groupBy(*own).agg(F.array_sort(F.collect_set(hit)).alias("hits"))  # as many as a name has targets
+    first = found.withColumn("stage", F.try_element_at("hits", F.lit(1))["stage"]).withColumn("candidates", F.transform(F.filter("hits", lambda h: h["stage"] == F.col("stage")), lambda h: h["target"]))
+    many, stage = F.size("candidates") > 1, F.element_at(F.array(*map(F.lit, names)), F.col("stage") + 1)
+    strategy = F.when(F.col("stage").isNull(), "unresolved").when(many, "ambiguous").otherwise(stage)
+    return first.select(*own, strategy.alias("strategy"), F.when(F.size("candidates") == 1, F.col("candidates")[0]).alias("target"), "candidates", F.when(many, F.concat(stage, F.lit("-matched-multiple-candidates"))).alias("reason"))
 
 
 EVIDENCE = ("strategy", "target", "name", "repaired", "normalized", "candidate_ids", "candidate_names", "mojibake", "required", "reason")
 
 
-def evidence(found: DataFrame, catalog: DataFrame, normalizer: Callable[[Column], Column]) -> DataFrame:
-    """Resolutions (raw, strategy, target, candidates, reason, and others) with what shows how they came about: ``EVIDENCE``. Texts are made once for each distinct one.
+def evidence(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Resolutions (raw, normalized, strategy, target, candidates, reason, and others) with what shows how they came about: ``EVIDENCE``. Texts are made once for each distinct one.
 
     name: of the target; repaired, normalized: the text without damage, and as it was compared; mojibake, required: whether it was damaged, whether it needed normalization;
     reason: why several candidates or none were taken, null for a plain hit.
     """
     names = F.broadcast(catalog.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("target", "canonical"))).alias("_names")))  # a fixed catalog, in one row
-    shared = [c for c in found.columns if c not in ("strategy", "target", "candidates", "reason")]
+    shared = [c for c in found.columns if c not in ("strategy", "target", "candidates", "reason", "normalized")]
     raw = F.col("raw")
-    told = found.select("raw").distinct().select("raw", text.repair_mojibake(raw).alias("repaired"), normalizer(raw).alias("normalized"), text.normalize_format_only(raw).alias("_plain"))
+    told = found.select("raw", "normalized").distinct().select("raw", "normalized", text.repair_mojibake(raw).alias("repaired"), text.normalize_format_only(raw).alias("_plain"))
     mojibake = F.col("repaired") != raw
     required = F.when(F.col("strategy").startswith("direct"), False).when(F.col("strategy").startswith("normalized"), True).otherwise(mojibake | (F.col("_plain") != raw))
     reason = F.when(F.col("target").isNull(), F.coalesce("reason", F.when(F.size("candidates") > 0, "candidate-found-but-no-safe-resolution").otherwise("no-candidate"))).otherwise(F.col("reason"))
-    return found.join(told, "raw").crossJoin(names).select(
+    return found.drop("normalized").join(told, "raw").crossJoin(names).select(
         *shared, "strategy", "target", F.element_at("_names", F.col("target")).alias("name"), "repaired", "normalized", F.col("candidates").alias("candidate_ids"),
         F.transform("candidates", lambda x: F.col("_names")[x]).alias("candidate_names"), mojibake.alias("mojibake"), required.alias("required"), reason.alias("reason"))
 
@@ -95,7 +99,8 @@ def with_line_fallback(resolved: DataFrame, lines: DataFrame) -> DataFrame:
 
 def containment_candidates(unresolved: DataFrame, catalog: DataFrame, normalizer: Callable[[Column], Column], least_length: int = 4) -> DataFrame:
     """raw and the catalog targets whose normalized name contains it or is contained in it; the catalog is a small dimension, the texts are distinct ones."""
-    texts = unresolved.select("raw").distinct().withColumn("key", normalizer(F.col("raw"))).filter(F.length("key") >= least_length)
+    key = F.col("normalized") if "normalized" in unresolved.columns else normalizer(F.col("raw"))
+    texts = unresolved.select("raw", key.alias("key")).distinct().filter(F.length("key") >= least_length)
     names = catalog.select("target", normalizer(F.col("canonical")).alias("name"))
     return texts.join(names, F.col("key").contains(F.col("name")) | F.col("name").contains(F.col("key"))).groupBy("raw").agg(F.array_sort(F.collect_set("target")).alias("candidates"))
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regmart.functions import text
 from regmart.functions.numbers import money
 from regmart.operators import aggregates, ingest, reconcile, resolve
 from regmart.plans import bridge as b
@@ -66,7 +65,7 @@ def _(spark, d):
     spelled = F.when(spelling == 0, n).when(spelling == 1, F.lower(n)).when(spelling == 2, F.concat(F.lit("  "), n, F.lit(" "))).when(spelling == 3, F.concat(n, F.lit("?"))).otherwise(F.replace(n, F.lit(" "), F.lit("  /  ")))
     damaged = F.decode(F.encode(spelled, "UTF-8"), "ISO-8859-1")
     rows = b.read(spark, d, "customer").select(i.alias("id"), F.when(i % 7 == 0, damaged).otherwise(spelled).alias("raw"))
-    found = resolve.evidence(catalogs.resolve_entities(rows), catalogs.entities(spark), text.normalize_entity_alias)
+    found = resolve.evidence(catalogs.resolve_entities(rows), catalogs.entities(spark))
     shown = found.select("raw", "strategy", "target", "name", "repaired", "normalized", F.array_join("candidate_ids", ",").alias("candidate_ids"), F.size("candidate_names").cast("long").alias("candidate_names"), "mojibake", "required", "reason")
     return rows.join(shown, "raw").drop("raw")
 

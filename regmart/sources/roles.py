@@ -6,6 +6,7 @@ All works on the long cells table of ``workbooks``; a file is read once, whateve
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -114,13 +115,43 @@ def chosen_sheets(found: DataFrame) -> DataFrame:
     return whole.groupBy("file", "kind").agg(F.min_by(F.struct("sheet_index", "sheet", "hits", like("scored").alias("named")), order).alias("x")).select("file", "kind", "x.*")
 
 
+@dataclass(frozen=True)
+class Sheets:
+    """What classification and scans share: first rows of the sheets, header cells by layout, the sheet of each file and role."""
+
+    heads: DataFrame
+    found: DataFrame
+    chosen: DataFrame
+
+
+def read_sheets(table: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Sheets:
+    """Reads the cells once for all roles; ``keep`` may cut the lineage of each part."""
+    heads = keep(sheet_heads(table))
+    found = keep(headers(heads))
+    return Sheets(heads, found, keep(chosen_sheets(found)))
+
+
+def rows(table: DataFrame, sheets: Sheets, kinds: DataFrame | None = None) -> DataFrame:
+    """file, kind, source_row and ``cells`` (texts by header) of the rows of every file's sheets, of all roles or of those of ``kinds`` (file, kind), in one pass over the cells."""
+    layouts = table.sparkSession.createDataFrame([(r.kind, _layout(r)) for r in ROLES], "kind string, layout string")
+    chosen = sheets.chosen if kinds is None else sheets.chosen.join(kinds, ["file", "kind"], "left_semi")
+    columns = chosen.join(F.broadcast(layouts), "kind").select("file", "kind", "sheet_index", "layout").join(sheets.found.select("file", "sheet_index", "col", "layout", "header"), ["file", "sheet_index", "layout"])  # three layouts
+    body = table.filter("row > 1").select("file", "sheet_index", F.col("row").alias("source_row"), "col", "value").join(columns, ["file", "sheet_index", "col"])
+    names = sorted({h for r in ROLES for h in r.headers})
+    picked = [F.max_by(F.when(F.col("header") == h, F.col("value")), F.when(F.col("header") == h, F.col("col"))).alias(h) for h in names]  # of two columns with one header the last counts
+    return body.groupBy("file", "kind", "source_row").agg(*picked).select("file", "kind", "source_row", F.struct(*(F.col(f"`{h}`") for h in names)).alias("cells"))
+
+
+def typed(found: DataFrame, role: Role) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``rows`` that are of the role, under its columns, and one issue for each value that the schema does not take."""
+    own = found.filter(F.col("kind") == role.kind).select("file", "source_row", *[F.col(f"cells.`{name}`").alias(c) for name, c in zip(role.headers, role.columns)])
+    return workbooks.conform(own, schema(role))
+
+
 def scan(table: DataFrame, role: Role) -> tuple[DataFrame, DataFrame]:
-    """Rows of the role's sheet under the role's columns, and one issue for each value that the schema does not take."""
-    found = headers(sheet_heads(table)).filter(F.col("layout") == _layout(role))
-    chosen = chosen_sheets(found).filter(F.col("kind") == role.kind)
-    rows = workbooks.records(table, found, chosen, list(role.headers))
-    renamed = rows.select("file", "source_row", *[F.col(f"`{name}`").alias(c) for name, c in zip(role.headers, role.columns)])
-    return workbooks.conform(renamed, schema(role))
+    """Rows of the role's sheet in each file under the role's columns, and one issue for each value that the schema does not take."""
+    sheets = read_sheets(table)
+    return typed(rows(table, Sheets(sheets.heads, sheets.found, sheets.chosen.filter(F.col("kind") == role.kind))), role)
 
 
 def control(table: DataFrame, spark: SparkSession) -> DataFrame:
@@ -137,14 +168,13 @@ def period_label(table: DataFrame, cell: tuple[str, int, int] = PERIOD_CELL) ->
     return at.select("file", label.alias("period"), F.when(label.rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), numbers.period_from_year_month(label)).alias("period_start"))
 
 
-def scores(table: DataFrame, signal_weight: float = 15.0, bonus: float = 6.0) -> DataFrame:
+def scores(table: DataFrame, sheets: Sheets | None = None, signal_weight: float = 15.0, bonus: float = 6.0) -> DataFrame:
     """file, kind and score for every role; a file that shows nothing of a role has no row of it.
 
     A role's score: points for every header cell of its sheet, for every signal that the texts of rows 2 to 60 hold, and for a sheet name that marks it. The cells are read twice, for heads and for texts, whatever the number of roles.
     """
-    heads = sheet_heads(table)
-    found = headers(heads)
-    chosen = chosen_sheets(found)
+    sheets = sheets or read_sheets(table)
+    heads, found, chosen = sheets.heads, sheets.found, sheets.chosen
     wanted = [r for r in ROLES if r.signals]
     column = found.filter((F.col("layout") == "statement") & F.col("header").isin(*{r.signal_column for r in wanted})).select("file", "sheet_index", "col").distinct()
     of_role = chosen.filter(F.col("kind").isin(*(r.kind for r in wanted))).select("file", "kind", "sheet_index")
@@ -157,10 +187,10 @@ def scores(table: DataFrame, signal_weight: float = 15.0, bonus: float = 6.0) ->
     return workbooks.control_scores(heads, CONTROL_KIND, CONTROL_SHEETS).unionByName(tabular)
 
 
-def classify(table: DataFrame) -> DataFrame:
+def classify(table: DataFrame, sheets: Sheets | None = None) -> DataFrame:
     """The decision on every file, with the signature of its kind (null if rejected)."""
     names = {r.kind: r.signature for r in ROLES} | {CONTROL_KIND: CONTROL_SIGNATURE}
-    return signed(workbooks.classify(scores(table)), names)
+    return signed(workbooks.classify(scores(table, sheets)), names)
 
 
 def signed(found: DataFrame, signatures: dict[str, str]) -> DataFrame:

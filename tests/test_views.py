@@ -21,7 +21,7 @@ def test_rebuilt_details_and_names(spark):
     assert {tuple(r) for r in agg.stored_or_rebuilt(stored, rebuilt, "k").collect()} == {(1, "s", "stored"), (2, "r", "rebuilt")}
     actual = spark.createDataFrame([("Años", 5.0), ("Other", 1.0)], "name string, actual double")
     control = spark.createDataFrame([("  AÃ±os ", 4.0, 1), ("años", 5.0, 2)], "name string, expected double, position int")
-    assert {(r.name, r.rule, r.status) for r in reconcile.reconcile_names(actual, control, "name", "R").collect()} == {("AÑOS", "R", "passed"), ("OTHER", "REFERENCE_MISSING", "warning")}
+    assert {(r.name, r.rule, r.status) for r in reconcile.reconcile_names(actual, control, "name", "R").collect()} == {("AÑOS", "R", "passed"), ("OTHER", "REFERENCE_PREMIUM_INSTITUTION_MISSING", "warning")}
 
 
 def test_repair_counters_fill_absent_domains(spark):
