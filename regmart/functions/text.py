@@ -22,32 +22,44 @@ ENTITY_NOISE = ("SOCIEDAD ANONIMA", "S A", "SA")
 _PAIR, _KEY = "\ue000", "\ue001"
 
 
-def _unicode_maps() -> tuple[list[tuple[str, str]], list[tuple[str, str]], list[tuple[str, str]], list[tuple[str, str]]]:
-    """By rule, over all code points: letters with accents and their base; compatibility characters that stand for one character, and for several; base and mark with their composed character."""
-    accents, one, many, composed = [], [], [], []
+def _unicode_maps() -> tuple[list[tuple[str, str]], ...]:
+    """By rule, over all code points: letters with accents and their base; compatibility characters that stand for one character; characters that stand for several, taken apart in full; base and mark with their composed character; marks with their class."""
+    accents, one, apart, composed, classes = [], [], [], [], []
     for code in (c for c in range(0xA0, 0x30000) if not 0xAC00 <= c < 0xF900):
         c = chr(code)
-        plain, apart, parts = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFD", c), unicodedata.decomposition(c)
-        if len(apart) > 1 and all(0x300 <= ord(x) < 0x370 for x in apart[1:]):
-            accents.append((c, apart[0]))
-        if plain != c:
-            (one if len(plain) == 1 else many).append((c, plain))
-        elif " " in parts and not parts.startswith("<"):
+        plain, whole, base = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFKD", c), unicodedata.normalize("NFD", c)
+        if len(base) > 1 and all(0x300 <= ord(x) < 0x370 for x in base[1:]):
+            accents.append((c, base[0]))
+        if plain != c and len(plain) == 1:
+            one.append((c, plain))
+        elif len(whole) > 1:
+            apart.append((c, whole))
+        parts = unicodedata.decomposition(c)
+        if plain == c and " " in parts and not parts.startswith("<"):
             composed.append(("".join(chr(int(x, 16)) for x in parts.split()), c))
-    return accents, one, many, composed
+        if unicodedata.combining(c):
+            classes.append((c, chr(0x100 + unicodedata.combining(c))))
+    return accents, one, apart, composed, classes
 
 
 def _ranges(chars: list[str]) -> str:
     """The inside of a character class; ranges keep it short."""
-    codes = [ord(c) for c in chars]
+    codes = sorted(ord(c) for c in chars)
     known = set(codes)
     first, last = [c for c in codes if c - 1 not in known], [c for c in codes if c + 1 not in known]
     return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(first, last))
 
 
-ACCENTS, ONE, MANY, COMPOSED = _unicode_maps()
-#: A character that a text must be taken apart for; the first test passes over ASCII.
-APART = r"(?=[^\x00-\x7f])(?:\p{M}|[" + _ranges([c for c, _ in MANY]) + "])"
+ACCENTS, ONE, SEVERAL, COMPOSED, CLASSES = _unicode_maps()
+#: Compositions of two characters that both start a cluster; all others are of a starter and a mark with a class.
+_LOOSE = [(k, v) for k, v in COMPOSED if not unicodedata.combining(k[1])]
+_MARKED = [(k, v) for k, v in COMPOSED if unicodedata.combining(k[1])]
+_MARKS = _ranges([c for c, _ in CLASSES])
+#: A character that a text must be taken apart for: a mark, a jamo, or one that stands for several without being composed of them; the first test passes over ASCII.
+_KNOWN = {c for _, c in COMPOSED}
+APART = r"(?=[^\x00-\x7f])[" + _MARKS + r"\x{1161}-\x{1175}\x{11a8}-\x{11c2}" + _ranges([k[1] for k, _ in _LOOSE] + [c for c, _ in SEVERAL if c not in _KNOWN]) + "]"
+# The jamo of Hangul and the first syllable; a syllable is counted out of its jamo.
+_LEAD, _VOWEL, _TAIL, _SYLLABLE = 0x1100, 0x1161, 0x11A7, 0xAC00
 
 
 def replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -75,23 +87,42 @@ def _lookup(pairs: list[tuple[str, str]]) -> Column:
     return F.str_to_map(F.lit(_PAIR.join(x + _KEY + y for x, y in pairs)), F.lit(_PAIR), F.lit(_KEY))
 
 
+def _code(c: Column) -> Column:
+    """Number of the first character of a text of the basic plane."""
+    return F.conv(F.hex(F.encode(c, "UTF-16BE")).substr(1, 4), 16, 10).cast("int")
+
+
+def _hangul(c: Column) -> Column:
+    """Loose jamo as syllables."""
+    def syllable(x: Column) -> Column:
+        at = lambda i: _code(F.substring(x, i, 1))
+        whole = at(1) >= _SYLLABLE
+        tail = F.when(F.length(x) == F.when(whole, 2).otherwise(3), _code(F.right(x, F.lit(1))) - _TAIL).otherwise(0)
+        code = F.when(whole, at(1)).otherwise(_SYLLABLE + ((at(1) - _LEAD) * 21 + at(2) - _VOWEL) * 28) + tail
+        return F.when((F.length(x) < 2) | (whole & ((at(1) - _SYLLABLE) % 28 != 0)), x).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
+
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11a8}-\x{11c2}]?|[\x{ac00}-\x{d7a3}][\x{11a8}-\x{11c2}]|."), F.lit(0))
+    return F.when(c.rlike(r"[\x{1161}-\x{1175}\x{11a8}-\x{11c2}]"), F.array_join(F.transform(pieces, syllable), "")).otherwise(c)
+
+
 def nfkc(c: Column) -> Column:
-    """Compatibility composition. Marks compose in the order in which they stand; Hangul jamo stay apart. Only texts with marks or with characters that stand for several are taken apart."""
-    several, pairs = _lookup(MANY), _lookup(COMPOSED)
-    out = _translate(c, ONE)
+    """Compatibility composition. Only texts with marks, jamo or characters that stand for several are taken apart: marks are sorted by class behind their starter and composed with it unless one of their class or a higher one stands between."""
+    several, pairs = _lookup(SEVERAL), _lookup(_MARKED)
 
     def add(done: Column, mark: Column) -> Column:
-        last = F.right(done, F.lit(1))
-        both = F.try_element_at(pairs, F.concat(last, mark))
-        return F.when(both.isNotNull(), F.concat(F.left(done, F.length(done) - 1), both)).otherwise(F.concat(done, mark))
+        kind, own = mark["kind"], mark["mark"]
+        both = F.when((done["rest"] == "") | (done["last"] < kind), F.try_element_at(pairs, F.concat(done["start"], own)))
+        return F.when(both.isNotNull(), F.struct(both.alias("start"), done["rest"].alias("rest"), done["last"].alias("last"))).otherwise(F.struct(done["start"].alias("start"), F.concat(done["rest"], own).alias("rest"), kind.alias("last")))
 
     def cluster(x: Column) -> Column:
-        first = F.left(x, F.lit(1))
-        return F.aggregate(F.regexp_extract_all(x, F.lit(r"(?<!^)\p{M}"), F.lit(0)), F.coalesce(F.try_element_at(several, first), first), add)
+        marks = F.transform(F.regexp_extract_all(x, F.lit(f"[{_MARKS}]"), F.lit(0)), lambda m, i: F.struct(_translate(m, CLASSES).alias("kind"), i.alias("i"), m.alias("mark")))
+        first = F.struct(F.when(x.rlike(f"^[{_MARKS}]"), "").otherwise(F.left(x, F.lit(1))).alias("start"), F.lit("").alias("rest"), F.lit("").alias("last"))
+        return F.aggregate(F.array_sort(marks), first, add, lambda done: F.concat(done["start"], done["rest"]))
 
     def composed(x: Column) -> Column:
-        apart = F.transform(F.regexp_extract_all(x, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0)), cluster)
-        return F.when(x.rlike(APART), F.array_join(apart, "")).otherwise(x)
+        whole = F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(several, y), y)), "")
+        apart = F.transform(F.regexp_extract_all(whole, F.lit(f"(?s)[^{_MARKS}][{_MARKS}]*|[{_MARKS}]+"), F.lit(0)), cluster)
+        return F.when(x.rlike(APART), _hangul(replace_all(F.array_join(apart, ""), _LOOSE))).otherwise(x)
 
     return F.element_at(F.transform(F.array(_translate(c, ONE)), composed), 1)  # an array of one, so that the text is made once
 

@@ -25,3 +25,16 @@ def test_strip_diacritics_beyond_latin_extended(spark):
     words = ["Việt Nam", "Ḃẁ", "Ἀθῆναι", "niño", "がギ"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "x string").coalesce(1).select(text.strip_diacritics(F.col("x"))).collect()]
     assert got == ["Viet Nam", "Bw", "Αθηναι", "nino", "がギ"]
+
+
+def test_marks_jamo_and_sequences(spark):
+    import random
+
+    rnd = random.Random(9)
+    marks = [chr(c) for c in range(0x300, 0x3100) if unicodedata.combining(chr(c))]
+    starters = list("aeioqsdAE ﬁ½") + ["ṡ", "ẛ", "ạ", "ḍ", "が", "क़", "ᄀ", "ᅡ", "ᆨ", "가", "각", "ᄒ", "ᅵ", "ᇂ", "ে", "া", "ೆ", "ೂ", "ೕ", "ෙ", "ා", "\U0001109b", "ｶ", "ﾞ", "한"]
+    texts = ["q̣̇", "ẛ̣", "한", "ậ", "ȩ́", "̣a", "ḍ̇̇"]
+    texts += ["".join(rnd.choice(starters if rnd.random() < 0.5 else marks[:120] if rnd.random() < 0.8 else marks) for _ in range(rnd.randrange(1, 9))) for _ in range(4000)]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in texts], "x string").select("x", text.nfkc(F.col("x"))).collect()}
+    wrong = [(w.encode("unicode_escape"), got[w], unicodedata.normalize("NFKC", w)) for w in texts if got[w] != unicodedata.normalize("NFKC", w)]
+    assert wrong == []
