@@ -18,13 +18,13 @@ WORD_FIXES = [("Maritímo", "Marítimo"), ("HOSPITALIZACIóN", "HOSPITALIZACIÓN
 ENTITY_NOISE = ("SOCIEDAD ANONIMA", "S A", "SA")
 
 
-#: Separators of the pairs of a map literal; no text holds them.
-_PAIR, _KEY = "\ue000", "\ue001"
+#: Separators of the pairs of a map literal, and what stands before a mark and tells its class; no text holds them.
+_PAIR, _KEY, _CLASS = "\ue000", "\ue001", 0x10F000
 
 
 def _unicode_maps() -> tuple[list[tuple[str, str]], ...]:
-    """By rule, over all code points: letters with accents and their base; compatibility characters that stand for one character; characters that stand for several, taken apart in full; base and mark with their composed character; marks with their class."""
-    accents, one, apart, composed, classes = [], [], [], [], []
+    """By rule, over all code points: letters with accents and their base; compatibility characters that stand for one character; marks, and characters that stand for several, taken apart in full with classes before marks; base and mark with their composed character."""
+    accents, one, apart, composed = [], [], [], []
     for code in (c for c in range(0xA0, 0x30000) if not 0xAC00 <= c < 0xF900):
         c = chr(code)
         plain, whole, base = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFKD", c), unicodedata.normalize("NFD", c)
@@ -32,14 +32,12 @@ def _unicode_maps() -> tuple[list[tuple[str, str]], ...]:
             accents.append((c, base[0]))
         if plain != c and len(plain) == 1:
             one.append((c, plain))
-        elif len(whole) > 1:
-            apart.append((c, whole))
+        elif len(whole) > 1 or unicodedata.combining(c):
+            apart.append((c, "".join(chr(_CLASS + unicodedata.combining(x)) + x if unicodedata.combining(x) else x for x in whole)))
         parts = unicodedata.decomposition(c)
         if plain == c and " " in parts and not parts.startswith("<"):
             composed.append(("".join(chr(int(x, 16)) for x in parts.split()), c))
-        if unicodedata.combining(c):
-            classes.append((c, chr(0x100 + unicodedata.combining(c))))
-    return accents, one, apart, composed, classes
+    return accents, one, apart, composed
 
 
 def _ranges(chars: list[str]) -> str:
@@ -50,14 +48,14 @@ def _ranges(chars: list[str]) -> str:
     return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(first, last))
 
 
-ACCENTS, ONE, SEVERAL, COMPOSED, CLASSES = _unicode_maps()
+ACCENTS, ONE, SEVERAL, COMPOSED = _unicode_maps()
 #: Compositions of two characters that both start a cluster; all others are of a starter and a mark with a class.
 _LOOSE = [(k, v) for k, v in COMPOSED if not unicodedata.combining(k[1])]
 _MARKED = [(k, v) for k, v in COMPOSED if unicodedata.combining(k[1])]
-_MARKS = _ranges([c for c, _ in CLASSES])
 #: A character that a text must be taken apart for: a mark, a jamo, or one that stands for several without being composed of them; the first test passes over ASCII.
 _KNOWN = {c for _, c in COMPOSED}
-APART = r"(?=[^\x00-\x7f])[" + _MARKS + r"\x{1161}-\x{1175}\x{11a8}-\x{11c2}" + _ranges([k[1] for k, _ in _LOOSE] + [c for c, _ in SEVERAL if c not in _KNOWN]) + "]"
+APART = r"(?=[^\x00-\x7f])[\p{M}\x{1161}-\x{1175}\x{11a8}-\x{11c2}" + _ranges([c for c, x in SEVERAL if c not in _KNOWN and x[1:] != c]) + "]"
+_OF_CLASS = f"[\\x{{{_CLASS + 1:x}}}-\\x{{{_CLASS + 0xFF:x}}}]"
 # The jamo of Hangul and the first syllable; a syllable is counted out of its jamo.
 _LEAD, _VOWEL, _TAIL, _SYLLABLE = 0x1100, 0x1161, 0x11A7, 0xAC00
 
@@ -110,19 +108,21 @@ def nfkc(c: Column) -> Column:
     several, pairs = _lookup(SEVERAL), _lookup(_MARKED)
 
     def add(done: Column, mark: Column) -> Column:
-        kind, own = mark["kind"], mark["mark"]
+        kind, own = F.left(mark["mark"], F.lit(1)), F.right(mark["mark"], F.lit(1))
         both = F.when((done["rest"] == "") | (done["last"] < kind), F.try_element_at(pairs, F.concat(done["start"], own)))
         return F.when(both.isNotNull(), F.struct(both.alias("start"), done["rest"].alias("rest"), done["last"].alias("last"))).otherwise(F.struct(done["start"].alias("start"), F.concat(done["rest"], own).alias("rest"), kind.alias("last")))
 
     def cluster(x: Column) -> Column:
-        marks = F.transform(F.regexp_extract_all(x, F.lit(f"[{_MARKS}]"), F.lit(0)), lambda m, i: F.struct(_translate(m, CLASSES).alias("kind"), i.alias("i"), m.alias("mark")))
-        first = F.struct(F.when(x.rlike(f"^[{_MARKS}]"), "").otherwise(F.left(x, F.lit(1))).alias("start"), F.lit("").alias("rest"), F.lit("").alias("last"))
+        marks = F.transform(F.regexp_extract_all(x, F.lit(f"(?s){_OF_CLASS}."), F.lit(0)), lambda m, i: F.struct(F.left(m, F.lit(1)).alias("kind"), i.alias("i"), m.alias("mark")))
+        first = F.struct(F.when(x.rlike(f"^{_OF_CLASS}"), "").otherwise(F.left(x, F.lit(1))).alias("start"), F.lit("").alias("rest"), F.lit("").alias("last"))
         return F.aggregate(F.array_sort(marks), first, add, lambda done: F.concat(done["start"], done["rest"]))
 
     def composed(x: Column) -> Column:
         whole = F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(several, y), y)), "")
-        apart = F.transform(F.regexp_extract_all(whole, F.lit(f"(?s)[^{_MARKS}][{_MARKS}]*|[{_MARKS}]+"), F.lit(0)), cluster)
-        return F.when(x.rlike(APART), _hangul(replace_all(F.array_join(apart, ""), _LOOSE))).otherwise(x)
+        marked = f"(?:{_OF_CLASS}.)"
+        apart = F.transform(F.regexp_extract_all(whole, F.lit(f"(?s)(?!{_OF_CLASS}).{marked}*|{marked}+"), F.lit(0)), lambda y: F.when(F.length(y) == 1, y).otherwise(cluster(y)))
+        joined = replace_all(F.array_join(apart, ""), _LOOSE)
+        return F.when(x.rlike(APART), F.element_at(F.transform(F.array(joined), _hangul), 1)).otherwise(x)
 
     return F.element_at(F.transform(F.array(_translate(c, ONE)), composed), 1)  # an array of one, so that the text is made once
 

@@ -46,4 +46,4 @@ def test_reconcile(spark):
     actual = spark.createDataFrame([(1, 100.0), (2, 101.0), (3, 5.0)], "k int, actual double")
     control = spark.createDataFrame([(1, 100.0), (2, 100.0)], "k int, expected double")
     found = {r.k: (r.rule, r.severity, r.status) for r in reconcile.reconcile(actual, control, "k", "R").collect()}
-    assert found == {1: ("R", "low", "passed"), 2: ("R", "high", "warning"), 3: ("REFERENCE_MISSING", "medium", "warning")}
+    assert found == {1: ("R", "low", "passed"), 2: ("R", "high", "warning"), 3: ("REFERENCE_PREMIUM_INSTITUTION_MISSING", "medium", "warning")}
