@@ -7,8 +7,8 @@ those without any mark above them are the page's structure.
 _TEXT = "Rain fell over the valley for most of the morning, and by noon the river had reached the lower road. People moved what they could to the school on the hill."
 _SHORT = "It was so."
 _LINKS = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("home", "news", "about", "contact", "shop"))
-_SCRIPT = '<script>var t="</p>";track(1);</script><style>p{margin:0}</style>'
-_HEAD = f"<head><meta charset=utf-8><title>Rain over the valley</title>{_SCRIPT}</head>"
+_SCRIPT = '<script async>document.write("<div>" + a[0])</script><style media=print>.x > a { color: red }</style>'
+_HEAD = f"<head><meta charset=utf-8><title>The Valley Post: rain</title>{_SCRIPT}</head>"
 _BODY = f"<h1>Rain over the valley</h1><p><b>{_TEXT}<br><p>{_SHORT}</p><p>{_TEXT} <a href='/more'>More</a> followed.</p><h2>After</h2><ul><li>Boats came.</li><li>The bridge held.</li></ul><blockquote>{_SHORT}</blockquote><table><tr><td>Day</td><td>12 mm</td></tr></table><pre>a = 1</pre>"
 
 #: Elements that hold the main text of a page, and what commonly stands around or inside them.
@@ -44,4 +44,8 @@ PAGES = [
     f'<html>{_HEAD}<body><div class="header topbar" y="0"><p>{_SHORT}</p></div><div class="notice alert warning" y="0"><p>{_TEXT}</p></div><div class="main article-body story" y="1"><div class="text">{_BODY}</div><div><p>{_TEXT}</p></div></div><div class="related recommended" y="0"><h4>Read on</h4><p><a href="/a">{_SHORT}</a></p></div><div class="breadcrumb pagination" y="0"><a href="/1">1</a></div><iframe y="0"></iframe><dialog class="popup modal" y="0"><p>{_TEXT}</p></dialog></body></html>',
     f'<html>{_HEAD}<body><section y="1">{_BODY}</section><section class="disqus replies discussion" y="0"><p>{_TEXT}</p></section><div role="navigation" y="0">{_LINKS}</div><div role="banner" y="0">{_SHORT}</div><div role="contentinfo" y="0">{_SHORT}</div><div role="complementary" y="0"><p>{_TEXT}</p></div><select y="0"><option>One</option></select><textarea y="0">x</textarea></body></html>',
     f'<html>{_HEAD}<body><p y="1">{_TEXT}</p><p y="1">{_SHORT}</p><h2 y="1">After</h2><p y="1">{_TEXT}</p><div class="page" y="1"><p>{_TEXT}</p><p>{_SHORT}</p></div><figure y="1"><img><figcaption>The river</figcaption></figure></body></html>',
+    *(f'<html>{_HEAD}<body>{before}<{site} y="0">{inside}</{site.split(" ")[0]}>{after}<{main} y="1">{_BODY if k % 2 else _PLAIN}</{main.split(" ")[0]}></body></html>' for k, (before, site, inside, after, main) in enumerate([
+        ("", "header", "<h1>Forum</h1>", "", "main"), ("", "header", "<h1><a href=/>The Valley Post</a></h1>", f'<nav y="0"><ul>{_LINKS}</ul></nav>', "article"), ("", "header", f"<h1>The Valley Post</h1><p>{_SHORT}</p>", "", "div"),
+        (f'<nav y="0"><ul>{_LINKS}</ul></nav>', "header", "<h1>Forum</h1><h2>Talk of the town</h2>", "", "main"), ("", 'div class="header"', "<h1>Forum</h1>", "", "article"), ("", "header", f"<h1>Shop</h1><ul>{_LINKS}</ul>", "", "section"),
+    ] * 4)),
 ]
