@@ -64,6 +64,16 @@ def top_rows(facts: DataFrame, by: str, order: list[Column], top: int) -> DataFr
     return facts.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("position") <= top)
 
 
+def top_lists(facts: DataFrame, lists: dict[str, str], amount: str, top: int = 12) -> DataFrame:
+    """list, item, amount: the best items of several lists (name -> key) over one fact table, ties by item. The facts are read once: sums by all keys together, then by each."""
+    keys = list(dict.fromkeys(lists.values()))
+    sums = facts.groupBy(*keys).agg(money(F.col(amount)).alias("sum"))
+    entry = F.array(*[F.struct(F.lit(name).alias("list"), F.col(key).cast("string").alias("item")) for name, key in lists.items()])
+    items = sums.select("sum", F.inline(entry)).groupBy("list", "item").agg(F.sum("sum").cast("double").alias("amount"))
+    place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("amount"), "item"))
+    return items.withColumn("place", place).filter(F.col("place") <= top).drop("place")
+
+
 def last_by(facts: DataFrame, by: str, value: str, *order: str) -> DataFrame:
     """The value of the last row of each key by the order; of rows alike in it the greatest value."""
     return facts.groupBy(by).agg(F.max_by(value, F.struct(*order, value)).alias(value))

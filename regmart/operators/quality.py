@@ -37,6 +37,11 @@ def duplicates(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("occurrence > 1")
 
 
+def duplicate_counts(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Natural keys that repeat, with the number of rows beyond the first: partial counts, no row travels."""
+    return rows.groupBy(*key).agg((F.count("*") - 1).alias("extra")).filter("extra > 0")
+
+
 def severity_counts(issues: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A column for each severity, present or not."""
     return issues.groupBy(*(by or [])).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regmart.functions import text
 from regmart.functions.numbers import money
+from regmart.operators import aggregates as agg
 from regmart.operators import projections as p
 from regmart.plans import bridge as b
 from regmart.plans.registry import _FALLBACK, ACCOUNTS, DEC, _with_fallback
@@ -121,12 +122,8 @@ _OVERVIEW = " UNION ALL ".join(f"(SELECT '{n}' AS list, CAST({key} AS VARCHAR) A
 
 @query("lim_03_overview_lists", f"WITH {b.SQL_FLOW}, {b.SQL_BALANCE} {_OVERVIEW}")
 def _(spark, d):
-    def first(rows, name, key, amount):
-        sums = rows.groupBy(F.col(key).cast("string").alias("item")).agg(money(F.col(amount)).cast("double").alias("amount"))
-        return sums.orderBy(F.desc("amount"), "item").limit(12).select(F.lit(name).alias("list"), "item", "amount")
-
-    flow, assets = b.flow(spark, d), b.balance(spark, d).filter(F.col("account") == ACCOUNTS["total_assets"])
-    return first(flow, "by-entity", "entity", "amount").unionByName(first(flow, "by-category", "category", "amount")).unionByName(first(assets, "assets", "entity", "combined"))
+    assets = b.balance(spark, d).filter(F.col("account") == ACCOUNTS["total_assets"])
+    return agg.top_lists(b.flow(spark, d), {"by-entity": "entity", "by-category": "category"}, "amount").unionByName(agg.top_lists(assets, {"assets": "entity"}, "combined"))
 
 
 @query("val_09_natural_keys", f"""WITH {b.SQL_FLOW} SELECT 'premiums:row:' || l_orderkey || '-' || l_linenumber AS scope, 'PREMIUM_DUPLICATE_NATURAL_KEY' AS code, 'critical' AS severity, 'failed' AS status FROM flow

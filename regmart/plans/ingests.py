@@ -26,6 +26,8 @@ def query(name: str, sql: str):
     return keep
 
 
+_ENTITIES = [n for _, n in reports._canonical("entity")][:3]
+
 # Rules by run: a customer is a run, its open, filled and pending orders are rows of its flow, balance and result, every third has a control file
 
 _PRESENCE = [
@@ -70,6 +72,27 @@ def _(spark, d):
     return rows.join(shown, "raw").drop("raw")
 
 
+# Issues in context: a third of the orders are rows of each kind
+
+
+def _context_sql() -> str:
+    parts = [(0, "premiums", 37, "institution", "INSTITUTION"), (0, "premiums", 41, "ramoParent", "INSURANCE_LINE"), (0, "premiums", 43, "ramo", "INSURANCE_LINE"), (1, "financialPosition", 37, "institution", "FINANCIAL_INSTITUTION"), (1, "financialPosition", 47, "account", "FINANCIAL_ACCOUNT"), (2, "incomeStatement", 37, "institution", "INCOME_STATEMENT_INSTITUTION")]
+    return " UNION ALL ".join(f"SELECT o_custkey AS run, '{kind}:row:' || o_orderkey || ':{short}' AS scope, '{context}_ALIAS_UNRESOLVED' AS code, CASE WHEN '{short}' = 'account' THEN 'candidate-found-but-no-safe-resolution' ELSE 'no-candidate' END AS reason, CASE WHEN '{short}' = 'account' THEN 'PASIVOS' END AS candidates FROM orders WHERE o_orderkey % 3 = {k} AND o_orderkey % {n} = 0" for k, kind, n, short, context in parts)
+
+
+@query("val_14_16_alias_contexts", _context_sql())
+def _(spark, d):
+    k = F.col("o_orderkey")
+    bad = lambda n, wrong, right: F.when(k % n == 0, wrong).otherwise(right)
+    rows = b.read(spark, d, "orders").select(
+        F.col("o_custkey").alias("run"), k.alias("source_row"), (k % 3).alias("kind"), bad(37, "Nowhere", _ENTITIES[0]).alias("entity_name"), bad(41, "nothing", "Seguro de Vida").alias("parent"), bad(43, "naught", "Vida Individual").alias("category"),
+        bad(47, "PASIVOS zzz", "PASIVOS").alias("account"), F.lit("999").alias("line"))
+    kinds = {kind: rows.filter(F.col("kind") == i).drop("kind") for i, kind in enumerate(ingest.REFERENCES)}
+    found = ingest.alias_issues(ingest.attempted(kinds))
+    detail = F.from_json("detail", "reason string, candidate_names array<string>")
+    return found.select("run", "scope", "code", detail["reason"].alias("reason"), F.nullif(F.array_join(detail["candidate_names"], ","), F.lit("")).alias("candidates"))
+
+
 # Reconciliation by run: suppliers' lines are flow facts, customers' urgent orders total assets; three of four runs have a control file, some of them without a period
 
 _REC_DIFF = "actual - expected AS absolute_difference, CASE WHEN expected = 0 THEN 0 ELSE (actual - expected) / expected END AS relative_difference"
@@ -107,8 +130,6 @@ def _exists(name: str) -> str:
     return {"f": "run % 7 <> 3", "g": "run % 19 = 0 AND run % 7 <> 3", "b": "run % 5 <> 2", "r": "run % 4 = 0", "x": "run % 29 = 0", "c": "run % 3 = 0"}[name]
 
 
-_ENTITIES = [n for _, n in reports._canonical("entity")][:3]
-
 
 def _cells(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = b.read(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("k"))

@@ -253,7 +253,7 @@ def _(spark, d):
 @query("val_09_duplicate_keys", f"WITH {b.SQL_FLOW} SELECT entity, parent, category, currency, period, count(*) - 1 AS extra FROM flow GROUP BY ALL HAVING count(*) > 1")
 def _(spark, d):
     key = ["entity", "parent", "category", "currency", "period"]
-    return quality.duplicates(b.flow(spark, d), key, ["l_orderkey", "l_linenumber"]).groupBy(*key).agg(F.count("*").alias("extra"))
+    return quality.duplicate_counts(b.flow(spark, d), key)
 
 
 @query("val_10_account_present", f"WITH {b.SQL_BALANCE} SELECT entity, bool_or(account = '1-URGENT') AS present FROM balance GROUP BY entity")

@@ -114,13 +114,11 @@ def _account_sql(name: str) -> str:
 
 @query("ext_06_reserves_and_equity", f"WITH {b.SQL_BALANCE}, {_account_sql('reserves')}, {_account_sql('equity')} " + " UNION ALL ".join(_REC.format(f"{n}_TOTAL", off=_OFF, tol=0.001) for n in ("reserves", "equity")))
 def _(spark, d):
-    out = None
-    for name in ("reserves", "equity"):
-        actual = b.balance(spark, d).filter(F.col("account") == ACCOUNTS[name]).groupBy("entity").agg(money(F.col("combined")).cast("double").alias("actual"))
-        control = actual.select("entity", (F.col("actual") * F.when(F.col("entity") % 3 == 0, 1.02).otherwise(1.0)).alias("expected"))
-        rows = reconcile.reconcile(actual, control, "entity", f"{name}_TOTAL")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rules = {ACCOUNTS[name]: f"{name}_TOTAL" for name in ("reserves", "equity")}
+    actual = b.balance(spark, d).filter(F.col("account").isin(*rules)).groupBy("account", "entity").agg(money(F.col("combined")).cast("double").alias("actual"))
+    rows = actual.withColumn("expected", F.col("actual") * F.when(F.col("entity") % 3 == 0, 1.02).otherwise(1.0))
+    rule = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])[F.col("account")]
+    return reconcile.compared(rows, rule, None).drop("account")
 
 
 @query("ext_08_tolerances", f"""WITH {b.SQL_BALANCE}, a AS (SELECT entity, account, {DEC.format('combined')} AS actual FROM balance GROUP BY ALL), x AS (SELECT *, actual * (1 + (entity % 4) * 0.005) AS expected FROM a),
