@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from regmart.llm import jaccard, lm, mixing, suffix
+from regmart.llm.common import row_key
 
 
 def test_suffix_index_reports_every_position_across_batches(monkeypatch):
@@ -182,7 +183,7 @@ def test_mixing_against_plain_targets(spark):
             assert abs(sum(r["size"] * r.passes for r in mine) - want[s]) <= 60
         out = mixing.mixed_documents(docs).collect()
         count = lambda xs: sorted(f"{x}" for x in xs)
-        assert count((r.doc_id, r.source, len((r.text or "").split())) for r in out) == count((r.doc_id, r.source, r["size"]) for r in got for _ in range(r.passes))
+        assert count((r.doc_id, r.source, len((r.text or "").split())) for r in out) == count((r.doc_id, r.source, r["size"]) for r in mixing.plan(docs, key=row_key(docs)).collect() for _ in range(r.passes))
         firsts = [r.first_position for r in mixing.mixed(docs).collect()]
         taken = [x for x in firsts if x is not None]
         assert firsts[: len(taken)] == sorted(taken) and len(firsts) == len(rows)
