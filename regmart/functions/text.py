@@ -1,12 +1,14 @@
-"""Text normalization as Column -> Column functions; everything stays inside Spark's own expressions."""
+"""Text normalization as Column -> Column functions: Spark's own expressions, but for ``nfkc``, which works on Arrow batches."""
 
 from __future__ import annotations
 
 import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Damaged sequences and what they stand for, in the order of application.
 MOJIBAKE = [
@@ -18,46 +20,13 @@ WORD_FIXES = [("Maritímo", "Marítimo"), ("HOSPITALIZACIóN", "HOSPITALIZACIÓN
 ENTITY_NOISE = ("SOCIEDAD ANONIMA", "S A", "SA")
 
 
-#: Separators of the pairs of a map literal, and what stands before a mark and tells its class; no text holds them.
-_PAIR, _KEY, _CLASS = "\ue000", "\ue001", 0x10F000
-
-
-def _unicode_maps() -> tuple[list[tuple[str, str]], ...]:
-    """By rule, over all code points: letters with accents and their base; compatibility characters that stand for one character; marks, and characters that stand for several, taken apart in full with classes before marks; base and mark with their composed character."""
-    accents, one, apart, composed = [], [], [], []
-    for code in (c for c in range(0xA0, 0x30000) if not 0xAC00 <= c < 0xF900):
-        c = chr(code)
-        plain, whole, base = unicodedata.normalize("NFKC", c), unicodedata.normalize("NFKD", c), unicodedata.normalize("NFD", c)
-        if len(base) > 1 and all(0x300 <= ord(x) < 0x370 for x in base[1:]):
-            accents.append((c, base[0]))
-        if plain != c and len(plain) == 1:
-            one.append((c, plain))
-        elif len(whole) > 1 or unicodedata.combining(c):
-            apart.append((c, "".join(chr(_CLASS + unicodedata.combining(x)) + x if unicodedata.combining(x) else x for x in whole)))
-        parts = unicodedata.decomposition(c)
-        if plain == c and " " in parts and not parts.startswith("<"):
-            composed.append(("".join(chr(int(x, 16)) for x in parts.split()), c))
-    return accents, one, apart, composed
-
-
-def _ranges(chars: list[str]) -> str:
-    """The inside of a character class; ranges keep it short."""
-    codes = sorted(ord(c) for c in chars)
-    known = set(codes)
-    first, last = [c for c in codes if c - 1 not in known], [c for c in codes if c + 1 not in known]
-    return "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(first, last))
-
-
-ACCENTS, ONE, SEVERAL, COMPOSED = _unicode_maps()
-#: Compositions of two characters that both start a cluster; all others are of a starter and a mark with a class.
-_LOOSE = [(k, v) for k, v in COMPOSED if not unicodedata.combining(k[1])]
-_MARKED = [(k, v) for k, v in COMPOSED if unicodedata.combining(k[1])]
-#: A character that a text must be taken apart for: a mark, a jamo, or one that stands for several without being composed of them; the first test passes over ASCII.
-_KNOWN = {c for _, c in COMPOSED}
-APART = r"(?=[^\x00-\x7f])[\p{M}\x{1161}-\x{1175}\x{11a8}-\x{11c2}" + _ranges([c for c, x in SEVERAL if c not in _KNOWN and x[1:] != c]) + "]"
-_OF_CLASS = f"[\\x{{{_CLASS + 1:x}}}-\\x{{{_CLASS + 0xFF:x}}}]"
-# The jamo of Hangul and the first syllable; a syllable is counted out of its jamo.
-_LEAD, _VOWEL, _TAIL, _SYLLABLE = 0x1100, 0x1161, 0x11A7, 0xAC00
+def _accents() -> list[tuple[str, str]]:
+    """By rule, over all code points: letters with accents (U+0300 to U+036F) and their base."""
+    pairs = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xA0, 0x30000) if not 0xAC00 <= c < 0xF900)
+    return [(c, base[0]) for c, base in pairs if len(base) > 1 and all(0x300 <= ord(x) < 0x370 for x in base[1:])]
+
+
+ACCENTS = _accents()
 
 
 def replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -81,50 +50,10 @@ def _translate(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return F.translate(c, "".join(x for x, _ in pairs), "".join(y for _, y in pairs))
 
 
-def _lookup(pairs: list[tuple[str, str]]) -> Column:
-    return F.str_to_map(F.lit(_PAIR.join(x + _KEY + y for x, y in pairs)), F.lit(_PAIR), F.lit(_KEY))
-
-
-def _code(c: Column) -> Column:
-    """Number of the first character of a text of the basic plane."""
-    return F.conv(F.hex(F.encode(c, "UTF-16BE")).substr(1, 4), 16, 10).cast("int")
-
-
-def _hangul(c: Column) -> Column:
-    """Loose jamo as syllables."""
-    def syllable(x: Column) -> Column:
-        at = lambda i: _code(F.substring(x, i, 1))
-        whole = at(1) >= _SYLLABLE
-        tail = F.when(F.length(x) == F.when(whole, 2).otherwise(3), _code(F.right(x, F.lit(1))) - _TAIL).otherwise(0)
-        code = F.when(whole, at(1)).otherwise(_SYLLABLE + ((at(1) - _LEAD) * 21 + at(2) - _VOWEL) * 28) + tail
-        return F.when((F.length(x) < 2) | (whole & ((at(1) - _SYLLABLE) % 28 != 0)), x).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
-
-    pieces = F.regexp_extract_all(c, F.lit(r"(?s)[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11a8}-\x{11c2}]?|[\x{ac00}-\x{d7a3}][\x{11a8}-\x{11c2}]|."), F.lit(0))
-    return F.when(c.rlike(r"[\x{1161}-\x{1175}\x{11a8}-\x{11c2}]"), F.array_join(F.transform(pieces, syllable), "")).otherwise(c)
-
-
-def nfkc(c: Column) -> Column:
-    """Compatibility composition. Only texts with marks, jamo or characters that stand for several are taken apart: marks are sorted by class behind their starter and composed with it unless one of their class or a higher one stands between."""
-    several, pairs = _lookup(SEVERAL), _lookup(_MARKED)
-
-    def add(done: Column, mark: Column) -> Column:
-        kind, own = F.left(mark["mark"], F.lit(1)), F.right(mark["mark"], F.lit(1))
-        both = F.when((done["rest"] == "") | (done["last"] < kind), F.try_element_at(pairs, F.concat(done["start"], own)))
-        return F.when(both.isNotNull(), F.struct(both.alias("start"), done["rest"].alias("rest"), done["last"].alias("last"))).otherwise(F.struct(done["start"].alias("start"), F.concat(done["rest"], own).alias("rest"), kind.alias("last")))
-
-    def cluster(x: Column) -> Column:
-        marks = F.transform(F.regexp_extract_all(x, F.lit(f"(?s){_OF_CLASS}."), F.lit(0)), lambda m, i: F.struct(F.left(m, F.lit(1)).alias("kind"), i.alias("i"), m.alias("mark")))
-        first = F.struct(F.when(x.rlike(f"^{_OF_CLASS}"), "").otherwise(F.left(x, F.lit(1))).alias("start"), F.lit("").alias("rest"), F.lit("").alias("last"))
-        return F.aggregate(F.array_sort(marks), first, add, lambda done: F.concat(done["start"], done["rest"]))
-
-    def composed(x: Column) -> Column:
-        whole = F.array_join(F.transform(F.split(x, ""), lambda y: F.coalesce(F.try_element_at(several, y), y)), "")
-        marked = f"(?:{_OF_CLASS}.)"
-        apart = F.transform(F.regexp_extract_all(whole, F.lit(f"(?s)(?!{_OF_CLASS}).{marked}*|{marked}+"), F.lit(0)), lambda y: F.when(F.length(y) == 1, y).otherwise(cluster(y)))
-        joined = replace_all(F.array_join(apart, ""), _LOOSE)
-        return F.when(x.rlike(APART), F.element_at(F.transform(F.array(joined), _hangul), 1)).otherwise(x)
-
-    return F.element_at(F.transform(F.array(_translate(c, ONE)), composed), 1)  # an array of one, so that the text is made once
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    """Compatibility composition (null: null). Spark has no such function, so texts go to Python in Arrow batches; callers normalize distinct texts and small dimensions, and the plan holds no tables."""
+    return pa.array([x and unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
 
 
 def strip_diacritics(c: Column) -> Column:
