@@ -5,13 +5,14 @@ are dealt by content and indexed by a logarithmic family of suffix arrays:
 
 1. Every window has an anchor, the least of the hashes of its ``K``-byte strings; equal windows have equal anchors, and a run of windows shares one. Anchors whose
    string occurs in one document only rule out all their windows, so only hashes are shuffled for them (once, packed by task).
-2. The runs of the other anchors travel as text to the bucket of their anchor. There, batch by batch, runs that are the same text are merged, the windows of the rest get a
+2. The runs of the other anchors travel as text to the bucket of their anchor, but for those that an earlier document of the same slice of a home has as well: they are late already, and
+   of them only names travel, so a passage of many documents reaches its bucket once a slice. There, batch by batch, runs that are the same text are merged, the windows of the rest get a
    suffix array (sorted by their bytes as big-endian words), which is merge-scanned against the arrays of all levels: of equal windows the least document
    keeps its own (at all its positions), all others are reported. What is left becomes level 0; levels of equal size merge, so an index of n batches has log n levels.
 3. Reported windows return to their document, whose bytes under them go.
 
-Neither a document, a copied text nor a frequent line is ever gathered in one task: buckets are by content of ``K`` bytes, identical runs are one entry of their batch, and
-the number of buckets follows the shuffle partitions.
+Buckets are by content of ``K`` bytes, so neither a document nor a copied text is gathered in one task; a frequent line goes to one bucket, but once a slice of ``SLICE_BYTES``,
+not once a document, and identical runs are one entry there. The number of buckets follows the shuffle partitions.
 
 A row is named by its id and the 64-bit hash of its text. Its home is dealt by both, so rows of one id (or of none) are spread over all homes; candidates carry 16 bits of the
 hash only, which marks some runs in vain where an id has many texts, and runs and reports carry all of it.
@@ -161,14 +162,24 @@ def window_words(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return np.stack([words[at + s].copy().view(">u8").ravel().astype(np.uint64) for s in steps], axis=1)
 
 
+def late_runs(data: bytes, at: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Marks the runs, given by ascending document, whose whole text an earlier document of these has."""
+    first: dict[bytes, int] = {}
+    return np.fromiter((first.setdefault(data[a : a + n], d) < d for a, n, d in zip(at.tolist(), size.tolist(), doc.tolist())), bool, len(at))
+
+
 def later_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     """(document, version, first window, number of windows) of the windows that an earlier document has, of all runs of a bucket."""
     out: list[tuple[int, int, int, int]] = []
+    late: list[np.ndarray] = []
     known: dict[bytes, tuple[int, int, int, int]] = {}
     again: list[tuple[bytes, tuple[int, int, int, int]]] = []
     for row in zip(*(table.column(c).to_pylist() for c in ("doc", "version", "start", "count", "text"))):
         doc, version, start, count = (unpack(x, k) for x, k in zip(row[:4], ("<i8", "<i8", "<i8", "<i4")))
         text, p = unpack(row[4]), 0
+        if not text:  # runs that are known to be late
+            late.append(np.stack([doc, version, start, count.astype(np.int64)], axis=1))
+            continue
         for entry in zip(doc.tolist(), version.tolist(), start.tolist(), count.tolist()):
             run = text[p : p + entry[3] + length - 1]
             p += len(run)
@@ -183,7 +194,7 @@ def later_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
             else:
                 again.append((run, entry))  # the same document once more: its windows fare as the first ones do
     runs = [*known.items(), *again]
-    whole = [np.array(x, np.int64) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+    whole = list(np.concatenate([np.array(out, np.int64).reshape(-1, 4), *late]).T)
     if not runs:
         return tuple(whole)
     data = np.frombuffer(b"".join([r for r, _ in runs]), np.uint8)
@@ -275,23 +286,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, id_col: st
             mark = mix(wanted[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(wanted[:, 1].astype(np.uint64) << np.uint64(44) | wanted[:, 2].astype(np.uint64)))
             mark.sort()
             done: set[tuple[int, int]] = set()
+            own_bucket = texts.column("home")[0].as_py() % buckets
             doc, version, text, _ = texts_of(texts)
             fresh = [i for i, x in enumerate(zip(doc, version)) if x not in done and not done.add(x)]
             for docs_, versions, runs in each(*([x[i] for i in fresh] for x in (doc, version, text))):
                 if not len(runs.at):
                     continue
+                named = lambda x: (docs_[runs.text[x]], versions[runs.text[x]], runs.start[x], runs.count[x].astype(np.int32))  # noqa: E731, B023
                 own = mix(docs_[runs.text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(np.mod(versions, SHORT)[runs.text].astype(np.uint64) << np.uint64(44) | runs.start.astype(np.uint64)))
                 spot = np.minimum(np.searchsorted(mark, own), len(mark) - 1)
                 hit = np.flatnonzero(mark[spot] == own)
+                raw = runs.data.tobytes()
+                late = late_runs(raw, runs.at[hit], runs.count[hit] + length - 1, docs_[runs.text[hit]])
+                known, hit = hit[late], hit[~late]  # of the known ones names travel, to the bucket of the home's number
                 bucket = ((runs.anchor[hit] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((runs.anchor[hit], bucket))
                 hit, bucket = hit[order], bucket[order]
-                raw = runs.data.tobytes()
-                rows_ = []
+                rows_ = [(own_bucket, *pack(*named(known), b""))] if len(known) else []
                 for b, lo, hi in groups(bucket):
                     one = hit[lo:hi]
                     joined = b"".join([raw[a : a + c + length - 1] for a, c in zip(runs.at[one].tolist(), runs.count[one].tolist())])
-                    rows_.append((b, *pack(docs_[runs.text[one]], versions[runs.text[one]], runs.start[one], runs.count[one].astype(np.int32), joined)))
+                    rows_.append((b, *pack(*named(one), joined)))
                 out.append(pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows_) if rows_ else [[]] * 6)], ["bucket", *names]))
         empty = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in names)])
         return pa.Table.from_batches(out, empty)

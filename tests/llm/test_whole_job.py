@@ -33,6 +33,17 @@ def test_suffix_index_reports_every_position_across_batches(monkeypatch):
     assert got == want
 
 
+def test_suffix_sends_a_repeated_run_once():
+    runs = [(0, b"alone"), *((doc, b"passage of many") for doc in range(1, 1000)), (5000, b"twice here"), (5000, b"twice here"), (5001, b"twice here")]
+    size = np.array([len(r) for _, r in runs])
+    late = suffix.late_runs(b"".join(r for _, r in runs), np.cumsum(size) - size, size, np.array([d for d, _ in runs]))
+    assert [runs[i] for i in np.flatnonzero(~late)] == [(0, b"alone"), (1, b"passage of many"), (5000, b"twice here"), (5000, b"twice here")]  # every position of the first document goes on
+    # Names without text are late, whatever else the bucket holds.
+    packed = [suffix.pack(*(np.array([x], kind) for x, kind in zip(entry, ("<i8", "<i8", "<i8", "<i4"))), text) for entry, text in (((1, 7, 3, 2), bytes(range(51))), ((2, 8, 5, 2), b""))]
+    table = pa.table([pa.array(x, pa.binary()) for x in zip(*packed)], names=["doc", "version", "start", "count", "text"])
+    assert [x.tolist() for x in suffix.later_windows(table, 50)] == [[2], [8], [5], [2]]
+
+
 def test_suffix_texts_of_one_id(spark):
     rnd = random.Random(5)
     word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
