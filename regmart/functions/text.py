@@ -17,6 +17,8 @@ MOJIBAKE = [
 ]
 # Whole words that the sequences leave wrong.
 WORD_FIXES = [("Maritímo", "Marítimo"), ("HOSPITALIZACIóN", "HOSPITALIZACIÓN"), ("HospitalizaciÓn", "Hospitalización")]
+#: A text without any of these holds nothing to repair: how damage begins, and the letters of the words.
+DAMAGED = "[ÃÂÐÑ" + "".join(sorted({p[0] for p, _ in MOJIBAKE} - set("ÃÂ")) + sorted({c for w, _ in WORD_FIXES for c in w if not c.isascii()})) + "]"
 ENTITY_NOISE = ("SOCIEDAD ANONIMA", "S A", "SA")
 
 
@@ -39,7 +41,8 @@ def repair_mojibake(c: Column, drop_circumflex_a: bool = True) -> Column:
     raw = F.encode(F.when(suspicious, c).otherwise(F.lit("")), "ISO-8859-1").cast("string")
     decoded = F.when(suspicious & F.is_valid_utf8(raw), raw).otherwise(c)
     pairs = [p for p in MOJIBAKE if drop_circumflex_a or p[0] != "Â"]
-    return replace_all(replace_all(decoded, pairs), WORD_FIXES)
+    sound = (F.octet_length(c) == F.length(c)) | ~c.rlike(DAMAGED)
+    return F.when(sound, c).otherwise(replace_all(replace_all(decoded, pairs), WORD_FIXES))
 
 
 def collapse(c: Column) -> Column:

@@ -47,3 +47,12 @@ def test_reconcile(spark):
     control = spark.createDataFrame([(1, 100.0), (2, 100.0)], "k int, expected double")
     found = {r.k: (r.rule, r.severity, r.status) for r in reconcile.reconcile(actual, control, "k", "R").collect()}
     assert found == {1: ("R", "low", "passed"), 2: ("R", "high", "warning"), 3: ("REFERENCE_PREMIUM_INSTITUTION_MISSING", "medium", "warning")}
+
+
+def test_repair_of_sound_texts(spark):
+    """The test for damage passes over no text that a replacement would change."""
+    damaged = [f"x {p} y" for p, _ in text.MOJIBAKE + text.WORD_FIXES]
+    sound = ["", "plain", "año, más", "\U0001f600 日本", None]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in damaged + sound], "x string").coalesce(1).select(text.repair_mojibake(F.col("x"))).collect()]
+    assert got[len(damaged):] == sound
+    assert all(a != b for a, b in zip(got, damaged))
