@@ -6,6 +6,7 @@ name. List items are cut from typed records in place: arrays of structs filtered
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,11 +41,18 @@ RECORD = (
     f"businessPeriods:struct<{','.join(f'{p}:{PERIOD}' for p in PARTS)}>,mappingSummary:struct<topAliasRepairs:array<{REPAIR}>>,"
     f"validationSummary:struct<publishability:string,issues:array<{ISSUE}>>,reconciliationSummary:struct<publishability:string,issues:array<{CHECK}>>>"
 )
+#: The parts of a record that its rules look at.
+RULED = "struct<datasetVersionId:string,status:string,createdAt:string,publishedAt:string,validationSummary:struct<publishability:string>,reconciliationSummary:struct<publishability:string>>"
 STATES = ("draft", "staged", "published", "failed", "rolledBack")
 CLASSIFICATION = "WORKBOOK_SCHEMA_UNRECOGNIZED"
 NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def number(v: Column, path: str) -> Column:
     """The number at a path of a variant; null for anything else, texts of digits included."""
     return F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant")).rlike(NUMBER), F.try_variant_get(v, f"$.{path}", "double"))
@@ -57,7 +65,9 @@ def counters(v: Column, names: dict[str, tuple[str, ...]], under: str = "") -> C
 
 def mapping_summary(v: Column) -> Column:
     """The mapping summary of a variant with all defaults: counters, text quality, counters of each domain."""
-    domains = F.array(*[F.struct(F.lit(d).alias("domain"), counters(v, DOMAIN_COUNTERS, f"domains.{d}.").alias("counters")) for d in DOMAINS])
+    none = F.struct(*[F.lit(0).cast("long").alias(name) for name in DOMAIN_COUNTERS])
+    part = lambda d: once(F.try_variant_get(v, f"$.domains.{d}", "variant"), lambda x: F.when(x.isNotNull(), counters(x, DOMAIN_COUNTERS)).otherwise(none))
+    domains = F.array(*[F.struct(F.lit(d).alias("domain"), part(d).alias("counters")) for d in DOMAINS])
     return F.struct(counters(v, COUNTERS).alias("counters"), counters(v, TEXT_QUALITY).alias("text_quality"), domains.alias("domains"))
 
 
@@ -74,30 +84,51 @@ def versions(raw: DataFrame, text: str = "record") -> tuple[DataFrame, DataFrame
     publishabilities. A record without a state is a draft; absent parts are empty, absent numbers 0, an absent mapping summary stays null.
     """
     kept = [c for c in raw.columns if c != text]
-    v = F.try_parse_json(F.col(text))
-    read = raw.select(*kept, v.alias("_v"), F.from_json(F.when(F.schema_of_variant(v).startswith("OBJECT"), F.col(text)), RECORD).alias("_r"), F.col(text).alias("_text"))
-    r = lambda path: F.col(f"_r.{path}")
+    whole = F.col(text)
+    is_object = F.ltrim(whole, F.lit(" \t\r\n")).startswith("{")
+    # A record is parsed once: a generator makes its row, so no filter and no later column holds a copy of the parsing.
+    parsed = lambda fields: F.transform(F.array(F.try_parse_json(whole)), lambda v: F.struct(v.alias("v"), F.from_json(F.when(v.isNotNull() & is_object, whole), fields).alias("r"), whole.alias("text")))
+    good = raw.select(*kept, F.inline(F.transform(F.filter(parsed(RECORD), lambda x: _broken(x).isNull()), _typed)))
+    return good, raw.select(*kept, F.inline(F.filter(F.transform(parsed(RULED), _broken), lambda x: x.isNotNull())))
+
+
+def _field(x: Column, path: str) -> Column:
+    return reduce(lambda c, name: c[name], path.split("."), x["r"])
+
+
+def _status(x: Column) -> Column:
+    return F.coalesce(_field(x, "status"), F.lit("draft"))
+
+
+def _level(x: Column, part: str) -> Column:
+    return F.coalesce(_field(x, f"{part}.publishability"), F.lit(quality.LEVELS[0]))
+
+
+def _broken(x: Column) -> Column:
+    """code and detail of the first rule that a parsed record breaks, null if none."""
+    r, status = (lambda path: _field(x, path)), _status(x)
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    status = F.coalesce(r("status"), F.lit("draft"))
-    level = lambda part: F.coalesce(r(f"{part}.publishability"), F.lit(quality.LEVELS[0]))
     rules = [
-        (F.col("_r").isNull(), "RECORD_UNREADABLE", F.left("_text", F.lit(80))), (blank(r("datasetVersionId")), "VERSION_ID_MISSING", F.lit(None)), (~status.isin(*STATES), "STATUS_UNKNOWN", status),
+        (x["r"].isNull(), "RECORD_UNREADABLE", F.left(x["text"], F.lit(80))), (blank(r("datasetVersionId")), "VERSION_ID_MISSING", F.lit(None)), (~status.isin(*STATES), "STATUS_UNKNOWN", status),
         (r("createdAt").try_cast("timestamp").isNull(), "CREATED_AT_INVALID", r("createdAt")), (r("publishedAt").isNotNull() & r("publishedAt").try_cast("timestamp").isNull(), "PUBLISHED_AT_INVALID", r("publishedAt")),
-        ((status == "published") & r("publishedAt").isNull(), "PUBLISHED_AT_MISSING", F.lit(None)), (~level("validationSummary").isin(*quality.LEVELS) | ~level("reconciliationSummary").isin(*quality.LEVELS), "PUBLISHABILITY_UNKNOWN", F.lit(None)),
+        ((status == "published") & r("publishedAt").isNull(), "PUBLISHED_AT_MISSING", F.lit(None)), (~_level(x, "validationSummary").isin(*quality.LEVELS) | ~_level(x, "reconciliationSummary").isin(*quality.LEVELS), "PUBLISHABILITY_UNKNOWN", F.lit(None)),
     ]
-    broken = reduce(lambda rest, x: F.when(x[0], F.struct(F.lit(x[1]).alias("code"), x[2].cast("string").alias("detail"))).otherwise(rest), reversed(rules), F.lit(None).cast("struct<code:string,detail:string>"))
-    marked = read.withColumn("_broken", broken)
+    return reduce(lambda rest, rule: F.when(rule[0], F.struct(F.lit(rule[1]).alias("code"), rule[2].cast("string").alias("detail"))).otherwise(rest), reversed(rules), F.lit(None).cast("struct<code:string,detail:string>"))
+
+
+def _typed(x: Column) -> Column:
+    """The typed fields of a parsed record that breaks no rule."""
+    r = lambda path: _field(x, path)
     texts = lambda *names: {n: "" for n in names}
-    mapped = F.try_variant_get("_v", "$.mappingSummary", "variant")
-    good = marked.filter("_broken IS NULL").select(
-        *kept, r("datasetVersionId").alias("version_id"), F.coalesce(r("ingestionRunId"), F.lit("")).alias("run_id"), status.alias("status"), r("createdAt").try_cast("timestamp").alias("created_at"),
+    repairs = defaulted(r("mappingSummary.topAliasRepairs"), texts("originalValue", "repairedValue", "normalizedValue", "canonicalId", "canonicalName") | {"count": 0})
+    mapping = once(F.try_variant_get(x["v"], "$.mappingSummary", "variant"), lambda m: F.when(F.schema_of_variant(m).startswith("OBJECT"), mapping_summary(m).withField("repairs", repairs)))
+    return F.struct(
+        r("datasetVersionId").alias("version_id"), F.coalesce(r("ingestionRunId"), F.lit("")).alias("run_id"), _status(x).alias("status"), r("createdAt").try_cast("timestamp").alias("created_at"),
         r("publishedAt").try_cast("timestamp").alias("published_at"), F.coalesce(r("uploadedBy"), F.lit("")).alias("uploaded_by"), F.coalesce(r("datasetScope"), F.lit("")).alias("scope"), F.coalesce(r("fingerprint"), F.lit("")).alias("fingerprint"),
         defaulted(r("sourceFiles"), texts("sourceFileId", "originalFilename", "storedFilename", "sha256") | {"sizeBytes": 0} | texts("mimeType", "detectedSignature", "uploadedAt")).alias("files"),
-        F.struct(*[r(f"businessPeriods.{p}.yearMonth").alias(p) for p in PARTS]).alias("periods"),
-        F.when(F.schema_of_variant(mapped).startswith("OBJECT"), mapping_summary(mapped).withField("repairs", defaulted(r("mappingSummary.topAliasRepairs"), texts("originalValue", "repairedValue", "normalizedValue", "canonicalId", "canonicalName") | {"count": 0}))).alias("mapping"),
-        F.struct(level("validationSummary").alias("publishability"), F.coalesce(r("validationSummary.issues"), F.array()).alias("issues")).alias("validation"),
-        F.struct(level("reconciliationSummary").alias("publishability"), F.coalesce(r("reconciliationSummary.issues"), F.array()).alias("issues")).alias("reconciliation"))
-    return good, marked.filter("_broken IS NOT NULL").select(*kept, "_broken.*")
+        F.struct(*[r(f"businessPeriods.{p}.yearMonth").alias(p) for p in PARTS]).alias("periods"), mapping.alias("mapping"),
+        F.struct(_level(x, "validationSummary").alias("publishability"), F.coalesce(r("validationSummary.issues"), F.array()).alias("issues")).alias("validation"),
+        F.struct(_level(x, "reconciliationSummary").alias("publishability"), F.coalesce(r("reconciliationSummary.issues"), F.array()).alias("issues")).alias("reconciliation"))
 
 
 def compact(mapping: Column, repairs: int = 5) -> Column:

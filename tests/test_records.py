@@ -48,6 +48,15 @@ def test_broken_records(spark):
     assert [r.id for r in good.collect()] == [len(broken)]
 
 
+@pytest.mark.parametrize("part", [0, 1])
+def test_each_record_is_parsed_once(spark, part):
+    made = records.versions(rows(spark, FULL, OLD))[part]
+    if part == 0:
+        made = made.filter("mapping IS NOT NULL").select("version_id", "status", "mapping.counters.total", "mapping.text_quality.unresolved", "validation.publishability")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("parseJson") + plan.count("parse_json(") == 1
+
+
 def test_run_items(spark):
     items = {r.run_id: r for r in records.run_items(records.versions(rows(spark, FULL, OLD, OLDEST))[0]).collect()}
     one = items["r1"]
