@@ -96,7 +96,8 @@ def known_headers(spark: SparkSession) -> DataFrame:
 
 def sheet_heads(table: DataFrame) -> DataFrame:
     """file, sheet_index, sheet and the cells of the first row (col, value) of every sheet that has cells: one pass over the cells, which all roles share."""
-    return table.groupBy("file", "sheet_index", "sheet").agg(F.collect_list(F.when(F.col("row") == 1, F.struct("col", "value"))).alias("heads"))
+    seen = table.select("file", "sheet_index", "sheet", F.when(F.col("row") == 1, F.struct("col", "value")).alias("head")).distinct()  # of a sheet's body one row is left
+    return seen.groupBy("file", "sheet_index", "sheet").agg(F.collect_list("head").alias("heads"))
 
 
 def headers(heads: DataFrame) -> DataFrame:
@@ -135,11 +136,16 @@ def rows(table: DataFrame, sheets: Sheets, kinds: DataFrame | None = None) -> Da
     """file, kind, source_row and ``cells`` (texts by header) of the rows of every file's sheets, of all roles or of those of ``kinds`` (file, kind), in one pass over the cells."""
     layouts = table.sparkSession.createDataFrame([(r.kind, _layout(r)) for r in ROLES], "kind string, layout string")
     chosen = sheets.chosen if kinds is None else sheets.chosen.join(kinds, ["file", "kind"], "left_semi")
-    columns = chosen.join(F.broadcast(layouts), "kind").select("file", "kind", "sheet_index", "layout").join(sheets.found.select("file", "sheet_index", "col", "layout", "header"), ["file", "sheet_index", "layout"])  # three layouts
-    body = table.filter("row > 1").select("file", "sheet_index", F.col("row").alias("source_row"), "col", "value").join(columns, ["file", "sheet_index", "col"])
+    known = chosen.join(F.broadcast(layouts), "kind").select("file", "kind", "sheet_index", "layout").join(sheets.found.select("file", "sheet_index", "col", "layout", "header"), ["file", "sheet_index", "layout"])  # three layouts
     names = sorted({h for r in ROLES for h in r.headers})
-    picked = [F.max_by(F.when(F.col("header") == h, F.col("value")), F.when(F.col("header") == h, F.col("col"))).alias(h) for h in names]  # of two columns with one header the last counts
-    return body.groupBy("file", "kind", "source_row").agg(*picked).select("file", "kind", "source_row", F.struct(*(F.col(f"`{h}`") for h in names)).alias("cells"))
+    columns = known.groupBy("file", "sheet_index", "kind").agg(*[F.collect_list(F.when(F.col("header") == h, F.col("col"))).alias(h) for h in names])
+    # The cells of a row come together before they meet the headers, so a sheet's cells travel once and as they are.
+    held = F.collect_list(F.struct("col", "value")).alias("held")
+    body = table.filter("row > 1").select("file", "sheet_index", F.col("row").alias("source_row"), "col", "value").repartition("file", "sheet_index").groupBy("file", "sheet_index", "source_row").agg(held)
+    under = lambda h: F.filter("held", lambda c: F.array_contains(F.col(f"`{h}`"), c["col"]))
+    picked = [F.when(F.size(F.col(f"`{h}`")) > 0, F.array_max(under(h))["value"]).alias(h) for h in names]  # of two columns with one header the last counts
+    met = F.exists("held", lambda c: F.array_contains(F.flatten(F.array(*(F.col(f"`{h}`") for h in names))), c["col"]))
+    return body.join(columns, ["file", "sheet_index"]).filter(met).select("file", "kind", "source_row", F.struct(*picked).alias("cells"))
 
 
 def typed(found: DataFrame, role: Role) -> tuple[DataFrame, DataFrame]:

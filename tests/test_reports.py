@@ -86,3 +86,17 @@ def test_failed_runs_and_version_records(spark, tmp_path):
         s.read_version("v4")
     with pytest.raises(KeyError):
         s.read_version("v9")
+
+
+def test_a_layout_brings_no_sheet_into_one_task(spark):
+    table = spark.createDataFrame([("f", "Totals", r, c, v) for r, c, v in [(5, 1, "a"), (5, 2, "b"), (9, 1, "1"), (9, 2, "2.5")]], "file string, sheet string, row int, col int, value string")
+    layout = spark.createDataFrame([("Totals", 5, 9, 1, 9, "flow")], "sheet string, header_row int, value_row int, col_from int, col_to int, measure string")
+    found = workbooks.control_totals(table, layout)
+    assert "hashpartitioning(sheet" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.key, r.expected) for r in found.collect()} == {("A", 1000.0), ("B", 2500.0)}
+
+
+def test_cells_of_a_row_come_together_before_they_meet_headers(spark, table):
+    sheets = roles.read_sheets(table)
+    plan = roles.rows(table, sheets)._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" not in plan
