@@ -160,7 +160,15 @@ def attempted(rows: dict[str, DataFrame]) -> DataFrame:
     found = [resolve.evidence(of(domain).join(cut(resolver(of(domain))), "raw"), catalog) for domain, resolver, catalog in (("institution", catalogs.resolve_entities, catalogs.entities(spark)), ("insuranceLine", catalogs.resolve_categories, catalogs.categories(spark)))]
     accounts, catalog = of("financialAccount"), catalogs.accounts(spark)
     found.append(resolve.evidence(resolve.resolve_with_lines(accounts, cut(catalogs.resolve_accounts(accounts)), catalog, text.normalize_alias), catalog))
-    return every.join(cut(union(found)).drop("line"), keys).drop("line_key")
+    return with_common(every, cut(union(found)).drop("line"), keys).drop("line_key")
+
+
+def with_common(every: DataFrame, found: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """``every`` with the columns that ``found`` has for its keys. Keys of more than one row in ``most`` would each fill one task of a shuffle; there are fewer than ``most`` of them, so they are broadcast, the others shuffled."""
+    common = cut(every.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") * most > every.count()).select(*keys))
+    one = F.broadcast(common)
+    often = every.join(F.broadcast(found.join(one, keys, "left_semi")), keys)
+    return often.unionByName(every.join(one, keys, "left_anti").join(found, keys))
 
 
 def alias_issues(attempts: DataFrame) -> DataFrame:

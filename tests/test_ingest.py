@@ -130,3 +130,10 @@ def test_store_of_runs(spark, done, tmp_path):
     assert [r.artifact for r in s.manifest(version).collect()] == ["balance", "flow", "reconciliation"]
     assert {r.run_id: r.status for r in s.runs().collect()}["good"] == "published" and s.audit_events().first().action == "PUBLISH"
     assert s.issues("twice").count() == 1 and {r.area: r.n for r in s.counts().collect()}["staging"] == len(RUNS)
+
+
+def test_common_texts_are_not_dealt_by_shuffle(spark):
+    every = spark.range(3000).selectExpr("id", "IF(id % 3 > 0, 'often', concat('x', id)) AS raw")
+    found = every.select("raw").distinct().selectExpr("raw", "upper(raw) AS target")
+    got = ingest.with_common(every, found, ["raw"])
+    assert sorted((r.id, r.target) for r in got.collect()) == [(i, "OFTEN" if i % 3 else f"X{i}") for i in range(3000)]
