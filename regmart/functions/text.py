@@ -68,6 +68,12 @@ def normalize_text(c: Column) -> Column:
     return F.upper(collapse(nfkc(repair_mojibake(c))))
 
 
+def is_plain(c: Column, around: str = "") -> Column:
+    """Whether ``normalize_text`` does no more than put the text into capitals: ASCII without white space but single blanks inside. With ``around``, no blank stands beside that separator either."""
+    blanks = ["  ", "\t", "\n", "\x0b", "\f", "\r", *([f" {around}", f"{around} "] if around else [])]
+    return reduce(lambda x, y: x & ~y, [*[c.contains(b) for b in blanks], c.startswith(" "), c.endswith(" ")], F.octet_length(c) == F.length(c))
+
+
 def _separators(c: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(F.upper(c), r"[/\\|]+", " "), r"[().,]+", " "))
 

@@ -13,6 +13,7 @@ from regmart.plans import bridge as b
 from regmart.plans import reports
 from regmart.plans.registry import ACCOUNTS, DEC
 from regmart.sources import catalogs, records, roles
+from regmart.sources.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,9 +132,11 @@ def _exists(name: str) -> str:
 
 
 
-def _cells(spark, d) -> tuple[DataFrame, DataFrame]:
+def _uploads(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Files with their archive statistics, and the rows of their sheets."""
     rows = b.read(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("k"))
     rows = rows.withColumn("row", F.row_number().over(reports.Window.partitionBy("run").orderBy("k")) + 1)
+    rows = stored(rows)
     lit, txt = F.lit, lambda c: F.col(c).cast("string")
     entity = F.when(F.expr("run % 13 = 0"), _ENTITIES[0]).otherwise(F.element_at(F.array(*map(F.lit, _ENTITIES)), (F.col("k") % 3).cast("int") + 1))
     date = lambda n: F.when(F.expr(f"run % {n} = 0 AND k % 2 = 0"), "2025-11-30").otherwise("2025-12-31")
@@ -145,22 +148,20 @@ def _cells(spark, d) -> tuple[DataFrame, DataFrame]:
     values["g"], values["x"] = values["f"], [txt("k")]
     where = {"f": ("Primas", roles.FLOW), "g": ("Primas", roles.FLOW), "b": ("Balance", roles.BALANCE), "r": ("ER", roles.RESULT), "x": ("Notes", None)}
     named = lambda name: F.concat_ws("-", F.col("run").cast("string"), F.lit(name)).alias("file")
-    cell = lambda sheet, row, col, value: F.struct(F.lit(sheet).alias("sheet"), F.lit(row).alias("row"), F.lit(col).alias("col"), value.alias("value"))
+    cells = lambda values, first: F.array(*[F.struct(F.lit(first + i).alias("col"), v.alias("value")) for i, v in enumerate(values)])
+    line = lambda name, index, sheet, row, held: F.struct(named(name), F.lit(index).alias("sheet_index"), F.lit(sheet).alias("sheet"), row.alias("row"), held.alias("cells"))
     parts = []
     for name, (sheet, role) in where.items():
-        own = rows.filter(_exists(name))
-        parts.append(own.select(named(name), F.lit(0).alias("sheet_index"), F.lit(sheet).alias("sheet"), "row", F.posexplode(F.array(*values[name])).alias("col", "value")))
-        heads = list(role.headers) if role else ["anything"]
-        parts.append(own.filter("row = 2").select(named(name), F.lit(0).alias("sheet_index"), F.lit(sheet).alias("sheet"), F.lit(1).alias("row"), F.posexplode(F.array(*map(F.lit, heads))).alias("col", "value")))
-    runs = rows.select("run").distinct()
+        own, heads = rows.filter(_exists(name)), list(role.headers) if role else ["anything"]
+        parts.append(own.select(F.inline(F.array(line(name, 0, sheet, F.col("row"), cells(values[name], 1))))))
+        parts.append(own.filter("row = 2").select(F.inline(F.array(line(name, 0, sheet, lit(1), cells(map(lit, heads), 1))))))
+    runs = rows.filter("row = 2").select("run")
     sheets = ["1. Ramos Totales", "8. Primas y Siniestros Totales", "Descarga BG", "descarga app P&S", "Primas Diciembre 2025", "Balance Diciembre 2025", ingest.RANKING_SHEET]
     period = F.when(F.expr("run % 6 = 0"), "2025-11").otherwise("2025-12")
-    listed = [cell(s, 1, 1 if s != sheets[3] else 2, F.lit("x") if s != sheets[3] else period) for s in sheets[:4]] + [F.when(F.expr("run % 9 <> 0"), cell(sheets[6], 1, 1, F.lit("x")))]
-    listed += [cell(sheets[4], 11, 3 + i, F.lit(n)) for i, n in enumerate(_ENTITIES[:2])] + [cell(sheets[4], 61, 3 + i, F.lit("1")) for i in range(2)]
-    listed += [cell(sheets[5], 9, 5 + i, F.lit(n)) for i, n in enumerate(_ENTITIES[:2])] + [cell(sheets[5], 10, 5 + i, F.lit("2")) for i in range(2)]
-    control = runs.filter(_exists("c")).select(named("c"), F.inline(F.array_compact(F.array(*listed))))
-    place = F.array_position(F.array(*map(F.lit, sheets)), F.col("sheet")).cast("int") - 1
-    table = ingest.union(parts).withColumn("col", F.col("col") + 1).unionByName(control.withColumn("sheet_index", place).select("file", "sheet_index", "sheet", "row", "col", "value"))
+    at = lambda i, row, first, *held: line("c", i, sheets[i], lit(row), cells(held, first))
+    listed = [at(i, 1, 1, lit("x")) for i in range(3)] + [at(3, 1, 2, period), F.when(F.expr("run % 9 <> 0"), at(6, 1, 1, lit("x")))]
+    listed += [at(4, 11, 3, *map(lit, _ENTITIES[:2])), at(4, 61, 3, lit("1"), lit("1")), at(5, 9, 5, *map(lit, _ENTITIES[:2])), at(5, 10, 5, lit("2"), lit("2"))]
+    table = ingest.union([*parts, runs.filter(_exists("c")).select(F.inline(F.array(*listed))).filter("file IS NOT NULL")])
     flags = {"size": F.lit(1000), "is_archive": F.lit(True), "entries": F.lit(9), "compressed": F.lit(500), "inflated": F.lit(5000), "macro": F.expr("run % 23 = 0 AND run % 5 <> 2"), "encrypted": F.lit(False), "protected": F.expr("run % 21 = 0")}
     files = runs.select("run", F.explode(F.array_compact(F.array(*[F.when(F.expr(_exists(n)), F.lit(n)) for n in "fgbrxc"]))).alias("n"))
     files = files.select("run", F.concat_ws("-", F.col("run").cast("string"), "n").alias("file"), F.concat("n", F.lit(".xlsx")).alias("name"), F.lit("application/octet-stream").alias("mime"), *[v.alias(k) for k, v in flags.items()])
@@ -189,7 +190,7 @@ _SQL_INGEST = f"""o AS (SELECT o_custkey AS run, o_orderkey AS k, row_number() O
  SELECT q.run, CASE WHEN gate IS NULL THEN 'staged' ELSE 'failed' END AS status, gate, validation, CASE WHEN warns THEN 'warningOnly' ELSE 'publishable' END AS reconciliation, CASE WHEN validation = 'publishable' AND warns THEN 'warningOnly' ELSE validation END AS publishability,
  CAST(critical AS BIGINT) AS critical, CAST(high AS BIGINT) AS high, CAST(medium AS BIGINT) AS medium, CAST(low AS BIGINT) AS low FROM q LEFT JOIN t ON t.run = q.run WHERE q.n_files > 0""")
 def _(spark, d):
-    return ingest.ingest(*_cells(spark, d)).runs
+    return ingest.ingest(*_uploads(spark, d)).runs
 
 
 # Stored records: orders as records of three shapes, a quarter of them broken

@@ -1,6 +1,8 @@
 """The reports by role: which headers, sheets and texts mark a flow, balance, result or control file, and the typed scan of each.
 
-All works on the long cells table of ``workbooks``; a file is read once, whatever the number of roles it is tried for.
+All works on the long cells table of ``workbooks``; a file is read once, whatever the number of roles it is tried for. The functions behind ``first_rows`` do the same for any number
+of files at once, on rows of sheets (file, sheet_index, sheet, row and ``cells``: col, value; of two values in one cell the first counts): what many files share, as first rows, names
+of sheets and texts, is worked out once for each distinct one, and a row travels once, to its sheet.
 """
 
 from __future__ import annotations
@@ -10,12 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from regmart.functions import numbers, text
 from regmart.sources import workbooks
+from regmart.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,7 @@ CONTROL_KIND, CONTROL_SIGNATURE = "reference", "reference-workbook-v2"
 # The cell of the period, and sheet, header row, value row, columns and measure of the control totals.
 PERIOD_CELL = ("descarga app P&S", 1, 2)
 CONTROL_LAYOUT = [("Primas Diciembre 2025", 11, 61, 3, 14, "flow"), ("Balance Diciembre 2025", 9, 10, 5, 16, "balance")]
+CONTROL_READ = (PERIOD_CELL[0], *(x[0] for x in CONTROL_LAYOUT))
 
 FLOW = Role("premiums", "tabular-premiums-v2", FLOW_HEADERS, FLOW_COLUMNS, ("Datos", "Primas"), ("Datos", "Primas"), 12.0)
 BALANCE = Role("financialPosition", "tabular-financial-position-v2", STATEMENT_HEADERS, STATEMENT_COLUMNS, SHEETS, ("Balance", "Situacion Financiera", "Estado de Situacion Financiera"), 8.0, "Cuenta", BALANCE_SIGNALS)
@@ -160,6 +164,62 @@ def scan(table: DataFrame, role: Role) -> tuple[DataFrame, DataFrame]:
     return typed(rows(table, Sheets(sheets.heads, sheets.found, sheets.chosen.filter(F.col("kind") == role.kind))), role)
 
 
+#: Columns of the rows of all roles.
+PLACES = tuple(sorted({c for r in ROLES for c in r.columns}))
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """cells, layout, hits (header cells), head (a number), and for each of ``PLACES`` the columns (last first) under its header: every distinct first row that has all headers of a layout. Stored."""
+    heads = rows.filter("row = 1").select(F.array_distinct("cells").alias("cells")).distinct()
+    of = rows.sparkSession.createDataFrame([(_layout(r), h, c, len(r.headers)) for r in {_layout(r): r for r in ROLES}.values() for h, c in zip(r.headers, r.columns)], "layout string, header string, place string, width int")
+    known = F.broadcast(known_headers(rows.sparkSession).join(F.broadcast(of), ["layout", "header"]))
+    found = heads.select("cells", F.inline("cells")).withColumn("header_key", text.normalize_header_key(F.col("value"))).join(known, "header_key")
+    places = [F.sort_array(F.collect_list(F.when(F.col("place") == c, F.col("col"))), asc=False).alias(c) for c in PLACES]
+    whole = found.groupBy("cells", "layout", "width").agg(F.size(F.collect_set("header")).alias("names"), F.count("*").alias("hits"), *places).filter("names = width")
+    return stored(whole.withColumn("head", F.monotonically_increasing_id()).drop("names", "width"))
+
+
+def sheet_of_role(rows: DataFrame, heads: DataFrame, names: DataFrame) -> DataFrame:
+    """file, kind, sheet_index, hits, named, head: ``chosen_sheets`` of rows of sheets, with the first row of each. ``names``: sheet and its normalized name. Stored."""
+    known = rows.sparkSession.createDataFrame([(r.kind, _layout(r), [x.upper() for x in r.preferred], [x.upper() for x in r.scored]) for r in ROLES], "kind string, layout string, preferred array<string>, scored array<string>")
+    tops = rows.filter("row = 1").select("file", "sheet_index", "sheet", F.array_distinct("cells").alias("cells")).join(heads.select("cells", "layout", "hits", "head"), "cells").drop("cells")
+    like = lambda names: F.exists(names, lambda p: F.col("name").contains(p))
+    marks = stored(names.crossJoin(F.broadcast(known)).select("sheet", "layout", "kind", (~like("preferred")).alias("other"), like("scored").alias("named")))  # three kinds
+    order = F.when(F.col("other"), 1 << 32).otherwise(0) + F.col("sheet_index")  # numbers, so that the sheets of a file are compared without sorting the files
+    best = tops.join(marks, ["sheet", "layout"]).groupBy("file", "kind").agg(F.min(order).alias("order"), *[F.min_by(c, order).alias(c) for c in ("hits", "named", "head")])
+    return stored(best.withColumn("sheet_index", (F.col("order") % (1 << 32)).cast("int")).drop("order"))
+
+
+def file_kinds(rows: DataFrame, sheets: DataFrame, names: DataFrame, heads: DataFrame, chosen: DataFrame, signal_weight: float = 15.0, bonus: float = 6.0) -> DataFrame:
+    """file, kind, candidates and signature: ``classify`` of rows of sheets; ``sheets``: file, sheet_index and sheet of every sheet."""
+    signals = [(r.kind, s) for r in ROLES for s in r.signals]
+    place = next(c for r in ROLES if r.signals for h, c in zip(r.headers, r.columns) if h == r.signal_column)  # one column in one layout
+    at = heads.filter(F.col("layout") == "statement").select("head", F.explode(place).alias("col"))
+    texts = rows.filter(F.col("row").between(2, 60)).select("file", "sheet_index", F.inline("cells")).join(F.broadcast(at.select("col").distinct()), "col")  # numbers of columns
+    texts = stored(texts.distinct())
+    bits = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col("shown").contains(s), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, (_, s) in enumerate(signals)])
+    told = stored(texts.select("value").distinct().withColumn("shown", text.normalize_text(F.col("value")))).select("value", bits.alias("bits")).filter("bits <> 0")
+    shown = texts.join(told, "value").groupBy("file", "sheet_index", "col").agg(F.bit_or("bits").alias("bits"))
+    mask = {r.kind: sum(1 << i for i, (kind, _) in enumerate(signals) if kind == r.kind) for r in ROLES if r.signals}
+    of_role = chosen.filter(F.col("kind").isin(*mask)).join(at, "head").select("file", "kind", "sheet_index", "col")
+    own = reduce(lambda rest, x: F.when(F.col("kind") == x[0], F.lit(x[1]).cast("long")).otherwise(rest), mask.items(), F.lit(0).cast("long"))
+    hits = of_role.join(shown, ["file", "sheet_index", "col"]).groupBy("file", "kind").agg((F.bit_count(F.bit_or(F.col("bits").bitwiseAND(own))) * signal_weight).alias("score"))
+    weight = reduce(lambda rest, r: F.when(F.col("kind") == r.kind, r.header_weight).otherwise(rest), ROLES, F.lit(0.0))
+    base = chosen.select("file", "kind", (F.col("hits") * weight + F.when(F.col("named"), bonus).otherwise(0.0)).alias("score"))
+    control = workbooks.sheet_scores(sheets.join(names, "sheet"), CONTROL_KIND, CONTROL_SHEETS)
+    return signed(workbooks.decide(base.unionByName(hits).unionByName(control), (CONTROL_KIND, *(r.kind for r in ROLES))))
+
+
+def placed(rows: DataFrame, own: DataFrame, heads: DataFrame) -> DataFrame:
+    """source_row, the columns of ``own`` (file, sheet_index, head and others) and ``PLACES`` of the rows of its sheets, with the first row's ``report_date`` as ``first_date``: rows travel once, by sheet. Of two columns with one header the last counts."""
+    body = rows.filter("row > 1").select("file", "sheet_index", F.col("row").alias("source_row"), F.col("cells.col").alias("_cols"), F.col("cells.value").alias("_values"))
+    at = lambda col: F.get("_values", (F.array_position("_cols", col) - 1).cast("int"))
+    under = lambda c: F.when(F.size(c) > 1, F.get(F.filter(F.transform(c, at), lambda v: v.isNotNull()), F.lit(0))).otherwise(at(F.get(c, F.lit(0))))
+    met = body.join(own, ["file", "sheet_index"]).join(heads.select("head", *PLACES), "head")
+    out = met.select("source_row", *own.columns, *[under(F.col(c)).alias(c) for c in PLACES]).filter(F.coalesce(*PLACES).isNotNull())
+    return out.withColumn("first_date", F.min_by("report_date", "source_row").over(Window.partitionBy("file", "sheet_index")))
+
+
 def control(table: DataFrame, spark: SparkSession) -> DataFrame:
     """file, measure, key, expected of control files."""
     layout = spark.createDataFrame(CONTROL_LAYOUT, "sheet string, header_row int, value_row int, col_from int, col_to int, measure string")
@@ -195,11 +255,10 @@ def scores(table: DataFrame, sheets: Sheets | None = None, signal_weight: float
 
 def classify(table: DataFrame, sheets: Sheets | None = None) -> DataFrame:
     """The decision on every file, with the signature of its kind (null if rejected)."""
-    names = {r.kind: r.signature for r in ROLES} | {CONTROL_KIND: CONTROL_SIGNATURE}
-    return signed(workbooks.classify(scores(table, sheets)), names)
+    return signed(workbooks.classify(scores(table, sheets)))
 
 
-def signed(found: DataFrame, signatures: dict[str, str]) -> DataFrame:
+def signed(found: DataFrame, signatures: dict[str, str] = {r.kind: r.signature for r in ROLES} | {CONTROL_KIND: CONTROL_SIGNATURE}) -> DataFrame:
     """A classification with the signature of each kind."""
     out = F.lit(None).cast("string")
     for kind, signature in signatures.items():
